@@ -103,7 +103,3 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     out = out.withColumn("size", T.n_words(F.col("text"))).withColumn("repeats", (F.col("_whole") + more).cast("int"))
     return out.withColumn("taken", F.col("size") * F.col("repeats")).drop("_ms", "_whole", "_last")
 
-
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row of ``mix_sources`` as often as the mix takes it."""
-    return mixed.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("_r") if mixed is not None else mixed

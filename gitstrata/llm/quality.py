@@ -134,11 +134,13 @@ def _bins(rows: DataFrame, cuts: dict[str, list[float]]) -> dict:
     return out
 
 
-def learn(stats: DataFrame, features=FEATURES, bins: int = 32, max_rules: int = 8, max_tests: int = 3, precision: float = 0.95, min_cover: int = 5) -> DecisionList:
+def learn(stats: DataFrame, features=FEATURES, bins: int = 64, max_rules: int = 8, max_tests: int = 3, precision: float = 0.95, min_cover: int = 5) -> DecisionList:
     """stats: the features and ``_bad`` (1 reject, 0 keep) and ``_fold`` (0: for pruning, else for growing).
     A rule is kept if at least ``min_cover`` growing rows and ``precision`` of both folds' rows are bad."""
-    q = stats.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 2000).alias(f) for f in features)).head()
-    cuts = {f: sorted({float(x) for x in q[f]}) for f in features if q[f]}
+    q = stats.agg(*(F.percentile_approx(f, [i / bins for i in range(bins + 1)], 2000).alias(f) for f in features)).head()
+    values = {f: sorted({float(x) for x in q[f]}) for f in features if q[f]}
+    # cuts lie between the quantiles, so that a rule leaves the same room on either side
+    cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f, v in values.items() if len(v) > 1}
     learned = DecisionList()
     left = stats
     while cuts and len(learned.rules) < max_rules:

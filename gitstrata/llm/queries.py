@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gitstrata.llm import chat, line_dedup, mixing, quality
+from gitstrata.llm import chat, decontamination, html_text, line_dedup, minhash, mixing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,5 +119,34 @@ select conv_id, count(*)::bigint as n_turns,
 from marked group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_source_mix, op9_chat_format)}
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: one row for each document and benchmark item that it holds."""
+    return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_decontamination, op3_quality_rules, op4_source_mix, op6_html_text, op7_pii, op8_toxicity, op9_chat_format, op10_minhash,
+    )
+}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op9_chat_format": OP9_SQL}
