@@ -1,0 +1,149 @@
+"""The driver's tables as the relations that the operators work on.
+
+Each relation is a query in SQL that Spark and other engines read alike, over the raw tables and the
+relations before it. Orders stand for commits, lineitems for changed files, parts for functions,
+customers for authors; two lineitems of an order, one after the other and both of a large quantity,
+stand for a call or import.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+PART_FILE = "concat(case when {p}p_type = 'PROMO' then 'tests/' else 'src/' end, replace(lower({p}p_brand), '#', ''), '/', lower({p}p_type), '.py')"
+
+RELATIONS: dict[str, str] = {
+    "authors": """
+        select c_custkey as author, concat('Dev ', cast(c_custkey % 400 as string)) as author_name,
+               case when c_custkey % 25 = 0 then concat('bot-', cast(c_custkey as string))
+                    when c_custkey % 2 = 0 then concat('user', cast(c_custkey as string)) end as author_login
+        from customer""",
+    "commits": """
+        select o_orderkey as sha, o_orderdate as ts, author_name, author_login, coalesce(author_login, author_name) as identity
+        from orders join authors on o_custkey = author""",
+    "paths": """
+        select p_partkey as part,
+               concat(case when p_type = 'PROMO' then 'tests/' when p_partkey % 11 = 0 then 'docs/' when p_partkey % 17 = 0 then '' else 'src/' end,
+                      case when p_partkey % 17 = 0 and p_partkey % 11 <> 0 and p_type <> 'PROMO' then '' else concat(replace(lower(p_brand), '#', ''), '/') end,
+                      case p_partkey % 6 when 0 then 'test_' else 'f' end, cast(p_partkey as string),
+                      case p_partkey % 5 when 0 then '.py' when 1 then '.ts' when 2 then '.go' when 3 then '.java' else '.md' end) as path
+        from part""",
+    "commit_files": "select l_orderkey as sha, path from lineitem join paths on l_partkey = part",
+    "functions": f"""
+        select {PART_FILE.format(p='')} as file, concat('fn_', cast(p_partkey as string)) as name,
+               case when p_partkey % 3 = 0 then concat('C', cast(p_partkey % 10 as string)) end as container,
+               cast(p_partkey as int) as start_row, cast(p_partkey + p_size as int) as end_row, p_size as complexity, p_name as body_hash, p_partkey as part
+        from part""",
+    "part_edges": """
+        select before as a, l_partkey as b, l_orderkey, l_linenumber from (
+            select *, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as before from lineitem where l_quantity >= 48) t
+        where before is not null""",
+    "calls": """
+        select f.file as from_file, f.name as from_fn, f.container as from_container, t.name as callee_name, (b % 2 = 0) as has_receiver, t.container as callee_type,
+               case when b % 13 <> 0 then t.file end as to_file, case when b % 13 <> 0 then t.name end as to_fn, case when b % 13 <> 0 then t.container end as to_container
+        from part_edges join functions f on f.part = a join functions t on t.part = b""",
+    "imports": """
+        select f.file as from_file, t.file as to_file, case l_linenumber % 4 when 0 then 'import' when 1 then 'extends' when 2 then 'implements' else 'renders' end as kind
+        from part_edges join functions f on f.part = a join functions t on t.part = b where l_orderkey % 3 = 0""",
+    "file_edges": """
+        select distinct src, dst from (
+            select from_file as src, to_file as dst from imports union all select from_file, to_file from calls where to_file is not null) e
+        where src <> dst""",
+    "files": "select file, cast(sum(complexity) as bigint) as complexity, min(body_hash) as content_hash from functions group by file",
+    "base_functions": "select file, name, container, start_row, complexity, body_hash from functions where part % 10 <> 1",
+    "head_functions": """
+        select file, name, container, start_row, cast(complexity + (case when part % 7 = 0 then 5 when part % 8 = 0 then -1 else 0 end) as int) as complexity,
+               case when part % 9 = 0 then concat(body_hash, '!') when part % 31 = 0 then null else body_hash end as body_hash
+        from functions where part % 10 <> 2""",
+    "pull_requests": """
+        select o_orderkey as number, case when o_orderstatus = 'O' then 'open' else 'closed' end as state, o_orderstatus = 'F' as merged, author_login,
+               o_orderdate as created_at, case when o_orderstatus = 'F' then shipped end as merged_at
+        from orders join authors on o_custkey = author
+        left join (select l_orderkey, max(l_shipdate) as shipped from lineitem group by l_orderkey) s on l_orderkey = o_orderkey""",
+    "declared_deps": """
+        select distinct case l_suppkey % 3 when 0 then 'npm' when 1 then 'pypi' else 'cargo' end as ecosystem, concat('pkg', cast(l_partkey as string)) as name,
+               case l_suppkey % 4 when 0 then '1.2.3' when 1 then '^1.4.0' when 2 then '==2.0.1' else '=3.1.0' end as declared,
+               case l_linenumber % 3 when 0 then 'examples/app/manifest' when 1 then 'core/manifest' else 'manifest' end as source_path,
+               case when l_linenumber % 2 = 0 then 'dev' else 'runtime' end as scope
+        from lineitem where l_quantity >= 45""",
+    "registry_meta": """
+        select ecosystem, name, '2.5.0' as latest, min(shipped) as time_of_current, max(shipped) as time_of_latest, case when max(part) % 9 = 0 then 'use another' end as deprecated
+        from (select case l_suppkey % 3 when 0 then 'npm' when 1 then 'pypi' else 'cargo' end as ecosystem, concat('pkg', cast(l_partkey as string)) as name, l_shipdate as shipped, l_partkey as part from lineitem) x
+        group by ecosystem, name""",
+    "advisories": """
+        select case p_partkey % 3 when 0 then 'npm' when 1 then 'pypi' else 'cargo' end as ecosystem, concat('pkg', cast(p_partkey as string)) as name,
+               case p_size % 3 when 0 then '1.2.3' when 1 then '2.5.0' else '3.1.0' end as version, concat('ADV-', cast(p_partkey as string)) as cve_id
+        from part where p_size <= 20""",
+    "test_cases": """
+        select concat('tests/t', cast(conv_id % 40 as string), '.test.ts') as file, concat('case ', cast(conv_id as string), ' ', cast(turn as string)) as name, cast(turn as int) as line,
+               cast(case when role = 'assistant' then length(text) % 4 else length(text) % 2 end as int) as assertions, (role <> 'user' and length(text) % 3 > 0) as has_meaningful_oracle
+        from conversations""",
+    "workflows": """
+        select concat('.github/workflows/w', cast(p_partkey % 50 as string), '.yml') as workflow,
+               case p_partkey % 7 when 0 then './local/action' when 1 then 'docker://alpine:3' when 2 then 'actions/checkout@v4' when 3 then concat('acme/tool', cast(p_partkey % 20 as string), '@main')
+                    when 4 then 'acme/safe@0123456789abcdef0123456789abcdef01234567' when 5 then 'other/thing@v1.2' else 'other/unversioned' end as uses,
+               case p_partkey % 5 when 0 then 'write-all' when 1 then 'unspecified' else 'read' end as scope, case when p_partkey % 2 = 0 then 'build' end as job
+        from part where p_size <= 10""",
+}
+
+
+def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Relations:
+    """Relations of one folder of tables, built when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.known = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.known:
+            if name not in RELATIONS:
+                self.known[name] = raw(self.spark, self.sf_dir, name)
+            else:
+                text = RELATIONS[name]
+                used = {n: self[n] for n in uses(text)}
+                for n in used:
+                    text = _named(text, n)
+                self.known[name] = self.spark.sql(text, **used)
+        return self.known[name]
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
+
+
+def uses(text: str) -> list[str]:
+    import re
+
+    return [n for n in (*TABLES, *RELATIONS) if re.search(rf"\b(?:from|join)\s+{n}\b", text)]
+
+
+def _named(text: str, name: str) -> str:
+    import re
+
+    return re.sub(rf"\b(from|join)\s+{name}\b(?!\s*\()(\s+(?!on\b|join\b|where\b|group\b|left\b|union\b|order\b|limit\b)[a-z]\w*\b)?", lambda m: f"{m[1]} {{{name}}}{m[2] or ' as ' + name}", text)
+
+
+def with_relations(text: str, *names: str) -> str:
+    """SQL for another engine: ``text`` after the relations that it and they use, as common tables."""
+    order: list[str] = []
+
+    def need(t: str) -> None:
+        for n in uses(t):
+            if n in RELATIONS and n not in order:
+                need(RELATIONS[n])
+                order.append(n)
+
+    need(text)
+    for n in names:
+        need(f"from {n}")
+    head = ",\n".join(f"{n} as ({RELATIONS[n]})" for n in order)
+    body = text.strip()
+    if not order:
+        return body
+    if body.lower().startswith("with recursive"):
+        return f"with recursive {head},\n{body[len('with recursive'):]}"
+    if body.lower().startswith("with "):
+        return f"with {head},\n{body[5:]}"
+    return f"with {head}\n{body}"
