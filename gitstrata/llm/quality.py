@@ -191,11 +191,12 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, sample: int = 20_000)
         .agg(F.min("quality").alias("_q")).orderBy(F.md5(F.col("_lid").cast("string")), "_lid").limit(sample)
     )
     chosen = store.written(chosen, "labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_lid"))  # at most ``sample`` rows of two numbers
+    # at most ``sample`` rows of two numbers; written, so that statistics are taken of the chosen texts only
+    rows = store.written(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_lid")), "sample")
     stats = with_statistics(rows).filter(~F.col("base_failed")).select(*FEATURES, (1 - F.col("_q")).cast("int").alias("_bad"), F.pmod(F.crc32(F.col("_lid").cast("string")), F.lit(3)).cast("int").alias("_fold"))
     stats = store.written(stats, "statistics")
     out = learn(stats)
-    store.drop(stats, chosen)
+    store.drop(stats, rows, chosen)
     return out
 
 

@@ -90,7 +90,8 @@ SPECIAL = "</s>[INST] ok [/INST]"
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", SPECIAL), (-1, 1, "assistant", SPECIAL)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(SPECIAL).alias("text"))
     out = chat.format_chat(rows.unionByName(extra)).withColumn("_turns", chat.read_back(F.col("formatted")))
     joined = lambda parts: F.array_join(parts, "")
     return out.withColumn("_loss", joined(F.transform(F.filter("segments", lambda s: s.loss), lambda s: chat.unescaped(s.text)))).select(
