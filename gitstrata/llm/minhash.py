@@ -4,11 +4,15 @@ A document's set holds its distinct word shingles; its sketch the k smallest has
 equal sets form a class and are linked through it. Between classes, inverted lists of sketch values
 give candidates: two sets that are similar enough share at least ``overlap`` sketch values, so it
 suffices to list, for each sketch, all but ``overlap - 1`` of its values, the most frequent ones left
-out. Values that occur once can't meet and only shorten the list. In a list, first one member (another
-one each round) is compared with all others; members that are linked by then need no more comparisons,
-so a group of n near copies costs about n pairs and not n squared; what is left between members not yet
-linked is compared pair by pair, so no link is lost. Pairs pass the estimate from the union's sketch,
-then the exact Jaccard similarity of the full sets.
+out. Values that occur once can't meet and only shorten the list.
+
+Members of short lists are compared pair by pair. In a long list one member, the one whose values are
+the most common, is compared with all others, so a group of n near copies costs about n pairs and not n
+squared. Lists whose members are then all linked need no more; the documents of the others are joined
+exactly, on their full sets: by the rarest shingles of each, with bounds from the sizes and from where
+in that order the common shingle stands. Only documents that aren't linked yet are paired. So no pair
+is left out that the lists would give. Pairs pass the estimate from the union's sketch, then the exact
+Jaccard similarity of the full sets.
 
 With k = 64 a pair at exactly the threshold 0.8 has fewer shared values than asked for with a
 probability below 1e-6, a more similar pair far less; sets of at most 51 shingles are compared in full.
@@ -35,6 +39,8 @@ from gitstrata.llm import components, shingles, store
 cloudpickle.register_pickle_by_value(shingles)
 
 K = 64
+#: Lists of at most so many members are compared pair by pair at once; for longer ones, see the module's text.
+SHORT = 8
 
 
 def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -74,13 +80,14 @@ def _overlap(n: Column, k: int, threshold: float) -> Column:
 
 
 def _lists(reps: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(value, id, n): the inverted lists of the values that each sketch must list, those with two members or more."""
+    """(value, id, n, score): the inverted lists of the values that each sketch must list; score tells how common
+    a sketch's values are."""
     values = reps.select("id", "n", F.explode("sketch").alias("value"))
     shared = store.written(values.groupBy("value").agg(F.count("*").alias("freq")).filter("freq > 1"), "shared")
     met = values.join(shared.hint("shuffle_hash"), "value")
-    mine = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("v"))  # at most k of a sketch
+    mine = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("v"), F.sum("freq").alias("score"))  # at most k of a sketch
     mine = mine.withColumn("take", F.size("v") - _overlap(F.col("n"), k, threshold) + 1).filter("take > 0")
-    return mine.select("id", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("x")).select("x.value", "id", "n")
+    return mine.select("id", "n", "score", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("x")).select("x.value", "id", "n", "score")
 
 
 def _near(a: str, b: str, threshold: float) -> Column:
@@ -100,49 +107,90 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int, thresh
     return exact.filter(100 * both >= hundred * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """The lists whose members aren't all of one component yet: (value, id, n, c)."""
-    now = store.written(lists.join(comp, F.col("id") == F.col("vertex"), "left").select("value", "id", "n", F.coalesce("component", "id").alias("c")), "now")
+def _still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """(id, c): members, with their components, of the lists that hold more than one component."""
+    now = store.written(lists.join(comp, F.col("id") == F.col("vertex"), "left").select("value", "id", F.coalesce("component", "id").alias("c")), "now")
     mixed = store.written(now.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("value"), "mixed")
-    return store.written(now.join(mixed, "value"), "lists")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K, stars: int = 3) -> DataFrame:
+    return now.join(mixed, "value").select("id", "c").distinct()
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _all_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of lists with at most SHORT members, made inside a row for each list."""
+    rows = lists.groupBy("value").agg(F.collect_list(F.struct("id", "n")).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: F.struct(x.id.alias("x"), y.id.alias("y"), x.n.alias("n"), y.n.alias("nn")))))
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").filter(_near("n", "nn", threshold)).select(*_pair("x", "y"))
+
+
+def _star_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """For each list the member with the most common values, paired with all others."""
+    centre = store.written(lists.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("m")), "centres")
+    pairs = lists.join(centre, "value").select(F.col("id").alias("x"), F.col("m.id").alias("y"), "n", F.col("m.n").alias("nn"))
+    return pairs.filter((F.col("x") != F.col("y")) & _near("n", "nn", threshold)).select(*_pair("x", "y"))
+
+
+def _exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of documents (id, members, c) of different components that may be similar enough: a prefix join.
+
+    In each set, shingles are ordered by how many of the documents hold them. If two sets of sizes n <= m are
+    similar enough they share share * (n + m) shingles, so the first of them in the order is among the first
+    n - 2 share n + 1 of the smaller set and the first m - threshold * m + 1 of the larger, and from there on both
+    have that many left."""
+    share = threshold / (1 + threshold)
+    rows = sets.select("id", "c", F.size("members").alias("n"), F.explode("members").alias("h"))
+    shared = store.written(rows.groupBy("h").agg(F.count("*").alias("freq")).filter("freq > 1"), "shared")
+    v = rows.join(shared.hint("shuffle_hash"), "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "h"))).alias("v"))
+    first = F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1
+    last = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
+    alone = F.col("n") - F.size("v")  # shingles that no other document holds come first
+    listed = v.select("id", "c", "n", first.alias("first"), alone.alias("alone"), F.slice("v", F.lit(1), F.greatest(F.lit(0), last - alone).cast("int")).alias("v"))
+    listed = listed.select("id", "c", "n", "first", "alone", F.posexplode("v").alias("k", "x")).select("id", "c", "n", "first", "x.h", (F.col("alone") + F.col("k")).alias("p"))
+    listed = store.written(listed, "listed")
+    smaller = listed.filter("p < first").drop("first")
+    stats = store.written(smaller.groupBy("h").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")), "stats")
+    # a larger set with p shingles passed by has room for partners up to this size only
+    room = F.floor((F.col("n") - F.col("p")) / share - F.col("n") + 1e-6)
+    larger = store.written(listed.drop("first").join(stats, "h").filter((F.col("n") >= F.col("least")) & (room >= F.col("least"))), "larger")
+    mixed = larger.groupBy("h").agg(F.least(F.min("lo"), F.min("c")).alias("lo"), F.greatest(F.max("hi"), F.max("c")).alias("hi")).filter("lo < hi").select("h")
+    mixed = store.written(mixed, "mixed")
+    a = store.written(smaller.join(mixed, "h"), "smaller").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    left = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("p"))
+    ordered = (F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("id")))
+    pairs = a.join(larger.select("h", "id", "c", "n", "p"), "h").filter(ordered & (F.col("cx") != F.col("c")) & (left >= share * (F.col("nx") + F.col("n")) - 1e-6))
+    return pairs.select(*_pair("x", "id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
     """doc_id, n_shingles (long), component_id, kept for each row of ``docs``; see the module's text."""
-    spark = docs.sparkSession
     all_sk = store.written(_sketches(docs, width, k), "sketches")
-    count = all_sk.agg(F.count("*"), F.count_distinct("doc_id")).head()
+    repeated = not all_sk.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty()
     sk = all_sk
-    if count[0] != count[1]:
+    if repeated:
         sk = all_sk.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "sketch")).alias("x")).select("doc_id", "x.*")
     classes = store.written(sk.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
     reps = store.written(sk.select("doc_id", "sketch").join(classes.select("id", "n"), F.col("doc_id") == F.col("id")).select("id", "n", "sketch"), "reps")
     lists = store.written(_lists(reps, k, threshold), "lists")
-    comp = spark.createDataFrame([], "vertex bigint, component bigint")
-    links = spark.createDataFrame([], "u bigint, v bigint")
-    lists = _open_lists(lists, comp)
+    sizes = store.written(lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    lists = store.written(lists.join(sizes, "value"), "lists")
     sets = store.written(_sets(docs, lists.select("id").distinct(), width), "sets")
-    if count[0] != count[1]:  # of rows sharing a doc_id, the one that stands for it
+    if repeated:  # of rows sharing a doc_id, the one that stands for it
         want = reps.select("id", F.col("n").alias("_n"), F.col("sketch").alias("_s"))
         sets = store.written(sets.join(want, "id").filter((F.size("members") == F.col("_n")) & (F.slice("members", 1, k) == F.col("_s"))).select("id", "members").dropDuplicates(["id"]), "sets")
-    for r in range(stars + 1):
-        if lists.isEmpty():
-            break
-        if r < stars:
-            centre = store.written(lists.groupBy("value").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(r))).alias("m")), "centres")
-            pairs = lists.join(centre, "value").select(F.col("id").alias("x"), F.col("m.id").alias("y"), "n", F.col("m.n").alias("nn"), F.col("c"), F.col("m.c").alias("cc"))
-        else:
-            other = lists.select("value", F.col("id").alias("y"), F.col("n").alias("nn"), F.col("c").alias("cc"))
-            pairs = lists.join(other, "value").filter("id < y").withColumnRenamed("id", "x")
-        pairs = pairs.filter((F.col("c") != F.col("cc")) & _near("n", "nn", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = _verified(store.written(pairs, "pairs"), reps, sets, k, threshold)
-        links = store.written(links.unionByName(found), "links")
+    long_lists = lists.filter(F.col("m") > SHORT).drop("m")
+    pairs = _all_pairs(lists.filter(F.col("m") <= SHORT), threshold).unionByName(_star_pairs(long_lists, threshold)).distinct()
+    links = store.written(_verified(store.written(pairs, "pairs"), reps, sets, k, threshold), "links")
+    comp = store.written(components.components(links), "components")
+    still = store.written(_still_open(long_lists, comp), "open")
+    if not still.isEmpty():
+        pairs = _exact_pairs(sets.join(still, "id"), threshold).distinct()
+        links = links.unionByName(_verified(store.written(pairs, "pairs"), reps, sets, k, threshold))
         comp = store.written(components.components(links), "components")
-        if r < stars:
-            lists = _open_lists(lists.drop("c"), comp)
     known = store.written(classes.join(comp, F.col("id") == F.col("vertex"), "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("_c")), "known")
     out = all_sk.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
-    if count[0] != count[1]:
+    if repeated:
         least = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
         out = out.drop("component_id").join(least, "doc_id")
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
