@@ -21,6 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gitstrata.llm import store, text as T
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 23
+#: A table of the benchmark with at most so many rows (of four numbers) is broadcast; a larger one is joined by shuffle.
+SMALL_ROWS = 500_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def plain_words(text: Column) -> Column:
@@ -70,11 +76,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     """doc_id, item_id, similarity (double), start (the window's first word, from 0), one row for each
     document and item with a window that is similar enough: the most similar one, the first of equals.
 
-    The benchmark's shingles meet the documents' in a join that Spark broadcasts only if the written
-    table is below its size limit; nothing of the documents moves but (id, place, hash) of the windows
+    The benchmark's shingles meet the documents' in a broadcast join if there are at most SMALL_ROWS of
+    them, else in a shuffled one; nothing of the documents moves but (id, place, hash) of the windows
     that are laid, and the texts of the documents that have one."""
     items = store.written(prepared_items(benchmark, width, radius), "items")
-    by_gram = store.written(items.select(F.posexplode("grams").alias("at", "h"), "n_words", "width").distinct(), "grams")
+    by_gram = checked(store.written(items.select(F.posexplode("grams").alias("at", "h"), "n_words", "width").distinct(), "grams"))
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``width`` numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(T.whole(F.col("text"))).alias("_x"), plain_words(F.col("text")).alias("_w"))
     laid = None
