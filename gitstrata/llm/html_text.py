@@ -3,8 +3,8 @@
 A page is read as a row of tokens: words score positive, tags negative, with weights learned from the
 labelled pages below; a linear scan finds the contiguous run with the largest sum, the content region.
 Its text is returned by blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comments
-are recognised by element, role, class or id; their words score negative, so that they don't extend the
-region, and where the region encloses them they are left out.
+are recognised by element, role, class or id; their tags score nothing and their words next to nothing,
+so that they neither draw the region nor split an article, and they are left out of the text.
 
 Nulls and edges: a null or empty page has no text; unclosed comments, scripts and tags reach to the
 page's end; repeated rows and pages without any word are ordinary; an empty table gives an empty
@@ -53,6 +53,7 @@ LABELLED = (
     '<body><div class="menu"><a href="a">One</a><a href="b">Two</a><a href="c">Three</a></div><div id="content">⟦<h2>Notes on bread</h2><p>Flour, water, salt and time are all it takes to bake a loaf worth eating.</p><ul><li>Mix the flour with the water and wait.</li><li>Fold the dough every hour.</li></ul><p>Bake it hot.</p>⟧</div><div class="sidebar"><h3>Tags</h3><ul><li><a href="t">bread</a></li><li><a href="u">oven</a></li></ul></div></body>',
     '<body><header><a href="/">Logo</a><form><input name="q"><button>Go</button></form></header><main>⟦<p>The committee met on Tuesday to discuss the plan, which had been <a href="z">announced</a> in spring.</p><p>Nothing was decided, but members agreed to meet again within the month.<br>Minutes will follow.</p><blockquote>We have time, said the chair.</blockquote>⟧</main><aside><p>Read next: <a href="n">a story</a></p></aside><footer><p><a href="c">Contact</a> <a href="i">Imprint</a></p></footer></body>',
     '<html><body><ul><li><a href="1">News</a></li><li><a href="2">Sport</a></li><li><a href="3">Mail</a></li></ul><div class="ad">Buy now</div><div>⟦<h1>Rain expected</h1><p>Heavy rain is expected in the north by the evening, with winds from the west.</p><p>Drivers should take care on the coast roads.</p><table><tr><td>North</td><td>rain</td></tr></table>⟧</div><div class="comments"><p>First!</p><p>So true.</p></div><script>track(1)</script></body></html>',
+    '<html><body><a href="/">Start</a> <a href="/a">About</a><div>⟦<article><header><h1>Old maps</h1><p>By A. Writer</p></header><p>Maps of the town from three centuries hang in the hall.</p><aside>See also: guides</aside><p>The oldest shows the bridge with its <i>five</i> arches.</p><section><h2>Visits</h2><p>Open daily.</p></section></article>⟧</div><a href="/c">Contact</a> <a href="/p">Privacy</a> 2021</body></html>',
 )
 
 
@@ -106,10 +107,10 @@ def scored(page: str, weights: Weights) -> tuple[list[tuple[str, str, bool]], li
     for kind, value, beside in tokens(page):
         if kind == "tag":
             link = 1 if value == "a" else 0 if value == "/a" else link
-            s = weights.tag.get(value.lstrip("/"), weights.other)
+            s = 0.0 if beside else weights.tag.get(value.lstrip("/"), weights.other)
         else:
             n = len(value.split())
-            s = n * (-1.0 if beside else weights.word["word in link" if link else "word"])
+            s = n * (-0.01 if beside else weights.word["word in link" if link else "word"])
         out.append((kind, value, beside))
         scores.append(s)
     return out, scores
@@ -129,7 +130,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def train(pages=LABELLED) -> Weights:
-    """Log-odds of lying in the content, smoothed; a word keeps a small positive score at least and a tag a
+    """Log-odds of lying in the content, smoothed, outside the parts beside the article; a word keeps a small positive score at least and a tag a
     small negative one at most."""
     inside: Counter = Counter()
     outside: Counter = Counter()
@@ -138,11 +139,11 @@ def train(pages=LABELLED) -> Weights:
         within, after = rest.split("⟧")
         for part, count in ((before, outside), (within, inside), (after, outside)):
             link = 0
-            for kind, value, _ in tokens(part):
+            for kind, value, beside in tokens(part):
                 if kind == "tag":
                     link = 1 if value == "a" else 0 if value == "/a" else link
-                    count["tag", value.lstrip("/")] += 1
-                else:
+                    count["tag", value.lstrip("/")] += not beside
+                elif not beside:
                     count["word", "word in link" if link else "word"] += len(value.split())
     odds = lambda k: math.log((inside[k] + 0.5) / (outside[k] + 0.5))
     tags = {k[1] for k in {*inside, *outside} if k[0] == "tag"}
