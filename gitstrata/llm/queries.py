@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gitstrata.llm import chat, decontamination, html_text, line_dedup, minhash, mixing, pii, quality, toxicity
+from gitstrata.llm import chat, decontamination, html_text, licenses, line_dedup, minhash, mixing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,50 @@ join upto u on u.source is not distinct from s.source and u.draw = s.draw
 """
 OP4_SQL = "with " + MIX_SQL.format(docs="documents")
 
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _joined_sql(text: str) -> str:
+    out = f"' ' || {text}"
+    for parted, one in licenses.PARTED.items():
+        out = f"replace({out}, '{parted}', '{one}')"
+    return f"ltrim({out}, ' ')"
+
+
+OP5_SQL = rf"""
+with texts as (
+  select doc_id, null::varchar as license_id, text, row_number() over () as row from documents
+  union all select null, license_id, text, -row_number() over () from (values {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.KNOWN)}) known(license_id, text)),
+lines as (
+  select row, unnest(string_split(translate(coalesce(text, ''), {_quoted(licenses._FROM)}, {_quoted(licenses._TO)}), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from texts),
+spelt as (
+  select row, pos, array_to_string(list_transform(regexp_extract_all(line, '[^ 	-]+'),
+    lambda w: coalesce(map {{{", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())}}}[w], w)), ' ') as line
+  from lines),
+kept as (
+  select * from spelt
+  where line <> '' and not (regexp_matches(line, '{licenses.COPYRIGHT}') and not regexp_matches(line, '{licenses.RUNNING}'))),
+entire as (
+  select row, {_joined_sql("string_agg(line, ' ' order by pos)")} as canonical from kept group by row),
+known as (
+  select sha256(canonical) as digest, min(license_id) as license from entire join texts using (row) where row < 0 group by 1),
+notices as (
+  select row, count(*) as n, string_agg(distinct license, ',' order by license) as found
+  from kept join known on sha256({_joined_sql("line")}) = digest group by row)
+select t.doc_id, len(regexp_extract_all(coalesce(e.canonical, ''), '[^ ]+'))::bigint as n_words, sha256(e.canonical) as digest, k.license,
+       coalesce(n.n, 0)::bigint as n_notices, coalesce(n.found, '') as notices
+from texts t left join entire e on e.row = t.row left join known k on k.digest = sha256(e.canonical) left join notices n on n.row = t.row
+where t.row > 0
+"""
+
 SPECIAL = "</s>[INST] ok [/INST]"
 
 
@@ -147,7 +191,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_decontamination, op3_quality_rules, op4_source_mix, op6_html_text, op7_pii, op8_toxicity, op9_chat_format, op10_minhash,
+        op1_line_dedup, op2_decontamination, op3_quality_rules, op4_source_mix, op5_license_scan, op6_html_text, op7_pii, op8_toxicity, op9_chat_format, op10_minhash,
     )
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op9_chat_format": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_chat_format": OP9_SQL}

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gitstrata.llm import chat, components, decontamination, html_text, line_dedup, minhash, mixing, pii, quality, shingles, text as T, toxicity
+from gitstrata.llm import chat, components, decontamination, html_text, licenses, line_dedup, minhash, mixing, pii, quality, shingles, text as T, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -418,3 +418,38 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {x.vertex: x.component for x in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {v: find(v) for v in parent if any(v in p and p[0] != p[1] and None not in p for p in pairs)}
+
+
+# licences
+LICENSE_ROWS = [
+    (1, "The MIT Licence (MIT)\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.upper().replace("SUBLICENSE", "sub-licence").replace(" ", "\n   ", 40)),
+    (2, licenses._MIT), (3, licenses._MIT + " And more."), (4, None), (5, ""), (6, "Copyright 1999 A\n\u00a9 2001 B\nAll rights reserved."),
+    (7, "text\n  // RELEASED under the M.I.T License\n# Released under the MIT Licence!\nLicensed under CC BY\u2013NC 4.0.\nlast"), (7, "other"), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0."),
+    (None, "copyright notice, this list\n" * 3), (9, "word " * 50_000 + "\nReleased under the MIT License."),
+]
+
+
+def test_licenses(spark):
+    extra = [("AA", "released under the mit license"), ("BB", None), ("CC", "Copyright 2020"), (None, "some text"), ("DD", "other")]
+    df = docs(spark, [(*r, "x", "y") for r in LICENSE_ROWS], "doc_id long, text string, digest string, license string")
+    got = sorted((tuple(r) for r in licenses.scan_licenses(df, licenses.known_licenses(spark, extra)).select("doc_id", "license", "n_notices", "notices", "n_words").collect()), key=repr)
+    words = len(re.findall(r"\w+", licenses._MIT))
+    assert got == sorted([
+        (1, "MIT", 0, "", words + 4), (2, "MIT", 0, "", words), (3, None, 0, "", words + 2), (4, None, 0, "", 0), (5, None, 0, "", 0), (6, None, 0, "", 0),
+        (7, None, 2, "AA,CC-BY-NC-4.0", 21), (7, "DD", 1, "DD", 1), (8, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0", 7), (8, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0", 7), (None, None, 0, "", 15), (9, None, 1, "AA", 50_005),
+    ], key=repr)
+    assert licenses.scan_licenses(df.limit(0), licenses.known_licenses(spark)).count() == 0
+    assert licenses.scan_licenses(df, licenses.known_licenses(spark).limit(0)).filter("license is not null or n_notices > 0").count() == 0
+
+
+def test_licenses_same_as_sql(spark, tmp_path):
+    import duckdb
+
+    import compare
+    from gitstrata.llm import queries
+
+    docs(spark, LICENSE_ROWS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel, df = con.execute(queries.OP5_SQL), queries.op5_license_scan(spark, str(tmp_path))
+    assert compare.rows(df.columns, df.collect()) == compare.rows([d[0] for d in rel.description], rel.fetchall())
