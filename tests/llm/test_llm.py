@@ -89,6 +89,8 @@ def brute_leaks(rows, items, width=5, threshold=0.8):
             a = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
             g = [tuple(x[j : j + k]) for j in range(len(x) - k + 1)]
             best = 0.0
+            if a.keys().isdisjoint(g):  # every window's similarity is 0
+                continue
             for at in range(max(1, len(x) - len(w) + 1)):
                 b = Counter(g[at : at + len(w) - k + 1])
                 both = sum((a & b).values())
