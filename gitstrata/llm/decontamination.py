@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 Texts are compared as words: lower-cased, with all but letters and digits removed. An item's windows in
-a document have as many words as the item; they are laid wherever the document holds one of the item's
-shingles, in the place that brings the shingle to where the item has it (a window without any has
-similarity 0). Each window gets a 64-bit SimHash of its shingles. Windows and items of one size meet if
+a document have as many words as the item; one is laid at every start from which enough of the window's
+shingles occur in items of that size for the threshold to be reached at all, in whatever order they
+stand (the others' similarity is below it). Each window gets a 64-bit SimHash of its shingles. Windows and items of one size meet if
 they agree on one of ``radius + 1`` blocks of bits, which all fingerprints within ``radius`` do. Pairs
 within the radius pass the exact weighted Jaccard similarity of their shingles, weighted by how often
 each occurs. At similarity 0.8 two fingerprints differ in about 10 bits (standard deviation 2.9), so a
@@ -72,28 +72,49 @@ def prepared_items(benchmark: DataFrame, width: int, radius: int) -> DataFrame:
     return items.withColumn("print", simhash(F.col("grams"))).select("item_id", "n_words", "width", "grams", "print")
 
 
+def starts(at: Column, n: Column, n_words: Column, width: Column, need: Column) -> Column:
+    """The first words of all windows of ``n_words`` words in a document of ``n`` that hold at least ``need``
+    of the places ``at`` (sorted, at least ``need`` of them)."""
+    words = F.least(n, n_words)
+    reach = words - width  # from a window's first shingle to its last
+    # starts are dealt to the first place that is not before them, so none comes twice
+    low = lambda j: F.greatest(F.lit(0), F.get(at, j + need - 1) - reach, F.coalesce(F.get(at, j - 1) + 1, F.lit(0)))
+    high = lambda j: F.least(F.get(at, j), n - words)
+    some = lambda j: F.when(low(j) <= high(j), F.sequence(low(j), high(j))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), some))
+
+
+def least_shared(n: Column, n_words: Column, width: Column, threshold: float) -> Column:
+    """How many shingles a window must share with an item of ``n_words`` words to be as similar as ``threshold``."""
+    both = F.least(n, n_words) - width + 1 + n_words - width + 1
+    return F.greatest(F.lit(1), F.ceil(both * threshold / (1 + threshold) - 1e-9).cast("int"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity (double), start (the window's first word, from 0), one row for each
     document and item with a window that is similar enough: the most similar one, the first of equals.
 
     The benchmark's shingles meet the documents' in a broadcast join if there are at most SMALL_ROWS of
-    them, else in a shuffled one; nothing of the documents moves but (id, place, hash) of the windows
-    that are laid, and the texts of the documents that have one."""
+    them, else in a shuffled one; nothing of the documents moves but the ids and places of
+    shared shingles, and the texts of the documents with a window."""
     items = store.written(prepared_items(benchmark, width, radius), "items")
-    by_gram = checked(store.written(items.select(F.posexplode("grams").alias("at", "h"), "n_words", "width").distinct(), "grams"))
+    by_gram = checked(store.written(items.select(F.explode("grams").alias("h"), "n_words", "width").distinct(), "grams"))
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``width`` numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(T.whole(F.col("text"))).alias("_x"), plain_words(F.col("text")).alias("_w"))
     laid = None
     for w in widths:
         each = rows.select("doc_id", "_x", F.size("_w").alias("_n"), F.posexplode(grams(F.col("_w"), w)).alias("_p", "h"))
         hit = each.join(by_gram.filter(F.col("width") == w), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("_p") - F.col("at"), F.col("_n") - F.col("n_words")))
-        one = hit.select("doc_id", "_x", F.struct(start.alias("start"), "n_words", "width").alias("win"))
+        one = hit.select("doc_id", "_x", "_n", "n_words", "width", "_p")
         laid = one if laid is None else laid.unionByName(one)
     out = "doc_id bigint, item_id bigint, similarity double, start int"
     if laid is None:
         return docs.sparkSession.createDataFrame([], out)
-    places = store.written(laid.groupBy("doc_id", "_x").agg(F.collect_set("win").alias("wins")), "windows")
+    sizes = laid.groupBy("doc_id", "_x", "_n", "n_words", "width").agg(F.sort_array(F.collect_set("_p")).alias("at"))
+    sizes = sizes.withColumn("need", least_shared(F.col("_n"), F.col("n_words"), F.col("width"), threshold)).filter(F.size("at") >= F.col("need"))
+    win = F.transform(starts(*(F.col(c) for c in ("at", "_n", "n_words", "width", "need"))), lambda s: F.struct(s.alias("start"), F.col("n_words"), F.col("width")))
+    places = sizes.withColumn("wins", win).filter(F.size("wins") > 0)
+    places = store.written(places.groupBy("doc_id", "_x").agg(F.flatten(F.collect_list("wins")).alias("wins")), "windows")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_y"))
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(T.whole(F.col("text"))).alias("_x"), "text").join(places.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_y"), "wins"), same)
     cut = lambda ws, win: F.struct(win.start.alias("start"), win.n_words.alias("n_words"), grams(F.slice(ws, win.start + 1, win.n_words), win.width).alias("grams"))

@@ -125,6 +125,20 @@ def test_decontamination(spark):
     assert decontamination.leaks(df, docs(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_moved_parts(spark):
+    r = random.Random(11)
+    v = vocabulary(2000)
+    a, b = ([r.choice(v) for _ in range(n)] for n in (60, 120))
+    items = [(1, " ".join(a)), (2, " ".join(b))]
+    around = lambda w: " ".join([r.choice(v) for _ in range(90)] + w + [r.choice(v) for _ in range(70)])
+    rows = [
+        (1, around(a[30:] + a[:30])), (2, around(b[70:] + b[:70])), (3, around(["x0"] + a[1:30] + ["x1", "x2"] + a[30:59] + ["x3"])), (4, around(a[20:40])),
+        (5, " ".join(a[30:] + a[:30])), (6, " ".join(a[1:58])), (7, " ".join(a[30:] + a[:30] + a)), (8, around(b[80:] + b[40:80] + b[:40])), (None, around(a)),
+    ]
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(docs(spark, rows), docs(spark, items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(rows, items) and {(1, 1), (2, 2), (3, 1), (5, 1), (8, 2)} <= got.keys()
+
+
 def test_hamming_blocks_miss_nothing(spark):
     r = random.Random(3)
     for _ in range(200):
