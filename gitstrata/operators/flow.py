@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
-from gitstrata.operators.traverse import checkpointed
+from gitstrata.operators.traverse import FOLD, checkpointed
 
 NODE = "concat_ws('|', {0}file, {0}name)"
 
@@ -54,18 +56,20 @@ def flow_trace(calls: DataFrame, roots: DataFrame, depth: int = 4, children: int
     return seen.withColumn("place", place).filter(F.col("place") <= max_nodes).select("root", "node", "parent", "hop", "elided", "place")
 
 
-def reachable_functions(calls: DataFrame, entries: DataFrame, max_rounds: int = 100) -> DataFrame:
+def reachable_functions(calls: DataFrame, entries: DataFrame) -> DataFrame:
     """node, origin, parent, hop: what the entries (column id) reach, each by the shortest way, ties to the smallest
     origin and then parent; until nothing new is found."""
     edges = flow_edges(calls)
     seen = checkpointed(entries.select(F.col("id").alias("node"), F.col("id").alias("origin"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop")).distinct())
     front = seen
-    for hop in range(1, max_rounds + 1):
+    for hop in itertools.count(1):
         step = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("origin", F.col("src").alias("parent"))).alias("x"))
         front = checkpointed(step.join(seen, "node", "left_anti").select("node", "x.origin", "x.parent", F.lit(hop).alias("hop")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % FOLD == 0:
+            seen = checkpointed(seen)
     return seen
 
 

@@ -6,12 +6,16 @@ from the ones before by a checkpoint. Node caps keep the nearest by (hop, id).
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
 
+#: After so many rounds the tables gathered so far are written as one, so that plans stay short.
+FOLD = 32
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the session's checkpoint folder; a folder of our own only where none is set."""
@@ -125,16 +129,16 @@ def caller_index(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return out.select("file", "name", "container", zero("callers").alias("callers"), F.when(F.col("_same") > 1, 0).otherwise(zero("callees")).alias("callees"))
 
 
-def layers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """node, layer: the longest way from a node without predecessors. Exact without cycles; nodes that are still
-    rising after ``max_rounds``, or lie on a cycle without a root, have layer null."""
+def layers(edges: DataFrame) -> DataFrame:
+    """node, layer: the longest way from a node without predecessors, as deep as the graph is. Exact without cycles;
+    nodes on a cycle or behind one have layer null."""
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     indegree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waiting"))
     left = checkpointed(nodes.join(indegree, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).alias("layer")))
     done = left.filter("waiting = 0").select("node", "layer")
     front, left = done, left.filter("waiting > 0")
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         if front.isEmpty():
             break
         # a node is placed once all its predecessors are
@@ -142,6 +146,8 @@ def layers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         left = checkpointed(left.join(got, "node", "left").select("node", (F.col("waiting") - F.coalesce("met", F.lit(0))).alias("waiting"), F.greatest("layer", F.coalesce("now", F.lit(0))).alias("layer")))
         front = left.filter("waiting = 0").select("node", "layer")
         done, left = done.unionByName(front), left.filter("waiting > 0")
+        if k % FOLD == 0:
+            done = checkpointed(done)
     return done.unionByName(left.select("node", F.lit(None).cast("int").alias("layer")))
 
 
@@ -159,6 +165,8 @@ def deepest_chain(edges: DataFrame, min_layer: int = 6) -> DataFrame:
         before = edges.join(front.select(F.col("node").alias("dst")), "dst").join(placed.filter(F.col("layer") == layer).withColumnRenamed("node", "src"), "src")
         front = checkpointed(before.agg(F.min("src").alias("node")).withColumn("place", F.lit(layer)))
         chain = chain.unionByName(front)
+        if layer % FOLD == 0:
+            chain = checkpointed(chain)
     return chain.select("place", "node")
 
 

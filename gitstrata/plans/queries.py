@@ -247,7 +247,7 @@ LAYERS_SQL = f"with recursive {DAG_SQL}, up as (select n as node, 0 as layer fro
 
 @query(f"{LAYERS_SQL} select node, layer from placed")
 def c10_layers(r):
-    return traverse.layers(dag(r), 256)
+    return traverse.layers(dag(r))
 
 
 @query(f"{LAYERS_SQL} select max(layer) + 1 as nodes, max(layer) as deepest from placed")

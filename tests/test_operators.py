@@ -83,6 +83,17 @@ def test_layers_and_chain(spark):
     assert traverse.deepest_chain(e, 4).count() == 0
 
 
+def test_deep_layers(spark):
+    e = edges(spark, *((f"n{k:03}", f"n{k + 1:03}") for k in range(66))).coalesce(1)
+    assert sorted(map(tuple, traverse.layers(e).collect())) == [(f"n{k:03}", k) for k in range(67)]
+
+
+def test_far_functions_are_reached(spark):
+    calls = spark.createDataFrame([("a.py", f"f{k}", None, f"f{k + 1}", None, None, "a.py", f"f{k + 1}", None) for k in range(102)], CALL).coalesce(1)
+    got = flow.reachable_functions(calls, spark.createDataFrame([("a.py|f0",)], "id string").coalesce(1))
+    assert sorted(x.hop for x in got.collect()) == list(range(103))
+
+
 def test_hotspots_and_co_change(spark):
     c = spark.createDataFrame([(k, dt.datetime(2024, 1, k + 1), f"u{k % 2}", None) for k in range(6)], "sha int, ts timestamp, author_name string, author_login string").withColumn("identity", F.col("author_name"))
     f = spark.createDataFrame([(k, p) for k in range(3) for p in ("a", "b")] + [(3, "a"), (3, "a"), (4, "c")], "sha int, path string")
