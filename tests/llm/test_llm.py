@@ -325,6 +325,75 @@ def test_toxicity_learns_from_positives(spark):
     assert toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")).weights == {}
 
 
+@pytest.mark.parametrize(("positives", "caught", "false"), [(5, 0.4, 0.1), (10, 0.6, 0.05), (40, 0.9, 0.02)])
+def test_toxicity_from_few_positives(spark, positives, caught, false):
+    """Held-out documents: of the toxic ones at least ``caught`` is found, of the others at most ``false`` is."""
+    r = random.Random(positives)
+    v = [a + b for a in ("lor", "mir", "sol", "tan", "vex") for b in ("ba", "do", "ki", "lu", "men", "rit", "sop")]
+    bad_words = ["scrob", "vilkin", "hargle", "grolb"]
+    rows, toxic = [], set()
+    for k in range(1500):
+        w = [r.choice(v) for _ in range(40)]
+        if k % 8 == 0:
+            toxic.add(k)
+            w[3:3] = r.sample(bad_words, 2)
+        rows.append((k, " ".join(w)))
+    df = docs(spark, rows)
+    held = {x.doc_id for x in df.filter(toxicity.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    known = sorted(toxic - held)[:positives]
+    labels = [(k, 1) for k in known] + [(k, 0) for k in sorted(set(range(1500)) - toxic - held)[: 8 * positives]]
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights
+    got = {x.doc_id: x for x in toxicity.score(df, model).select("doc_id", "score", "predicted").collect()}
+    mean = lambda ids: sum(got[k].score for k in ids) / len(ids)
+    assert mean(toxic & held) > mean(held - toxic) + 0.2
+    assert sum(got[k].predicted for k in toxic & held) >= caught * len(toxic & held)
+    assert sum(got[k].predicted for k in held - toxic) <= false * len(held - toxic)
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    none = toxicity.fit(docs(spark, []), labels)
+    assert none.weights == {} and toxicity.score(docs(spark, []), none).count() == 0
+    long_ = "grolb " + "plain words of a very long text " * 60_000
+    rows = [(1, "grolb vex"), (2, "grolb"), (2, "grolb"), (3, "vex"), (4, "vex sol"), (None, "grolb"), (6, long_), (7, None), (8, "")]
+    df = docs(spark, rows)
+    got = toxicity.score(df, toxicity.fit(df, labels)).select("doc_id", "score").collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+    assert len({x.score for x in got if x.doc_id == 2}) == 1
+
+
+def brute_nnpu_risk(w, bias, x_p, x_u, prior):
+    import math
+
+    loss = lambda g: math.log1p(math.exp(-g))
+    score = lambda x: bias + sum(w[f] for f in x)
+    mean = lambda xs, sign: sum(loss(sign * score(x)) for x in xs) / len(xs)
+    return prior * mean(x_p, 1) + max(0.0, mean(x_u, -1) - prior * mean(x_p, -1))
+
+
+def test_nnpu_minimises_its_risk():
+    import numpy as np
+
+    r = random.Random(12)
+    x_p = [np.array([f for f in range(3) if r.random() < 0.6]) for _ in range(60)]
+    x_u = [np.array([f for f in range(6) if r.random() < (0.6 if f < 3 and k % 6 == 0 else 0.1)]) for k in range(300)]
+    w, bias = toxicity.nnpu(x_p, x_u, 6, 1 / 6, steps=800, l2=1e-3)
+    best = brute_nnpu_risk(w, bias, x_p, x_u, 1 / 6)
+    for _ in range(200):
+        other = [a + r.gauss(0, 0.4) for a in w]
+        assert brute_nnpu_risk(other, bias + r.gauss(0, 0.4), x_p, x_u, 1 / 6) >= best - 0.01
+    assert min(w[:3]) > max(w[3:])
+
+
+def test_binomial_tail_and_discoveries():
+    from math import comb, exp, log
+
+    for k, n, q in [(0, 5, 0.2), (3, 10, 0.05), (10, 10, 0.5)]:
+        assert exp(toxicity.tail(k, n, q)) == pytest.approx(sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1)))
+    assert toxicity.discoveries([log(0.001), log(0.015), log(0.03), log(0.9)], 4, 0.05) == 3 and toxicity.discoveries([log(0.5)], 9, 0.05) == 0
+
+
 # chat
 def unescape(t):
     for a, b in chat.ESCAPES[::-1]:
