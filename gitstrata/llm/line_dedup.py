@@ -7,9 +7,10 @@ their keeper; keys with one only raise the count. The result is written as a run
 and sorted by hash, so later merges read runs side by side without a shuffle. When a level holds
 ``fan_in`` runs they are merged into one run of the next level.
 
-Nulls and edges: a null text is one empty line; a null doc_id is smaller than any other; each row
-counts as a document, also when its doc_id occurs twice; rows that share the keeper's doc_id all keep
-their lines. An empty table gives an empty result. Columns named as those added here are replaced.
+Nulls and edges: a null text is one empty line; a null doc_id is smaller than any other; rows that share
+a doc_id count as one document and each lose or keep their lines alike; within a document a line may
+repeat. Lines may be of any length: they are compared by 128 bits of hash. An empty table gives an empty
+result. Columns named as those added here are replaced.
 """
 
 from __future__ import annotations
@@ -42,10 +43,23 @@ def hashed_keys(text: Column, min_chars: int) -> Column:
     return F.transform(T.lines(text), one)
 
 
-def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(_id, _h1, _h2), each key of a row once."""
+def row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+
+
+def document_keys(docs: DataFrame, min_chars: int, repeated: DataFrame | None = None) -> DataFrame:
+    """(_id, _h1, _h2), each key of a row once; of rows that share a doc_id of ``repeated``, each key once for all."""
     keys = F.array_distinct(F.filter(hashed_keys(F.col("text"), min_chars), lambda k: k.isNotNull()))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_id"), F.explode(keys).alias("_k")).select("_id", "_k._h1", "_k._h2")
+    rows = docs.select(row_id().alias("_id"), F.explode(keys).alias("_k")).select("_id", "_k._h1", "_k._h2")
+    if repeated is None:
+        return rows
+    return rows.join(repeated, "_id", "left_anti").unionByName(rows.join(repeated, "_id", "left_semi").distinct())
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """_id of the rows that share a doc_id, as a written table; None where all differ, as they mostly do."""
+    out = store.written(docs.groupBy(row_id().alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "repeated")
+    return None if out.isEmpty() else out
 
 
 @dataclass
@@ -120,14 +134,13 @@ class LineRuns:
 
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fan_in: int) -> DataFrame:
     """RUN's columns for the keys that at least ``min_docs`` documents hold, as a written table."""
-    spark = docs.sparkSession
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+    spark, ids, repeated = docs.sparkSession, row_id(), repeated_ids(docs)
     cuts = docs.select(F.percentile_approx(ids, [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
     runs = LineRuns(spark, fan_in)
     for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
         part = docs.filter((ids > low if low is not None else F.lit(True)) & (ids <= high if high is not None else F.lit(True)))
-        runs.add(document_keys(part, min_chars).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("_id").alias("keeper")))
+        runs.add(document_keys(part, min_chars, repeated).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("_id").alias("keeper")))
     out = store.written(runs.all().filter(F.col("n_docs") >= min_docs), "frequent")
     runs.close()
     return out
@@ -147,7 +160,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         .groupBy("_id").agg(F.collect_set("_h1").alias("_lost"))
         .select(F.col("_id").alias("_lost_id"), "_lost")
     )
-    met = docs.join(lost, F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)) == F.col("_lost_id"), "left")
+    met = docs.join(lost, row_id() == F.col("_lost_id"), "left")
 
     def stays(line: Column) -> Column:
         return T.let(line_key(line), lambda k: (F.char_length(k) < min_chars) | ~F.array_contains(F.col("_lost"), F.xxhash64(k)))

@@ -17,20 +17,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-with lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos
-  from documents),
+with numbered as (
+  select row_number() over () as row, doc_id, coalesce(doc_id, (-9223372036854775807)::bigint - 1) as id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (
+  select row, doc_id, id, unnest(parts) as line, unnest(range(len(parts))) as pos from numbered),
 keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
 frequent as (
-  select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5)
-select doc_id, count(*)::bigint as n_lines,
-       count(*) filter (where f.k is not null and doc_id < keeper)::bigint as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.k is null or doc_id >= keeper), '')) as kept_sha256
+  select k, max(id) as keeper from keyed where length(k) >= 40 group by k having count(distinct id) >= 5)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines,
+       count(*) filter (where f.k is not null and id < keeper)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.k is null or id >= keeper), '')) as kept_sha256
 from keyed left join frequent f on keyed.k = f.k
-group by doc_id
+group by row
 """
 
 
@@ -110,7 +110,8 @@ lines as (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
   from texts),
 spelt as (
-  select row, pos, array_to_string(list_transform(regexp_extract_all(line, '[^ 	-]+'),
+  select row, pos, array_to_string(list_transform(regexp_extract_all(line, '[^ 	-
+]+'),
     lambda w: coalesce(map {{{", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())}}}[w], w)), ' ') as line
   from lines),
 kept as (
@@ -142,7 +143,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("_turns").cast("long").alias("n_turns"),
         F.sha2(joined(F.transform("_turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))), 256).alias("turns_sha256"),
         F.char_length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
 
 
@@ -154,13 +155,15 @@ with turns as (
 marked as (
   select *, length(text) + length(regexp_replace(text, '[^\[\]<\\]', '', 'g'))
             + case role when 'system' then 6 + 8 when 'user' then 7 + 9 when 'assistant' then 3 + 5
-              else 8 + length(role) + length(regexp_replace(role, '[^\[\]<\\]', '', 'g')) + 9 end as chars
-  from turns)
+              else 8 + length(role) + length(regexp_replace(role, '[^\[\]<\\]', '', 'g')) + 9 end as chars,
+         coalesce(lag(role) over o, 'start') || '>' || role in ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') as moves,
+         row_number() over (partition by conv_id order by turn desc nulls first, role desc, text desc) = 1 and role = 'assistant' as ends
+  from turns window o as (partition by conv_id order by turn nulls last, role, text))
 select conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       sum(chars)::bigint as formatted_chars
+       sum(chars)::bigint as formatted_chars, bool_and(moves) and bool_or(ends) as valid
 from marked group by conv_id
 """
 
