@@ -18,9 +18,9 @@ With k = 64 a pair at exactly the threshold 0.8 has fewer shared values than ask
 probability below 1e-6, a more similar pair far less; sets of at most 51 shingles are compared in full.
 
 Nulls and edges: a null or empty text has the empty set and is linked with nothing; a null doc_id is
-linked with nothing, its component is null and it is kept; rows sharing a doc_id are one document, for
-links represented by the one with the smallest set; an empty table gives an empty result. Columns named
-as those added here are replaced.
+linked with nothing, its component is null and it is kept; rows that share a doc_id are one document: the
+links of each of its texts are its links, and all its rows have one component; texts of any length are
+compared whole; an empty table gives an empty result. Columns named as those added here are replaced.
 """
 
 from __future__ import annotations
@@ -165,20 +165,36 @@ def _exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
     """doc_id, n_shingles (long), component_id, kept for each row of ``docs``; see the module's text."""
-    all_sk = store.written(_sketches(docs, width, k), "sketches")
-    repeated = not all_sk.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty()
-    sk = all_sk
-    if repeated:
-        sk = all_sk.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "sketch")).alias("x")).select("doc_id", "x.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = rows.filter("doc_id is not null")
+    if ids.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
+        out = _grouped(rows, width, threshold, k)
+    else:
+        out = _by_row(ids, width, threshold, k)
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
+
+
+def _by_row(rows: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
+    """For tables whose doc_ids repeat: rows are grouped under numbers of their own, then the groups that share a doc_id are joined."""
+    own = store.written(rows.select(F.col("doc_id").alias("_own"), "text").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    out = store.written(_grouped(own, width, threshold, k).join(own.select("doc_id", "_own"), "doc_id"), "rows")
+    heads = store.written(out.groupBy("component_id").agg(F.min("_own").alias("_head")), "heads")
+    edges = out.join(heads, "component_id").select(F.col("_own").alias("u"), F.col("_head").alias("v"))
+    comp = store.written(components.components(edges), "components")
+    return out.join(comp, F.col("_own") == F.col("vertex"), "left").select(F.col("_own").alias("doc_id"), "n_shingles", F.coalesce("component", "_own").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of the rows with a doc_id, which all differ."""
+    sk = store.written(_sketches(docs, width, k), "sketches")
     classes = store.written(sk.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
     reps = store.written(sk.select("doc_id", "sketch").join(classes.select("id", "n"), F.col("doc_id") == F.col("id")).select("id", "n", "sketch"), "reps")
     lists = store.written(_lists(reps, k, threshold), "lists")
     sizes = store.written(lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
     lists = store.written(lists.join(sizes, "value"), "lists")
     sets = store.written(_sets(docs, lists.select("id").distinct(), width), "sets")
-    if repeated:  # of rows sharing a doc_id, the one that stands for it
-        want = reps.select("id", F.col("n").alias("_n"), F.col("sketch").alias("_s"))
-        sets = store.written(sets.join(want, "id").filter((F.size("members") == F.col("_n")) & (F.slice("members", 1, k) == F.col("_s"))).select("id", "members").dropDuplicates(["id"]), "sets")
     long_lists = lists.filter(F.col("m") > SHORT).drop("m")
     pairs = _all_pairs(lists.filter(F.col("m") <= SHORT), threshold).unionByName(_star_pairs(long_lists, threshold)).distinct()
     links = store.written(_verified(store.written(pairs, "pairs"), reps, sets, k, threshold), "links")
@@ -189,10 +205,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
         links = links.unionByName(_verified(store.written(pairs, "pairs"), reps, sets, k, threshold))
         comp = store.written(components.components(links), "components")
     known = store.written(classes.join(comp, F.col("id") == F.col("vertex"), "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("_c")), "known")
-    out = all_sk.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
-    if repeated:
-        least = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-        out = out.drop("component_id").join(least, "doc_id")
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    none = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(none)
+    return sk.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))

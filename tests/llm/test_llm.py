@@ -512,6 +512,15 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs(spark, []), 4).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A document's texts each link it: 5 is linked with 2 through one of them and with 8 through the other."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    long_ = " ".join(f"z{k % 977}" for k in range(150_000))
+    rows = [(5, a), (5, b), (5, b), (2, a + " more"), (8, "more " + b), (7, c), (7, None), (9, c + " x"), (3, ""), (3, None), (4, long_), (6, long_ + " end"), (1, "own words")]
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(docs(spark, rows), 4).collect())
+    assert got == Counter({(5, 2, False): 3, (2, 2, True): 1, (8, 2, False): 1, (7, 7, True): 2, (9, 7, False): 1, (3, 3, True): 2, (4, 4, True): 1, (6, 4, False): 1, (1, 1, True): 1})
+
+
 def test_shingle_hashes_follow_words():
     texts = ["a b c d", " A  b\tc\nd ", "a b c", "a b c d e", "", None, "\n", "é b c d", "ab c d e"]
     sets = shingles.shingle_sets(texts, 4)
