@@ -125,7 +125,7 @@ def brute_leaks(rows, items, width=5, threshold=0.8):
     return out
 
 
-def test_decontamination(spark):
+def leak_tables():
     r = random.Random(5)
     v = vocabulary(400)
     items = [(k, " ".join(r.choice(v) for _ in range(r.randint(12, 60)))) for k in range(12)] + [(90, "just three words"), (91, ""), (92, None), (93, "rep rep rep rep rep rep rep rep")]
@@ -143,8 +143,15 @@ def test_decontamination(spark):
             body[at:at] = w
         rows.append((i, " ".join(body)))
     rows += [(200, None), (201, ""), (202, "Just three words!"), (203, items[0][1]), (204, " ".join(["rep"] * 8)), (205, "rep rep rep"), (203, items[0][1])]
+    return rows, [*items, items[3]]
+
+
+@pytest.mark.parametrize("small_rows", [500_000, 97])
+def test_decontamination(spark, small_rows):
+    """Whole, and with a benchmark that is met in slices."""
+    rows, items = leak_tables()
     df = docs(spark, rows).withColumn("item_id", F.lit("clash"))
-    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(df, docs(spark, items, "item_id long, text string")).collect()}
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(df, docs(spark, items, "item_id long, text string"), small_rows=small_rows).collect()}
     assert got == brute_leaks(rows, items) and len(got) > 40
     assert decontamination.leaks(docs(spark, []), docs(spark, items, "item_id long, text string")).count() == 0
     assert decontamination.leaks(df, docs(spark, [], "item_id long, text string")).count() == 0
@@ -164,6 +171,54 @@ def test_decontamination_moved_parts(spark):
     assert got == brute_leaks(rows, items) and {(1, 1), (2, 2), (3, 1), (5, 1), (8, 2)} <= got.keys()
 
 
+def window_similarity(a, b, width=5):
+    a, b = (Counter(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) for w in (a, b))
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_decontamination_recall_at_the_threshold(spark):
+    """Items of 15 (11 shingles) to 120 words, and copies of them that are only just similar enough."""
+    r, v = random.Random(23), vocabulary(5000)
+    items, rows = [], []
+    for size in (15, 17, 20, 25, 30, 45, 60, 90, 120):
+        for _ in range(40):
+            w = [r.choice(v) for _ in range(size)]
+            x, now = list(w), 1.0
+            for _ in range(60):  # one word after another changes while the copy stays similar enough
+                y = list(x)
+                y[r.randrange(size)] = r.choice(v)
+                if window_similarity(w, y) >= 0.8:
+                    x, now = y, window_similarity(w, y)
+            items.append((len(items), " ".join(w)))
+            if 0.8 <= now < 0.9:
+                rows.append((len(items) - 1, " ".join([r.choice(v) for _ in range(30)] + x + [r.choice(v) for _ in range(30)])))
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(docs(spark, rows), docs(spark, items, "item_id long, text string")).collect()}
+    assert len(rows) > 200 and sum((i, i) in got for i, _ in rows) >= 0.99 * len(rows)
+
+
+def test_decontamination_meets_few_pairs(spark):
+    """5,000 items of one length: the index gives no more pairs than share a shingle, and loses no leak."""
+    r, v = random.Random(31), vocabulary(300)
+    opening = [r.choice(v) for _ in range(9)]
+    items = [(k, " ".join((opening if k % 5 == 0 else [r.choice(v) for _ in range(9)]) + [r.choice(v) for _ in range(15)])) for k in range(5000)]
+    rows = []
+    for i in range(12):
+        w = items[r.randrange(5000)][1].split()
+        w[r.randrange(24)] = "other"
+        rows.append((i, " ".join([r.choice(v) for _ in range(r.randint(0, 40))] + w + opening)))
+    table, bench = docs(spark, rows), docs(spark, items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(table, bench).collect()}
+    assert got == brute_leaks(rows, items) and got
+    its = decontamination.prepared_items(bench, 5, 23)
+    ws = F.col("text")
+    win = table.select("doc_id", F.col("doc_id").alias("_x"), F.lit(0).alias("start"), F.lit(24).alias("n_words"), decontamination.grams(decontamination.plain_words(ws), 5).alias("grams"))
+    win = win.withColumn("print", decontamination.simhash(F.col("grams")))
+    met = decontamination.candidates(win, decontamination.item_index(its, 0.8, 64 - 1), 63).count()
+    both = win.select("doc_id", F.explode("grams").alias("h")).join(its.select("item_id", F.explode("grams").alias("h")), "h").select("doc_id", "item_id").distinct().count()
+    assert 0 < met < both
+
+
 def test_hamming_blocks_miss_nothing(spark):
     r = random.Random(3)
     for _ in range(200):
