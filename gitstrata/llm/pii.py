@@ -4,9 +4,13 @@ Base spans come from four patterns, leftmost and non-overlapping for each kind.
 the tokens around those that hold a digit or an "@" (no other token can be part of a span) from the
 shapes of a token and its neighbours; it is trained here from the small labelled table below and decoded
 by Viterbi in numpy for all sequences of a batch at once. Its spans are added unless they touch a base
-span.
+span: addresses in domains with letters beyond ASCII, telephone numbers without a plus sign, cards of 13 to 15
+digits. Where two of a kind follow one another, each is a span of its own. The kinds are these four;
+names, postal addresses, keys and other secrets are none of them.
 
-Nulls and edges: a null or empty text has no spans; offsets count code points, the end exclusive; an
+Nulls and edges: a null or empty text has no spans; texts and tokens of any length are read whole, in
+pieces of lines for memory; rows that repeat are ordinary, each gives its row; of tag sequences with
+equal scores the one with the smaller tags counts; offsets count code points, the end exclusive; an
 empty table gives an empty result. Columns named as those added here are replaced.
 """
 
@@ -33,7 +37,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"\S+")
+#: Tokens end at white space and at marks that no span holds.
+TOKEN = re.compile(r"[^\s,;|\"'`<>{}\[\]=]+")
 
 Span = tuple[int, int, int]
 
@@ -78,37 +83,54 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: The labelled table: text with spans as [kind:text].
-LABELLED = (
-    "write to [email:jane.doe@mail.example.org] today", "mail [email:bob_1@corp.example.com], please", "contact: [email:a+b@x.example.net].", "<[email:max@müller.example.de]> wrote",
-    "reach me at [email:info@example.co.uk] or [phone:+44 20 7946 0958]", "send it to [email:ürsula@example.com] now",
-    "call [phone:+1 (555) 010-2345] now", "phone [phone:(555) 010-9876] after six", "tel. [phone:555-010-4477], office", "fax [phone:+49 30 1234567] only", "ring [phone:(212) 555-0199] for help",
-    "call [phone:1-800-555-0142] free", "my number is [phone:0171 5550123] ok", "number [phone:+33 1 23 45 67 89] Paris",
-    "from [ip:192.168.10.4] port", "host [ip:10.0.0.1] is up", "address [ip:8.8.4.4], then", "server [ip:172.16.254.1] failed",
-    "card [card:4111 1111 1111 1111] expires", "card [card:4111-1111-1111-1111] used", "pay with [card:4012888888881881] please", "visa [card:5500 0000 0000 0004] ok", "number [card:4222222222222222] on file",
+#: The labelled table is built from these: values of each kind, each put into two of its kind's contexts, and text without spans.
+CONTEXTS = {
+    "email": ("write to {} today", "mail {}, please", "contact: {}.", "<{}> wrote", "send it to {} now", "reach me at {} or by post", "from {} on Monday", "address {}; copy to us"),
+    "phone": ("call {} now", "phone {} after six", "tel. {}, office", "fax {} only", "ring {} for help", "my number is {} ok", "number {} in Paris", "reach me at {} today", "mobile: {}", "{} is my line", "{}", "Handy {} bitte"),
+    "ip": ("from {} port", "host {} is up", "address {}, then", "server {} failed", "login by {} at night", "ping {} twice"),
+    "card": ("card {} expires", "card {} used", "pay with {} please", "visa {} ok", "charged to {} again", "number {} on file", "{}", "my card is {}", "amex {} was refused"),
+}
+VALUES = {
+    "email": ("jane.doe@mail.example.org", "bob_1@corp.example.com", "a+b@x.example.net", "max@müller.example.de", "info@example.co.uk", "ursula@düren.example.com", "jo.gross@straße.example.de", "renee@société.example.fr", "n77@köln.example.de", "jose-luis@españa.example.es"),
+    "phone": (
+        "+1 (555) 010-2345", "(555) 010-9876", "555-010-4477", "+49 30 1234567", "(212) 555-0199", "1-800-555-0142", "0171 5550123", "+33 1 23 45 67 89", "(020) 7946 0991", "030/5550147", "0049 30 5550199", "212-555-0163",
+        "(0711) 555-0118", "06 12 34 56 78", "0171-5550188", "(415) 555 0132", "0172 5551 2345", "0221 555018", "(030) 5550 122",
+    ),
+    "ip": ("192.168.10.4", "10.0.0.1", "8.8.4.4", "172.16.254.1"),
+    "card": ("4111 1111 1111 1111", "4111-1111-1111-1111", "4012888888881881", "5500 0000 0000 0004", "378282246310005", "371449635398431", "3782 822463 10005", "30569309025904", "6011111111111117", "4222222222222"),
+}
+WITHOUT = (
     "in 2024 we sold 1200 units", "on 2024-01-15 at 10:30 am", "version 1.2.3 is out", "it costs 1,234.56 euros", "chapter 12 page 340", "order 20391847 shipped", "from 1990 to 1995, about 40",
-    "at 12:45:10 he left", "ISBN 978-3-16-148410-0 here", "score 3-2 after 90 minutes", "the @ sign and #1 tag", "follow @someone there", "about 5.5 or 10.25 percent", "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\"",
-    "section 4.2.1.7 of part 3", "id 123456789 and 987654321", "room 101 and 102", "top 10 of 100", "see [12] and (34)", "x1 y2 z3", "a3f9 00ff 12ab", "10% of 20%", "1st 2nd 3rd",
-)
+    "at 12:45:10 he left", "ISBN 978-3-16-148410-0 here", "ISBN 3-598-21508-8", "isbn 0-19-852663-6 of 1998", "score 3-2 after 90 minutes", "the @ sign and #1 tag", "follow @someone there", "about 5.5 or 10.25 percent", "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\"",
+    "section 4.2.1.7 of part 3", "id 123456789 and 987654321", "room 101 and 102", "top 10 of 100", "see [12] and (34)", "x1 y2 z3", "a3f9 00ff 12ab", "10% of 20%", "1st 2nd 3rd", "order 2086184495729368 shipped", "the number 9859476043669043 of parts",
+    "on file 4183418637171908 since May", "words 0007687199101951 and more", "parcel 7663683147833396 is lost", "item 37828224631000 sold", "sum 371449635398430 in all", "serial 5000677111630122 of it", "years 1914 1918 1939 1945", "pages 12 34 56 78 of it", "2 000 000 of them",
+    "on 12/05/2019 or 13/05", "weights 60 61 62 kg", "rows 100-200 and 300-400", "build 10.0.19045 came", "rfc 2616 section 14.9.1", "at 50 km/h for 30 min", "about (12) of (13)", "route 66 to mile 120",
+)
+LABELLED = (
+    *(contexts[(k + j) % len(contexts)].replace("{}", f"[{kind}:{value}]") for kind, contexts in CONTEXTS.items() for k, value in enumerate(VALUES[kind]) for j in (0, 3)), *WITHOUT,
+)
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EDGE_L, EDGE_R = re.compile(r"^[^\w+(@]+"), re.compile(r"[^\w)]+$")
 
 
 def shape(token: str) -> tuple[str, ...]:
-    """The features of a token's form: its compressed shape, its digits, and its marks."""
-    core = EDGE_R.sub("", EDGE_L.sub("", token[:200]))
-    s, run = [], ""
+    """The features of a token's form: its compressed shape, its digits, and its marks. A run of digits as long as a
+    card's tells whether its check digit is right."""
+    core = EDGE_R.sub("", EDGE_L.sub("", token))
+    s, kind, run = [], "", 0
     for c in core:
         k = "9" if c.isdigit() else "x" if c.isalpha() else c if c in "@.+-()_:/,%" else "?"
-        run = run + k if run and run[0] == k else k
-        if len(run) == 1:
+        run = run + 1 if k == kind else 1
+        if k != kind:
             s.append(k)
-        elif k == "9" and len(run) in (2, 3, 4, 5, 8, 13, 16, 20):
-            s[-1] = f"9{len(run)}"
+        elif k == "9" and run in (2, 3, 4, 5, 8, 13, 16, 20):
+            s[-1] = f"9{run}"
+        kind = k
     d = sum(c.isdigit() for c in core)
+    check = luhn(core) if 13 <= d <= 19 and len(core) == d and core.isascii() else None
     return (
-        "s=" + "".join(s)[:40], f"d={0 if not d else 1 if d < 3 else 3 if d == 3 else 4 if d == 4 else 5 if d < 8 else 8 if d < 13 else 13 if d < 16 else 16 if d < 20 else 20}",
-        f"@={'@' in core}", f".={min(4, core.count('.'))}", f"-={min(4, core.count('-'))}", f"a={any(c.isalpha() for c in core)}", f"+={core.startswith('+')}", f"(={core.startswith('(')}", f"c={any(c in ':/,%#=' for c in core)}",
+        "s=" + "".join(s), f"d={0 if not d else 1 if d < 3 else 3 if d == 3 else 4 if d == 4 else 5 if d < 8 else 8 if d < 13 else 13 if d < 16 else 16 if d < 20 else 20}",
+        f"@={'@' in core}", f".={min(4, core.count('.'))}", f"-={min(4, core.count('-'))}", f"a={any(c.isalpha() for c in core)}", f"+={core.startswith('+')}", f"(={core.startswith('(')}", f"c={any(c in ':/%#' for c in core)}", f"l={check}",
     )
 
 
@@ -124,14 +146,14 @@ class Crf:
     start: np.ndarray
 
     def emissions(self, tokens: list[str], known: dict[str, tuple[str, ...]] | None = None) -> np.ndarray:
-        """known: shapes of tokens seen before; it is kept below 50,000 entries."""
+        """known: shapes of short tokens seen before, fewer than 50,000."""
         known = {} if known is None else known
         if len(known) > 50_000:
             known.clear()
         for t in tokens:
-            if t not in known:
+            if len(t) <= 64 and t not in known:
                 known[t] = shape(t)
-        forms = [NONE, *(known[t] for t in tokens), NONE]
+        forms = [NONE, *(known.get(t) or shape(t) for t in tokens), NONE]
         return np.array([_sum(self.own, forms[k]) + _sum(self.before, forms[k - 1]) + _sum(self.after, forms[k + 1]) for k in range(1, len(forms) - 1)])
 
 
@@ -271,6 +293,28 @@ def windows(text: str, around: int = 2) -> list[list[re.Match]]:
     return out
 
 
+def parted(text: str, kind: int, run: list[re.Match]) -> list[tuple[int, int]]:
+    """The spans of a run of tokens of one kind: a new one begins where the tokens so far are whole and the next would
+    make them more than one of that kind."""
+    digits = lambda low, high: len(DIGITS.findall(text, low, high))
+    out, low, high = [], run[0].start(), run[0].end()
+    for m in run[1:]:
+        have, more = digits(low, high), digits(m.start(), m.end())
+        if KINDS[kind] == "card":
+            new = have >= 13 and (have + more > 19 or more >= 13)
+        elif KINDS[kind] == "phone":
+            new = have >= 7 and (have + more > 15 or m[0][0] in "(+")
+        elif KINDS[kind] == "ip":
+            new = text.count(".", low, high) >= 3
+        else:
+            new = "@" in text[low:high] and "@" in m[0]
+        if new:
+            out.append((low, high))
+            low = m.start()
+        high = m.end()
+    return [*out, (low, high)]
+
+
 def added_spans(texts: list[str], base: list[list[Span]], crf: Crf, known: dict | None = None) -> list[list[Span]]:
     """For each text the random field's spans that touch no base span."""
     owner, found = [], []
@@ -289,14 +333,14 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: Crf, known: dict
             j = k + 1
             while j < len(tags) and tags[j] == tags[k] + 1:
                 j += 1
-            text = texts[i]
-            low, high = w[k].start(), w[j - 1].end()
-            m = EDGE_L.match(text[low:high])
-            low += m.end() if m else 0
-            m = EDGE_R.search(text[low:high])
-            high = low + m.start() if m else high
-            if high > low and TRIGGER.search(text[low:high]) and not any(a < high and low < b for _, a, b in base[i]):
-                out[i].append(((int(tags[k]) - 1) // 2, low, high))
+            text, kind = texts[i], (int(tags[k]) - 1) // 2
+            for low, high in parted(text, kind, w[k:j]):
+                m = EDGE_L.match(text[low:high])
+                low += m.end() if m else 0
+                m = EDGE_R.search(text[low:high])
+                high = low + m.start() if m else high
+                if high > low and TRIGGER.search(text[low:high]) and not any(a < high and low < b for _, a, b in base[i]):
+                    out[i].append((kind, low, high))
             k = j
     return out
 
@@ -327,7 +371,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None, piece: int = 2_000_000) ->
                 for x, y in zip(base, more):
                     n = [sum(s[0] == k for s in x) for k in range(4)]
                     rows.append((*n, hashlib.sha256(joined(x).encode()).hexdigest(), joined(x + y), len(y)))
-                out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"], dtype=object)
                 out.insert(0, "doc_id", pd.array(ids[low:high], dtype="Int64") if any(i != i or i is None for i in ids[low:high]) else ids[low:high])
                 yield out
                 low = high
