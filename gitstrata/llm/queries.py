@@ -120,7 +120,9 @@ kept as (
 entire as (
   select row, {_joined_sql("string_agg(line, ' ' order by pos)")} as canonical from kept group by row),
 known as (
-  select sha256(canonical) as digest, min(license_id) as license from entire join texts using (row) where row < 0 group by 1),
+  select digest, min(license_id) as license from (
+    select sha256(canonical) as digest, license_id from entire join texts using (row) where row < 0
+    union all select * from (values {", ".join(f"('{d}', '{i}')" for i, ds in licenses.DIGESTS for d in ds)}) given(digest, license_id)) every group by digest),
 notices as (
   select row, count(*) as n, string_agg(distinct license, ',' order by license) as found
   from kept join known on sha256({_joined_sql("line")}) = digest group by row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import os
 import random
 import re
 from collections import Counter
@@ -718,5 +719,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df, licenses.known_licenses(spark).limit(0)).filter("license is not null or n_notices > 0").count() == 0
 
 
+COMMON = "/usr/share/common-licenses"
+FILES = (("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("GFDL-1.3", "GFDL-1.3"))
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="the system has no licence texts")
+def test_whole_licenses(spark, tmp_path):
+    """Entire licences as documents: as they are, in capitals, respelt and with other marks, and with one word changed."""
+    rows, want = [], {}
+    for file, name in FILES:
+        with open(f"{COMMON}/{file}", encoding="utf-8") as f:
+            text = f.read()
+        respelt = re.sub(r"\b([Ll])icense(s?)\b", r"\1icence\2", text).replace("organization", "organisation").replace('"', "\u201c").replace(". ", " .  ").replace("\n\n", "\n\nCopyright (c) 2020 Somebody\n\n", 1)
+        for t, found in ((text, name), (text.upper(), name), (respelt, name), (text.replace(" the ", " a ", 1), None)):
+            want[len(rows)] = found
+            rows.append((len(rows), t))
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(docs(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert got == want
+    same_as_sql(spark, tmp_path, "documents", docs(spark, rows), "op5_license_scan")
+
+
+def test_license_headers(spark):
+    lines = {
+        'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "* This Source Code Form is subject to the terms of the Mozilla Public": "MPL-2.0",
+        "Released under the Boost Software Licence, version 1.0": "BSL-1.0", "SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0 OR MIT", "Licensed to nobody": "",
+    }
+    got = licenses.scan_licenses(docs(spark, [(k, f"code\n{line}\nmore") for k, line in enumerate(lines)]), licenses.known_licenses(spark)).collect()
+    assert [x.notices for x in sorted(got, key=lambda x: x.doc_id)] == list(lines.values())
+
+
 def test_licenses_same_as_sql(spark, tmp_path):
     same_as_sql(spark, tmp_path, "documents", docs(spark, LICENSE_ROWS), "op5_license_scan")
