@@ -33,8 +33,8 @@ SPELLINGS = {
     "authorise": "authorize", "authorised": "authorized", "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "emphasised": "emphasized",
     "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment",
     "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "modelled": "modeled",
-    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program",
-    "realise": "realize", "recognise": "recognize", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organisations": "organizations", "organise": "organize", "organised": "organized", "practise": "practice", "programme": "program",
+    "realise": "realize", "recognise": "recognize", "recognised": "recognized", "sublicence": "sublicense", "utilisation": "utilization", "utilise": "utilize", "utilised": "utilized", "whilst": "while", "wilful": "willful",
 }
 PARTED = {" sub license": " sublicense", " non commercial": " noncommercial", " non infringement": " noninfringement", " per cent": " percent", " copyright owner": " copyright holder"}
 #: A normalised line is a copyright line if it matches the first of these and not the second, which are lines of running text.
