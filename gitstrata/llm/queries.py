@@ -110,8 +110,7 @@ lines as (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
   from texts),
 spelt as (
-  select row, pos, array_to_string(list_transform(regexp_extract_all(line, '[^ 	-
-]+'),
+  select row, pos, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
     lambda w: coalesce(map {{{", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())}}}[w], w)), ' ') as line
   from lines),
 kept as (
