@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
 from gitstrata.operators import quality
 
@@ -190,7 +191,7 @@ def merge_confidence(changes: DataFrame, calls: DataFrame, functions: DataFrame,
 
     prod = changes.filter(~E.is_test_file(F.col("file"))).withColumn("cx", F.coalesce("complexity_after", "complexity_before"))
     prod = prod.withColumn("id", F.expr(traverse.function_id())).orderBy(F.desc(F.col("cx") + F.coalesce(F.abs("delta"), F.lit(0))), "id").limit(pool)
-    prod = traverse.checkpointed(prod.select("id", "file", "name", "container", "status", "cx"))
+    prod = shared.written(prod.select("id", "file", "name", "container", "status", "cx"))
     back = traverse.reversed_edges(traverse.function_edges(calls, tests=False))
     near = traverse.reach(back, prod.select(F.col("id").alias("seed"))).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("hop") == 1).alias("direct"))
     tested = quality.tested_functions(functions, calls).filter("testers > 0").withColumn("id", F.expr(traverse.function_id())).select("id").distinct().withColumn("_t", F.lit(True))

@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
-from gitstrata.operators.traverse import FOLD, checkpointed
+from gitstrata.shared import written
+from gitstrata.operators.traverse import FOLD
 
 NODE = "concat_ws('|', {0}file, {0}name)"
 
@@ -17,9 +18,9 @@ def flow_edges(calls: DataFrame) -> DataFrame:
     return rows.selectExpr("concat_ws('|', from_file, from_fn) src", "concat_ws('|', to_file, to_fn) dst").filter("src <> dst").distinct()
 
 
-def entry_points(calls: DataFrame, declared: DataFrame | None = None, min_fan_out: int = 3, limit: int | None = 40) -> DataFrame:
-    """file, name, fan_out, fan_in, kind, score of functions that something outside may start."""
-    edges = flow_edges(calls)
+def entry_points(calls: DataFrame, declared: DataFrame | None = None, min_fan_out: int = 3, limit: int | None = 40, edges: DataFrame | None = None) -> DataFrame:
+    """file, name, fan_out, fan_in, kind, score of functions that something outside may start. edges: those of the calls, if at hand."""
+    edges = flow_edges(calls) if edges is None else edges
     outs, ins = edges.groupBy("src").agg(F.count("*").alias("fan_out")), edges.groupBy("dst").agg(F.count("*").alias("fan_in"))
     rows = outs.join(ins, F.col("src") == F.col("dst"), "left").select(F.col("src").alias("id"), "fan_out", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
     rows = rows.withColumn("file", F.substring_index("id", "|", 1)).withColumn("name", F.substring_index("id", "|", -1))
@@ -38,8 +39,8 @@ def flow_trace(calls: DataFrame, roots: DataFrame, depth: int = 4, children: int
 
     Each level keeps ``children`` of a node's new callees and tells how many it left out; the tree keeps its
     first ``max_nodes`` by (hop, parent's place, child's place)."""
-    edges = flow_edges(calls).withColumn("_name", F.substring_index("dst", "|", -1))
-    seen = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop"), F.lit("").alias("path"), F.lit(0).cast("long").alias("elided")))
+    edges = written(flow_edges(calls).withColumn("_name", F.substring_index("dst", "|", -1)), "edges")
+    seen = written(roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop"), F.lit("").alias("path"), F.lit(0).cast("long").alias("elided")))
     front = seen
     for hop in range(1, depth + 1):
         step = front.select("root", F.col("node").alias("src"), "path").join(edges, "src").join(seen.select("root", F.col("node").alias("dst")), ["root", "dst"], "left_anti")
@@ -48,7 +49,7 @@ def flow_trace(calls: DataFrame, roots: DataFrame, depth: int = 4, children: int
         of = W.partitionBy("root", "src")
         step = step.withColumn("_p", F.row_number().over(of.orderBy("_name", "dst"))).withColumn("elided", F.greatest(F.lit(0), F.count("*").over(of) - children))
         step = step.filter(F.col("_p") <= children)
-        front = checkpointed(step.select("root", F.col("dst").alias("node"), F.col("src").alias("parent"), F.lit(hop).alias("hop"), F.concat("path", F.lpad(F.col("_p").cast("string"), 3, "0")).alias("path"), "elided"))
+        front = written(step.select("root", F.col("dst").alias("node"), F.col("src").alias("parent"), F.lit(hop).alias("hop"), F.concat("path", F.lpad(F.col("_p").cast("string"), 3, "0")).alias("path"), "elided"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -56,20 +57,19 @@ def flow_trace(calls: DataFrame, roots: DataFrame, depth: int = 4, children: int
     return seen.withColumn("place", place).filter(F.col("place") <= max_nodes).select("root", "node", "parent", "hop", "elided", "place")
 
 
-def reachable_functions(calls: DataFrame, entries: DataFrame) -> DataFrame:
-    """node, origin, parent, hop: what the entries (column id) reach, each by the shortest way, ties to the smallest
-    origin and then parent; until nothing new is found."""
-    edges = flow_edges(calls)
-    seen = checkpointed(entries.select(F.col("id").alias("node"), F.col("id").alias("origin"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop")).distinct())
+def reachable_functions(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """node, origin, parent, hop: what the entries (column id) reach along ``edges`` (src, dst), each by the shortest way,
+    ties to the smallest origin and then parent; until nothing new is found."""
+    seen = written(entries.select(F.col("id").alias("node"), F.col("id").alias("origin"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in itertools.count(1):
         step = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("origin", F.col("src").alias("parent"))).alias("x"))
-        front = checkpointed(step.join(seen, "node", "left_anti").select("node", "x.origin", "x.parent", F.lit(hop).alias("hop")))
+        front = written(step.join(seen, "node", "left_anti").select("node", "x.origin", "x.parent", F.lit(hop).alias("hop")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
         if hop % FOLD == 0:
-            seen = checkpointed(seen)
+            seen = written(seen)
     return seen
 
 
@@ -77,13 +77,14 @@ def classify_sinks(sinks: DataFrame, functions: DataFrame, calls: DataFrame, dec
     """sinks: file, rule, severity, line, in_fn, origin, tainted. Adds reachability: reachable, unknown, module-scope or
     unreachable. Sinks in tests and in code that isn't run in production are left out."""
     sinks = sinks.filter(~E.is_test_file(F.col("file")) & ~E.is_non_production(F.col("file")))
-    routes = entry_points(calls, declared, limit=None).filter("kind = 'route-like'").selectExpr(f"{NODE.format('')} id")
+    edges = written(flow_edges(calls), "edges")
+    routes = entry_points(calls, declared, limit=None, edges=edges).filter("kind = 'route-like'").selectExpr(f"{NODE.format('')} id")
     if declared is not None:
         routes = routes.unionByName(declared.selectExpr(f"{NODE.format('')} id")).distinct()
-    routes = checkpointed(routes)
+    routes = written(routes)
     some = not routes.isEmpty()
-    reach = reachable_functions(calls, routes).select(F.col("node").alias("id"), "hop", "origin")
-    called = flow_edges(calls).select(F.col("dst").alias("id")).distinct().withColumn("_called", F.lit(True))
+    reach = reachable_functions(edges, routes).select(F.col("node").alias("id"), "hop", "origin")
+    called = edges.select(F.col("dst").alias("id")).distinct().withColumn("_called", F.lit(True))
     known = functions.selectExpr(f"{NODE.format('')} id").distinct().withColumn("_known", F.lit(True))
     rows = sinks.withColumn("id", F.expr("concat_ws('|', file, in_fn)")).join(reach, "id", "left").join(called, "id", "left").join(known, "id", "left")
     kind = (
@@ -105,15 +106,15 @@ def taint(functions: DataFrame, arguments: DataFrame, sinks: DataFrame, max_hops
     args = arguments.filter(~E.is_test_file(F.col("from_file"))).selectExpr("*", "concat_ws('|', from_file, from_fn) src", "concat_ws('|', to_file, to_fn) dst")
     args = args.join(functions.selectExpr(f"{NODE.format('')} dst", "params").dropDuplicates(["dst"]), "dst")
     lands = F.when(F.col("arg_name").isNull(), F.get("params", F.col("index"))).when(F.array_contains("params", F.col("arg_name")), F.col("arg_name"))
-    args = checkpointed(args.withColumn("lands", lands).filter("lands is not null").selectExpr("src", "dst", "lands", "source as arg_source", "param as arg_param"))
+    args = written(args.withColumn("lands", lands).filter("lands is not null").selectExpr("src", "dst", "lands", "source as arg_source", "param as arg_param"))
     first = args.filter("arg_source is not null").select(F.col("dst").alias("id"), F.col("lands").alias("param"), F.lit(2).alias("hops"), F.col("arg_source").alias("source"))
     best = lambda t: t.groupBy("id", "param").agg(F.min(F.struct("hops", "source")).alias("x")).select("id", "param", "x.hops", "x.source")
-    seen = checkpointed(best(seeds.unionByName(first)))
+    seen = written(best(seeds.unionByName(first)))
     front = seen
     for _ in range(max_hops):
         step = front.filter(F.col("hops") < max_hops).join(args.filter("arg_param is not null"), (F.col("id") == F.col("src")) & (F.col("param") == F.col("arg_param")))
         step = step.select(F.col("dst").alias("id"), F.col("lands").alias("param"), (F.col("hops") + 1).alias("hops"), "source")
-        front = checkpointed(best(step).join(seen, ["id", "param"], "left_anti"))
+        front = written(best(step).join(seen, ["id", "param"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

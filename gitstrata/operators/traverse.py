@@ -1,39 +1,32 @@
 """Bounded traversal of graphs of files and functions.
 
-One frontier join a hop for all seeds at once, with the visited set anti-joined; each hop is cut off
-from the ones before by a checkpoint. Node caps keep the nearest by (hop, id).
+Edges are written once, before the first hop. One frontier join a hop for all seeds at once, with the
+visited set anti-joined; each hop is written as a table of its own, so lineages stay short and the planner
+knows its size. Node caps keep the nearest by (hop, id).
 """
 
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
+from gitstrata.shared import written
 
 #: After so many rounds the tables gathered so far are written as one, so that plans stay short.
 FOLD = 32
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="gitstrata-"))
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int | None = None) -> DataFrame:
     """edges: src, dst; seeds: seed. Returns seed, node, hop (1 to ``max_hops``): what each seed reaches, by the
     shortest way, itself left out; of more than ``max_nodes`` the nearest."""
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    seen = checkpointed(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct())
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    seen = written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in range(1, max_hops + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        front = written(step.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -49,6 +42,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int = 200) -> DataFrame:
     """seed, direction (incoming: what depends on the seed; outgoing), node, hop, cross_module."""
+    edges, seeds = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges"), written(seeds.select("seed"), "seeds")
     ins = reach(reversed_edges(edges), seeds, max_hops, max_nodes).withColumn("direction", F.lit("incoming"))
     outs = reach(edges, seeds, max_hops, max_nodes).withColumn("direction", F.lit("outgoing"))
     cross = E.module_path(F.col("seed")) != E.module_path(F.col("node"))
@@ -72,9 +66,9 @@ def rank_functions_by_blast(functions: DataFrame, calls: DataFrame, pool: int =
     """id, direct callers, incoming (reached within ``max_hops`` backwards), complexity, name; the widest first.
 
     The ``pool`` with most direct callers are traversed together, as seeds of one frontier."""
-    edges = function_edges(calls, tests=False)
+    edges = written(function_edges(calls, tests=False), "edges")
     direct = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct")).filter(F.col("direct") >= min_direct)
-    top = checkpointed(direct.orderBy(F.desc("direct"), "id").limit(pool))
+    top = written(direct.orderBy(F.desc("direct"), "id").limit(pool))
     near = reach(reversed_edges(edges), top.select(F.col("id").alias("seed")), max_hops).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("incoming"))
     info = functions.selectExpr(f"{function_id()} id", "name", "complexity").groupBy("id").agg(F.max("complexity").alias("complexity"), F.max("name").alias("name"))
     out = top.join(near, "id").join(info, "id")
@@ -102,7 +96,7 @@ def neighborhood(edges: DataFrame, root: str, depth: int = 2, direction: str = "
     """node, hop within ``depth`` of the root, the nearest ``max_nodes`` by (hop, node), and how many were dropped."""
     way = {"out": edges, "in": reversed_edges(edges), "both": edges.unionByName(reversed_edges(edges))}[direction]
     seeds = edges.sparkSession.range(1).select(F.lit(root).alias("seed"))
-    near = checkpointed(reach(way, seeds, depth).select("node", "hop"))
+    near = written(reach(way, seeds, depth).select("node", "hop"))
     n = near.count()
     return near.orderBy("hop", "node").limit(max_nodes).withColumn("dropped", F.lit(max(0, n - max_nodes)))
 
@@ -132,10 +126,10 @@ def caller_index(functions: DataFrame, calls: DataFrame) -> DataFrame:
 def layers(edges: DataFrame) -> DataFrame:
     """node, layer: the longest way from a node without predecessors, as deep as the graph is. Exact without cycles;
     nodes on a cycle or behind one have layer null."""
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     indegree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waiting"))
-    left = checkpointed(nodes.join(indegree, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).alias("layer")))
+    left = written(nodes.join(indegree, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).alias("layer")))
     done = left.filter("waiting = 0").select("node", "layer")
     front, left = done, left.filter("waiting > 0")
     for k in itertools.count(1):
@@ -143,18 +137,18 @@ def layers(edges: DataFrame) -> DataFrame:
             break
         # a node is placed once all its predecessors are
         got = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"), F.max(F.col("layer") + 1).alias("now"))
-        left = checkpointed(left.join(got, "node", "left").select("node", (F.col("waiting") - F.coalesce("met", F.lit(0))).alias("waiting"), F.greatest("layer", F.coalesce("now", F.lit(0))).alias("layer")))
+        left = written(left.join(got, "node", "left").select("node", (F.col("waiting") - F.coalesce("met", F.lit(0))).alias("waiting"), F.greatest("layer", F.coalesce("now", F.lit(0))).alias("layer")))
         front = left.filter("waiting = 0").select("node", "layer")
         done, left = done.unionByName(front), left.filter("waiting > 0")
         if k % FOLD == 0:
-            done = checkpointed(done)
+            done = written(done)
     return done.unionByName(left.select("node", F.lit(None).cast("int").alias("layer")))
 
 
 def deepest_chain(edges: DataFrame, min_layer: int = 6) -> DataFrame:
     """place, node of one longest chain, from its root; of several the one with the smallest names from the end back."""
-    edges = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
-    placed = checkpointed(layers(edges))
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    placed = written(layers(edges))
     top = placed.agg(F.max("layer")).head()[0]
     spark = edges.sparkSession
     if top is None or top < min_layer:
@@ -163,10 +157,10 @@ def deepest_chain(edges: DataFrame, min_layer: int = 6) -> DataFrame:
     chain, front = at, at
     for layer in range(top - 1, -1, -1):
         before = edges.join(front.select(F.col("node").alias("dst")), "dst").join(placed.filter(F.col("layer") == layer).withColumnRenamed("node", "src"), "src")
-        front = checkpointed(before.agg(F.min("src").alias("node")).withColumn("place", F.lit(layer)))
+        front = written(before.agg(F.min("src").alias("node")).withColumn("place", F.lit(layer)))
         chain = chain.unionByName(front)
         if layer % FOLD == 0:
-            chain = checkpointed(chain)
+            chain = written(chain)
     return chain.select("place", "node")
 
 

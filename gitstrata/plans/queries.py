@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
 from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, traverse
 from gitstrata.plans import sqltext as S
@@ -203,11 +204,11 @@ def g7_impact_files(r):
 
 
 @query(
-    f"with both_ as (select src, dst from file_edges union select dst, src from file_edges), seeds as (select 'src/brand13/economy.py' as seed), {_walk('b', 'src', 'dst', 2, 'both_')} "
+    f"with both_ as (select src, dst from file_edges union select dst, src from file_edges), seeds as (select 'src/brand13/m13.py' as seed), {_walk('b', 'src', 'dst', 2, 'both_')} "
     "select node, hop, greatest(0, (select count(*) from b) - 50)::int as dropped from b where r <= 50"
 )
 def g8_neighborhood(r):
-    return traverse.neighborhood(r["file_edges"], "src/brand13/economy.py")
+    return traverse.neighborhood(r["file_edges"], "src/brand13/m13.py")
 
 
 UNTESTED_SQL = f"untested as (select distinct file from files where not {S.is_test('file')} and file not in (select dst from file_edges where {S.is_test('src')} and not {S.is_test('dst')}))"
@@ -234,12 +235,13 @@ def g10_caller_index(r):
     return traverse.caller_index(r["functions"], r["calls"])
 
 
-DAG_SQL = "dag as (select distinct concat(lpad(cast(a % 200 as string), 3, '0'), '') as src, lpad(cast(a % 200 + b % 7 + 1 as string), 3, '0') as dst from part_edges)"
+DAG_SQL = "dag as (select lpad(cast(a as string), 12, '0') as src, lpad(cast(b as string), 12, '0') as dst from part_links)"
 
 
 def dag(r) -> DataFrame:
-    name = lambda c: F.lpad(c.cast("string"), 3, "0")
-    return r["part_edges"].select(name(F.col("a") % 200).alias("src"), name(F.col("a") % 200 + F.col("b") % 7 + 1).alias("dst")).distinct()
+    """From each order's smallest part to its largest: no cycles."""
+    name = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    return r["part_links"].select(name("a").alias("src"), name("b").alias("dst"))
 
 
 LAYERS_SQL = f"with recursive {DAG_SQL}, up as (select n as node, 0 as layer from (select src as n from dag union select dst from dag) x where n not in (select dst from dag) union select e.dst, up.layer + 1 from up join dag e on e.src = up.node), placed as (select node, max(layer) as layer from up group by node)"
@@ -795,13 +797,13 @@ def c10_regex_links(r):
     return r["pages"].select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("target")).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-CODE_SQL = "code as (select 'src/e' || event_id || case event_id % 2 when 0 then '.py' else '.js' end as path, case event_id % 2 when 0 then 'py' else 'js' end as ext, case event_id % 6 when 0 then 'x = eval(y)' when 1 then '// eval(z)' when 2 then 's = \"eval(q)\"' when 3 then 'new Function(a); eval(b)' when 4 then 'exec(w) # eval(v)' else 'obj.eval(k)' end as content from events where event_id % 500 < 6)"
+CODE_SQL = "code as (select 'src/e' || event_id || case event_id % 2 when 0 then '.py' else '.js' end as path, case event_id % 2 when 0 then 'py' else 'js' end as ext, case event_id % 6 when 0 then 'x = eval(y)' when 1 then '// eval(z)' when 2 then 's = \"eval(q)\"' when 3 then 'new Function(a); eval(b)' when 4 then 'exec(w) # eval(v)' else 'obj.eval(k)' end as content from events)"
 
 
 def code(r) -> DataFrame:
     content = F.expr("case event_id % 6 when 0 then 'x = eval(y)' when 1 then '// eval(z)' when 2 then 's = \"eval(q)\"' when 3 then 'new Function(a); eval(b)' when 4 then 'exec(w) # eval(v)' else 'obj.eval(k)' end")
     ext = F.expr("case event_id % 2 when 0 then 'py' else 'js' end")
-    return r["events"].filter("event_id % 500 < 6").select(F.concat(F.lit("src/e"), F.col("event_id").cast("string"), F.lit("."), ext).alias("path"), ext.alias("ext"), content.alias("content"))
+    return r["events"].select(F.concat(F.lit("src/e"), F.col("event_id").cast("string"), F.lit("."), ext).alias("path"), ext.alias("ext"), content.alias("content"))
 
 
 @query(
@@ -945,7 +947,7 @@ JUDGED = f"""{RULED}, judged as (select *, least(raw_score, case outcome when 'c
 
 @query(f"with {SIGNALS_SQL}, {JUDGED} select outcome, raw_score, score, case {' '.join(f'when score >= {c} then {chr(39)}{g}{chr(39)}' for c, g in E.GRADES)} else 'F' end as grade, (select count(*) from sig where bucket = 'needs-work' and severity = 'high') as critical from judged")
 def v1_verdict(r):
-    s = traverse.checkpointed(all_signals(r))
+    s = shared.written(all_signals(r))
     return signals.verdict(signals.rulings(s), s)
 
 
@@ -967,15 +969,15 @@ def v5_recommendations(r):
 
 @query()
 def v4_adoption(r):
-    s = traverse.checkpointed(all_signals(r))
+    s = shared.written(all_signals(r))
     none = s.limit(0).select("severity")
     return signals.adoption(signals.verdict(signals.rulings(s), s), s, none)
 
 
 @query()
 def d9_verdict_delta(r):
-    s = traverse.checkpointed(all_signals(r))
-    old = traverse.checkpointed(s.filter("id not like '%deps' and id <> 'duplicate-implementations'"))
+    s = shared.written(all_signals(r))
+    old = shared.written(s.filter("id not like '%deps' and id <> 'duplicate-implementations'"))
     ro, rn = signals.rulings(old), signals.rulings(s)
     out = signals.verdict_delta(signals.verdict(ro, old), signals.verdict(rn, s), ro, rn)
     return metrics.watch_assessment(out.withColumn("drifting", F.lit(0)))
@@ -983,7 +985,7 @@ def d9_verdict_delta(r):
 
 @query()
 def d10_health_diff(r):
-    s = traverse.checkpointed(all_signals(r))
+    s = shared.written(all_signals(r))
     return signals.health_diff(signals.health_summary(s.filter("id not like '%deps'")), signals.health_summary(s))
 
 

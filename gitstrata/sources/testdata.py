@@ -1,16 +1,19 @@
 """The driver's tables as the relations that the operators work on.
 
 Each relation is a query in SQL that Spark and other engines read alike, over the raw tables and the
-relations before it. Orders stand for commits, lineitems for changed files, parts for functions,
-customers for authors; two lineitems of an order, one after the other and both of a large quantity,
-stand for a call or import.
+relations before it. Orders stand for commits, lineitems for changed files, parts for functions (three
+to a file), customers for authors. Any two lineitems of an order that follow one another stand for a use
+of the second part by the first: every third for an import, the others for calls.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PART_FILE = "concat(case when {p}p_type = 'PROMO' then 'tests/' else 'src/' end, replace(lower({p}p_brand), '#', ''), '/', lower({p}p_type), '.py')"
+from gitstrata import shared
+
+_M = "cast(floor(p_partkey / 3) as bigint)"
+PART_FILE = f"concat(case when {_M} % 6 = 0 then 'tests/' else 'src/' end, 'brand', cast({_M} % 25 as string), '/m', cast({_M} as string), '.py')"
 
 RELATIONS: dict[str, str] = {
     "authors": """
@@ -30,21 +33,22 @@ RELATIONS: dict[str, str] = {
         from part""",
     "commit_files": "select l_orderkey as sha, path from lineitem join paths on l_partkey = part",
     "functions": f"""
-        select {PART_FILE.format(p='')} as file, concat('fn_', cast(p_partkey as string)) as name,
+        select {PART_FILE} as file, concat('fn_', cast(p_partkey as string)) as name,
                case when p_partkey % 3 = 0 then concat('C', cast(p_partkey % 10 as string)) end as container,
                cast(p_partkey as int) as start_row, cast(p_partkey + p_size as int) as end_row, p_size as complexity, p_name as body_hash, p_partkey as part
         from part""",
     "part_edges": """
         select before as a, l_partkey as b, l_orderkey, l_linenumber from (
-            select *, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as before from lineitem where l_quantity >= 48) t
+            select *, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as before from lineitem) t
         where before is not null""",
+    "part_links": "select distinct min(l_partkey) as a, max(l_partkey) as b from lineitem group by l_orderkey having min(l_partkey) < max(l_partkey)",
     "calls": """
         select f.file as from_file, f.name as from_fn, f.container as from_container, t.name as callee_name, (b % 2 = 0) as has_receiver, t.container as callee_type,
                case when b % 13 <> 0 then t.file end as to_file, case when b % 13 <> 0 then t.name end as to_fn, case when b % 13 <> 0 then t.container end as to_container
-        from part_edges join functions f on f.part = a join functions t on t.part = b""",
+        from part_edges join functions f on f.part = a join functions t on t.part = b where l_linenumber % 3 <> 0""",
     "imports": """
         select f.file as from_file, t.file as to_file, case l_linenumber % 4 when 0 then 'import' when 1 then 'extends' when 2 then 'implements' else 'renders' end as kind
-        from part_edges join functions f on f.part = a join functions t on t.part = b where l_orderkey % 3 = 0""",
+        from part_edges join functions f on f.part = a join functions t on t.part = b where l_linenumber % 3 = 0""",
     "file_edges": """
         select distinct src, dst from (
             select from_file as src, to_file as dst from imports union all select from_file, to_file from calls where to_file is not null) e
@@ -65,7 +69,7 @@ RELATIONS: dict[str, str] = {
                case l_suppkey % 4 when 0 then '1.2.3' when 1 then '^1.4.0' when 2 then '==2.0.1' else '=3.1.0' end as declared,
                case l_linenumber % 3 when 0 then 'examples/app/manifest' when 1 then 'core/manifest' else 'manifest' end as source_path,
                case when l_linenumber % 2 = 0 then 'dev' else 'runtime' end as scope
-        from lineitem where l_quantity >= 45""",
+        from lineitem""",
     "registry_meta": """
         select ecosystem, name, '2.5.0' as latest, min(shipped) as time_of_current, max(shipped) as time_of_latest, case when max(part) % 9 = 0 then 'use another' end as deprecated
         from (select case l_suppkey % 3 when 0 then 'npm' when 1 then 'pypi' else 'cargo' end as ecosystem, concat('pkg', cast(l_partkey as string)) as name, l_shipdate as shipped, l_partkey as part from lineitem) x
@@ -87,6 +91,10 @@ RELATIONS: dict[str, str] = {
 }
 
 
+#: Relations that others and most queries build on more than once: written when first asked for.
+STORED = ("calls", "file_edges")
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,7 +114,8 @@ class Relations:
                 used = {n: self[n] for n in uses(text)}
                 for n in used:
                     text = _named(text, n)
-                self.known[name] = self.spark.sql(text, **used)
+                made = self.spark.sql(text, **used)
+                self.known[name] = shared.written(made, name) if name in STORED else made
         return self.known[name]
 
 

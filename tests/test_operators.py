@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
 from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, traverse
 from gitstrata.sources import python_source, snapshots
@@ -84,13 +85,31 @@ def test_layers_and_chain(spark):
 
 
 def test_deep_layers(spark):
-    e = edges(spark, *((f"n{k:03}", f"n{k + 1:03}") for k in range(66))).coalesce(1)
-    assert sorted(map(tuple, traverse.layers(e).collect())) == [(f"n{k:03}", k) for k in range(67)]
+    e = edges(spark, *((f"n{k:03}", f"n{k + 1:03}") for k in range(200))).coalesce(1)
+    assert sorted(map(tuple, traverse.layers(e).collect())) == [(f"n{k:03}", k) for k in range(201)]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: "")
+
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return Elsewhere
+
+    Elsewhere.getCheckpointDir = staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Elsewhere)
 
 
 def test_far_functions_are_reached(spark):
     calls = spark.createDataFrame([("a.py", f"f{k}", None, f"f{k + 1}", None, None, "a.py", f"f{k + 1}", None) for k in range(102)], CALL).coalesce(1)
-    got = flow.reachable_functions(calls, spark.createDataFrame([("a.py|f0",)], "id string").coalesce(1))
+    got = flow.reachable_functions(flow.flow_edges(calls), spark.createDataFrame([("a.py|f0",)], "id string").coalesce(1))
     assert sorted(x.hop for x in got.collect()) == list(range(103))
 
 
