@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
@@ -21,40 +18,58 @@ def reexports(p_imports: DataFrame) -> DataFrame:
     return rows.groupBy("file", "symbol").agg(F.max_by("resolved_path", "seq").alias("origin"))
 
 
+def _targets(functions: DataFrame, *keys: str) -> DataFrame:
+    """For each key: how many candidates there are and the first of them, of all (n, t) and of those outside tests (np, tp)."""
+    prod, at = ~F.col("_test"), F.struct("t_file", "t_container")
+    return functions.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min_by(at, "fn_seq").alias("t"), F.count_if(prod).alias("np"), F.min_by(F.when(prod, at), F.when(prod, F.col("fn_seq"))).alias("tp"),
+    )
+
+
+def _asked(calls: DataFrame, targets: DataFrame, keys: list[str], only: bool) -> DataFrame:
+    """call_id, t: each call's first candidate, code outside tests not calling into tests; with ``only`` just where it has no other."""
+    met = calls.join(targets, keys)
+    n, t = F.when(F.col("c_test"), F.col("n")).otherwise(F.col("np")), F.when(F.col("c_test"), F.col("t")).otherwise(F.col("tp"))
+    return met.select("call_id", n.alias("_n"), t.alias("t")).filter("_n = 1" if only else "_n > 0").select("call_id", "t")
+
+
 def resolve_calls(p_calls: DataFrame, functions: DataFrame, imports: DataFrame, origins: DataFrame) -> DataFrame:
     """Adds to_file, to_fn, to_container (null where unresolved) to calls.
 
     p_calls: call_id, file, in_fn, from_container, callee_name, callee_type, has_receiver. functions: file, name,
-    container, fn_seq (files by path, then in-file order). Candidates are the functions of the callee's name;
-    code outside tests can't call into tests. Each rule gives a candidate a rank; rules that ask for the only
-    one compare with a count. The best rank wins, then the first in fn_seq.
+    container, fn_seq (anything that sorts: files by path, then in-file order). Candidates are the functions of
+    the callee's name; code outside tests can't call into tests. The first of the rules that finds one wins, and
+    within a rule the first in fn_seq. Each rule looks its candidates up under a key that has them counted and
+    ordered already, so a name that many files use is never paired with all calls of it.
     """
     f = functions.select(F.col("name").alias("callee_name"), F.col("file").alias("t_file"), F.col("container").alias("t_container"), "fn_seq")
-    c = p_calls.join(f, "callee_name").filter(E.is_test_file(F.col("file")) | ~E.is_test_file(F.col("t_file")))
-    imported = imports.select(F.col("from_file").alias("file"), F.col("to_file").alias("t_file")).distinct().withColumn("_imp", F.lit(True))
-    dirs = imports.select(F.col("from_file").alias("file"), E.module_path(F.col("to_file")).alias("_dir")).distinct().withColumn("_near", F.lit(True))
-    via = imports.join(origins, F.col("to_file") == origins["file"]).select(F.col("from_file").alias("file"), F.col("symbol").alias("callee_name"), F.col("origin").alias("t_file"), E.importable_name(F.col("to_file")).alias("_as"))
-    via = via.groupBy("file", "callee_name", "t_file").agg(F.collect_set("_as").alias("_via"))
-    c = c.join(imported, ["file", "t_file"], "left").join(via, ["file", "callee_name", "t_file"], "left")
-    c = c.withColumn("_dir", E.module_path(F.col("t_file"))).join(dirs, ["file", "_dir"], "left")
-    top, typed = F.col("t_container").isNull(), F.col("callee_type").isNotNull()
-    in_origin = F.coalesce(F.array_contains("_via", F.col("callee_type")), F.lit(False))
-    as_module = top & (E.importable_name(F.col("t_file")) == F.col("callee_type")) & (F.coalesce("_imp", F.lit(False)) | F.coalesce("_near", F.lit(False)))
-    w = W.partitionBy("call_id")  # the candidates of one call
-    n = lambda cond: F.count_if(cond).over(w)
-    receiver = F.coalesce("has_receiver", F.lit(False))
-    c = c.withColumns({"_all": F.count("*").over(w), "_top": n(top), "_org": n(in_origin), "_orgtop": n(in_origin & top), "_mod": n(as_module)})
-    rank = (
-        F.when(typed & (F.col("t_container") == F.col("callee_type")), 1)
-        .when(typed & ~receiver & top & (F.col("_top") == 1), 2)
-        .when(typed & in_origin & ((F.col("_org") == 1) | (top & (F.col("_orgtop") == 1))), 3)
-        .when(typed & as_module & (F.col("_mod") == 1), 4)
-        .when(~typed & ~receiver & (F.col("_all") == 1), 5)
-        .when(~typed & (F.col("t_file") == F.col("file")), 6)
-        .when(~typed & F.coalesce("_imp", F.lit(False)), 7)
-        .when(~typed & F.col("_via").isNotNull(), 8)
+    f = f.withColumn("_test", E.is_test_file(F.col("t_file")))
+    top = f.filter("t_container is null")
+    calls = p_calls.select("call_id", "file", "callee_name", "callee_type", F.coalesce("has_receiver", F.lit(False)).alias("receiver")).withColumn("c_test", E.is_test_file(F.col("file")))
+    typed, untyped = calls.filter("callee_type is not null"), calls.filter("callee_type is null").drop("callee_type")
+    imported = imports.select(F.col("from_file").alias("file"), F.col("to_file").alias("t_file")).distinct()
+    via = imports.join(origins, F.col("to_file") == origins["file"]).select(F.col("from_file").alias("file"), F.col("symbol").alias("callee_name"), F.col("origin").alias("t_file"), E.importable_name(F.col("to_file")).alias("callee_type")).distinct()
+    passed = via.join(f, ["callee_name", "t_file"])
+    dirs = imports.select(F.col("from_file").alias("file"), E.module_path(F.col("to_file")).alias("_dir")).distinct()
+    modules = top.withColumn("callee_type", E.importable_name(F.col("t_file"))).withColumn("_dir", E.module_path(F.col("t_file")))
+    asked = typed.select("file", "callee_name", "callee_type").distinct().join(dirs, "file").join(modules, ["callee_name", "callee_type", "_dir"])
+    near = untyped.select("file", "callee_name").distinct().join(imported, "file").join(f, ["callee_name", "t_file"])
+    by_name, by_type = ["callee_name"], ["callee_name", "callee_type"]
+    rules = (
+        _asked(typed, _targets(f.withColumn("callee_type", F.col("t_container")), *by_type), by_type, False),
+        _asked(typed.filter("not receiver"), _targets(top, *by_name), by_name, True),
+        _asked(typed, _targets(passed, "file", *by_type), ["file", *by_type], True).unionByName(_asked(typed, _targets(passed.filter("t_container is null"), "file", *by_type), ["file", *by_type], True)),
+        _asked(typed, _targets(asked, "file", *by_type), ["file", *by_type], True),
+        _asked(untyped.filter("not receiver"), _targets(f, *by_name), by_name, True),
+        _asked(untyped, _targets(f.withColumn("file", F.col("t_file")), "file", *by_name), ["file", *by_name], False),
+        _asked(untyped, _targets(near, "file", *by_name), ["file", *by_name], False),
+        _asked(untyped, _targets(passed.drop("callee_type").distinct(), "file", *by_name), ["file", *by_name], False),
     )
-    best = c.withColumn("rank", rank).filter("rank is not null").groupBy("call_id").agg(F.min_by(F.struct("t_file", "t_container"), F.struct("rank", "fn_seq")).alias("t"))
+    found = None
+    for k, rule in enumerate(rules):
+        one = rule.withColumn("rank", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("call_id").agg(F.min_by("t", F.struct("rank", "t")).alias("t"))
     out = p_calls.join(best, "call_id", "left")
     return out.withColumn("to_file", F.col("t.t_file")).withColumn("to_fn", F.when(F.col("t").isNotNull(), F.col("callee_name"))).withColumn("to_container", F.col("t.t_container")).drop("t")
 
@@ -100,26 +115,8 @@ def own_resolution(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 def djb2(text: Column) -> Column:
     """The 32-bit rolling hash (33 * h + code unit) of a text in base 36; null for null."""
-
-    @F.pandas_udf("string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(s: str | None) -> str | None:
-            if s is None:
-                return None
-            h = 5381
-            data = s.encode("utf-16-le", "surrogatepass")
-            for k in range(0, len(data), 2):
-                h = (h * 33 + data[k] + 256 * data[k + 1]) & 0xFFFFFFFF
-            out = ""
-            while h:
-                h, r = divmod(h, 36)
-                out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
-            return out or "0"
-
-        for t in texts:
-            yield t.map(one)
-
-    return run(text)
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16LE")), F.lit("(.{4})"), F.lit(1)), lambda x: F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("long"))
+    return E.base36(F.aggregate(units, F.lit(5381).cast("long"), lambda h, u: (h * 33 + u).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def analyzable(files: DataFrame, extensions: tuple[str, ...], max_bytes: int = 1_000_000, limit: int = 5000) -> DataFrame:

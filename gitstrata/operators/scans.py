@@ -17,8 +17,6 @@ SECRETS = (
     ("pem-private-key", "critical", r"-----BEGIN (?:RSA |OPENSSH |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY-----"),
     ("jwt-token", "medium", r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b"),
 )
-#: Not of the fixed list: a quoted hexadecimal token.
-GENERIC_TOKEN = ("generic-token", "medium", r"token = \"[0-9a-f]{40}\"")
 JS = ("js", "ts", "jsx", "tsx", "mjs", "cjs", "mts", "cts")
 RISKY = (
     ("js-eval", JS, r"(?<![.\w$])eval\s*\("), ("js-new-function", JS, r"\bnew\s+Function\s*\("),

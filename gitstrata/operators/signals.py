@@ -77,13 +77,47 @@ def metadata_share(spots: DataFrame, top: int = 15) -> DataFrame:
     return one_of(row, F.col("m"), F.col("n"), (enough & (share >= 0.6), "metadata-dominance", Q_, None), (enough & (share <= 0.2), "real-code-activity", W_, None))
 
 
-def code_tests(spots: DataFrame, tested: DataFrame, top: int = 25) -> DataFrame:
-    """spots: path, score; tested: path of files that tests reach."""
-    best = spots.orderBy(F.desc("score"), "path").limit(top).filter(E.is_code_file(F.col("path")))
-    row = best.join(tested.select("path", F.lit(True).alias("_t")), "path", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_t").isNull()).alias("bare"))
-    bare = F.col("bare") / F.greatest(F.col("n"), F.lit(1))
-    enough = F.col("n") >= 5
-    return one_of(row, F.col("bare"), F.col("n"), (enough & (bare <= 0.4), "good-test-presence", W_, None), (enough & (bare >= 0.5), "untested-hotspots", N_, high_if(bare > 0.8)))
+def found_tests(hot: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """path of the ``hot`` files (a few, column path) that have a test: one beside them under a usual name, one that imports
+    them, or one whose name holds theirs. paths: path of all known files; edges: src, dst."""
+    p, base = F.col("path"), E.basename(F.col("path"))
+    stem = F.regexp_replace(base, r"\.[^.]+$", "")
+    ext, folder = F.substring(base, F.char_length(stem) + 1, F.char_length(base)), F.substring(p, F.lit(1), F.char_length(p) - F.char_length(base))
+    beside = F.array(
+        F.concat(folder, stem, F.lit(".test"), ext), F.concat(folder, stem, F.lit(".spec"), ext), *(F.concat(folder, F.lit(f"{d}/"), base) for d in ("__tests__", "tests", "test")),
+        F.when(ext == ".go", F.concat(folder, stem, F.lit("_test.go"))), F.when(ext == ".py", F.concat(folder, F.lit("test_"), stem, F.lit(".py"))),
+    )
+    names = hot.select("path", F.lower(stem).alias("_n"), F.explode(beside).alias("_b"))
+    near = names.join(paths.select(F.col("path").alias("_b")), "_b", "left_semi").select("path")
+    tests = paths.filter(E.is_signal_test_file(F.col("path"))).select(F.lower(E.basename(F.col("path"))).alias("_t")).distinct()
+    # the hot files are a few rows
+    told = F.broadcast(names.select("path", "_n").distinct().filter((F.char_length("_n") >= 4) & ~F.col("_n").isin("index", "utils")))
+    named = tests.join(told, F.contains("_t", "_n")).select("path")
+    used = edges.filter(E.is_signal_test_file(F.col("src"))).select(F.col("dst").alias("path")).join(F.broadcast(hot.select("path")), "path", "left_semi")
+    return near.unionByName(named).unionByName(used).distinct()
+
+
+def code_tests(spots: DataFrame, paths: DataFrame, edges: DataFrame, top: int = 25, whole: bool = True) -> list[DataFrame]:
+    """spots: path, score. Whether the hottest code files have tests; the warning needs few tests in all, and the ``whole`` repository."""
+    hot = spots.orderBy(F.desc("score"), "path").limit(top).filter(E.is_code_file(F.col("path"))).select("path")
+    known = paths.select("path").unionByName(spots.select("path")).distinct()
+    row = hot.join(found_tests(hot, known, edges).withColumn("_t", F.lit(True)), "path", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_t").isNull()).alias("bare"))
+    test = E.is_signal_test_file(F.col("path"))
+    all_ = known.agg(F.count_if(test).alias("tests"), F.count_if(~test & E.is_code_file(F.col("path"))).alias("code"))
+    row = row.crossJoin(all_)  # two tables of one row
+    n, pct = F.col("n"), E.percent(F.col("bare"), F.col("n"))
+    thin = (F.col("tests") < 30) & ((F.col("code") == 0) | (F.col("tests") < 0.25 * F.col("code"))) & F.lit(whole)
+    good = E.percent(n - F.col("bare"), n)
+    return [
+        one_of(row, pct, n, ((n >= 5) & thin & (pct >= 50), "untested-hotspots", N_, high_if(pct > 80))),
+        one_of(row, good, n, ((n >= 5) & (good >= 60), "good-test-presence", W_, None)),
+    ]
+
+
+def hygiene(facts: DataFrame) -> DataFrame:
+    """facts, one row: has_license, has_readme (null where unknown)."""
+    lacks = (~F.coalesce("has_license", F.lit(False))).cast("int") + (~F.coalesce("has_readme", F.lit(True))).cast("int")
+    return one_of(facts, lacks, F.lit(0), (lacks > 0, "missing-hygiene", Q_, None))
 
 
 def recency(commits: DataFrame, as_of: Column) -> DataFrame:
@@ -169,8 +203,9 @@ def risky(patterns: DataFrame) -> DataFrame:
     return one_of(patterns.agg(F.count("*").alias("n")), F.col("n"), F.lit(0), (F.col("n") > 0, "risky-eval-patterns", Q_, None))
 
 
-def deep_chain(chain: DataFrame) -> DataFrame:
-    row = chain.agg(F.max("place").alias("n"))
+def deep_chain(layers: DataFrame) -> DataFrame:
+    """layers: layer of each file."""
+    row = layers.agg(F.max("layer").alias("n"))
     n = F.col("n")
     return one_of(row, n, F.lit(0), (n >= 9, "deep-dependency-chains", N_, high_if(n >= 12)), (n >= 6, "deep-dependency-chains", Q_, None))
 
@@ -298,10 +333,16 @@ def adoption(judged: DataFrame, signals: DataFrame, secrets: DataFrame) -> DataF
 
 
 def headline(facts: DataFrame) -> DataFrame:
-    """facts, one row: secrets, functions, dup_complexity, untested, top_untested, coverage, churn, stale_days. Adds finding: the first that holds."""
+    """facts, one row: secrets, analyzed, functions, dup_complexity, test_files, untested, top_untested, prod_functions,
+    coverage, churn, stale_days. Adds finding and severity: the first that holds."""
     c = F.col
-    kind = (
-        F.when(c("secrets") > 0, "secret").when(c("functions") == 0, "no-data").when(c("dup_complexity") >= 50, "duplicates").when((c("untested") >= 5) & (c("top_untested") >= 3), "untested")
-        .when((c("coverage") < 30) & (c("functions") >= 20), "coverage").when(c("churn") >= 50, "churn").when(c("stale_days") > 90, "stale").otherwise("healthy")
+    tests = c("test_files") > 0
+    rules = (
+        (c("secrets") > 0, "secret-leak", "critical"), (~c("analyzed"), "no-data", "info"), (c("dup_complexity") >= 50, "critical-duplicates", "critical"),
+        (tests & (c("untested") >= 5) & (c("top_untested") >= 3), "many-untested-hotspots", "warning"), (tests & (c("prod_functions") >= 20) & (c("coverage") < 30), "low-coverage", "warning"),
+        (c("churn") >= 50, "high-churn-hotspot", "warning"), (c("stale_days") > 90, "stale-repo", "info"), (c("functions") == 0, "no-code-parsed", "info"),
     )
-    return facts.withColumn("finding", kind)
+    kind, severity = F.lit("generic-healthy"), F.lit("info")
+    for holds, name, level in reversed(rules):
+        kind, severity = F.when(holds, name).otherwise(kind), F.when(holds, level).otherwise(severity)
+    return facts.withColumn("finding", kind).withColumn("severity", severity)
