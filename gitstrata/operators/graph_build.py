@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
+from gitstrata.operators import sinks
+from gitstrata.sources import python_source
 
 
 def import_edges(p_imports: DataFrame) -> DataFrame:
@@ -85,6 +88,36 @@ def route_handlers(routes: DataFrame, functions: DataFrame, imports: DataFrame)
     return best.groupBy(F.col("x.t_file").alias("file"), F.col("target_name").alias("name")).agg(F.min("route").alias("route"))
 
 
+def declared_routes(parsed: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """file, name, route of handlers: those that their decorators declare, then those of routing tables; of several the smallest route."""
+    own = parsed.filter("kind = 'route' and form = 'decorator'").groupBy("file", "name").agg(F.min("target").alias("route"))
+    table = parsed.filter("kind = 'route' and form = 'table'").select("file", F.col("target").alias("route"), F.col("name").alias("target_name"))
+    return own.unionByName(route_handlers(table, functions, imports).join(own, ["file", "name"], "left_anti"))
+
+
+def build_graph(files: DataFrame) -> dict[str, DataFrame]:
+    """files: path, content of Python sources. The graph's relations: parsed (facts), functions, imports, calls (resolved where
+    they can be), arguments, routes, sinks."""
+    parsed = shared.written(python_source.parse(files), "parsed")
+    functions = python_source.functions_of(parsed)
+    found = shared.written(python_source.resolved_imports(parsed, files.select("path")), "imports")
+    imports = import_edges(found)
+    calls = shared.written(resolve_calls(python_source.calls_of(parsed), functions, imports.select("from_file", "to_file").distinct(), reexports(found)), "calls")
+    return {
+        "parsed": parsed, "functions": functions, "imports": imports, "calls": calls, "arguments": python_source.arguments_of(parsed, calls),
+        "routes": declared_routes(parsed, functions, imports), "sinks": sinks.python_sinks(parsed),
+    }
+
+
+def analysis_totals(files: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
+    """One row: scanned, errors, functions, imports, resolved_imports, calls, resolved_calls of a built graph."""
+    kinds = graph["parsed"].agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("error", "errors"), ("function", "functions"), ("import", "imports"), ("call", "calls"))))
+    rest = (files.agg(F.count("*").alias("scanned")), graph["imports"].agg(F.count("*").alias("resolved_imports")), graph["calls"].agg(F.count("to_file").alias("resolved_calls")))
+    for one in rest:  # tables of one row
+        kinds = kinds.crossJoin(one)
+    return kinds
+
+
 def file_stats(functions: DataFrame) -> DataFrame:
     """ext, files, functions, complexity."""
     return functions.groupBy(E.extension(F.col("file")).alias("ext")).agg(F.count_distinct("file").alias("files"), F.count("*").alias("functions"), F.sum("complexity").alias("complexity"))

@@ -702,6 +702,59 @@ def c3_resolve_calls(r):
     return graph_build.resolve_calls(c, f, imports, origins)
 
 
+# from source text to the graph; the SQL tells the outcome from the numbers that the sources are made of
+PY = "p as (select path as file, 'f' || m as name, k, m, case when k % 7 = 0 then 1 else 0 end as shift, 'pkg' || (k % 20) || '/m' || (m + 1) || '.py' as next from python_files), n as (select p.*, next in (select path from python_files) as more from p)"
+
+
+def graph(r) -> dict[str, DataFrame]:
+    return graph_build.build_graph(r["python_files"].select("path", "content"))
+
+
+@query(f"with {PY} select file, name, 3 + shift as start_row, 3 as complexity, 'q,other' as params, shift = 1 as entry_point from n")
+def c1_graph_functions(r):
+    return graph(r)["functions"].select("file", "name", "start_row", "complexity", F.array_join("params", ",").alias("params"), "entry_point")
+
+
+@query(f"with {PY} select file as from_file, next as to_file, 'import' as kind from n where more")
+def c1_graph_imports(r):
+    return graph(r)["imports"]
+
+
+@query(f"with {PY} select file as from_file, name as from_fn, next as to_file, 'f' || (m + 1) as to_fn from n where more")
+def c1_graph_calls(r):
+    return graph(r)["calls"].filter("to_file is not null").select(F.col("file").alias("from_file"), F.col("in_fn").alias("from_fn"), "to_file", "to_fn")
+
+
+@query(f"with {PY} select count(*) as scanned, 0::bigint as errors, count(*) as functions, 2 * count(*) as imports, count(*) filter (where more) as resolved_imports, count(*) + count(*) filter (where k % 5 <> 3) + count(*) filter (where k % 7 = 0) + count(*) filter (where k % 11 = 0) as calls, count(*) filter (where more) as resolved_calls from n")
+def c9_analysis_totals(r):
+    g = graph(r)
+    return graph_build.analysis_totals(r["python_files"].select("path"), g)
+
+
+@query(f"with {PY} select file, name, case when k % 7 = 0 then '/r' || k else 'u' || k end as route from n where k % 7 = 0 or k % 11 = 0")
+def c5_routes(r):
+    return graph(r)["routes"]
+
+
+@query(
+    f"with {PY} select file, case k % 5 when 0 then 'py-os-command' when 1 then 'py-eval' when 2 then 'py-path-traversal' else 'py-hardcoded-secret' end as rule, 'high' as severity, (7 + shift)::int as line, name as in_fn, k % 5 = 2 as requires_taint, "
+    "case k % 5 when 0 then 'q' when 2 then 'other' end as tainted_by_param, case when k % 5 = 1 then 'request.args' end as taint_source from n where k % 5 < 4"
+)
+def x3_python_sinks(r):
+    return graph(r)["sinks"].drop("in_container")
+
+
+@query(
+    f"with {PY}, h as (select unnest(range(6)) as h), q as (select n.*, h, e.name as entry from n join h on true join n e on e.k = n.k - 20 * h where e.k % 7 = 0), b as (select k, min(h) as h, arg_min(entry, h) as entry from q group by k) "
+    "select file, name as in_fn, 'q' as param, 'py-os-command' as rule, (7 + shift)::int as line, (h + 1)::int as hops, entry || ' (q)' as source from n join b using (k) where k % 5 = 0 "
+    "union all select file, name, 'other', 'py-path-traversal', (7 + shift)::int, 1, name || ' (other)' from n where k % 5 = 2 and k % 7 = 0"
+)
+def x2_source_taint(r):
+    g = graph(r)
+    waits = g["sinks"].filter("tainted_by_param is not null").select("file", "in_fn", F.col("tainted_by_param").alias("param"), "rule", "line")
+    return flow.taint(g["functions"], g["arguments"], waits)
+
+
 @query("select regexp_extract(file, '\\.([^./]+)$', 1) as ext, count(distinct file) as files, count(*) as functions, sum(complexity)::bigint as complexity from functions group by 1")
 def c6_file_stats(r):
     return graph_build.file_stats(r["functions"])

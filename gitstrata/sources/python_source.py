@@ -1,57 +1,250 @@
-"""Python files to parse relations, by a table function over the standard syntax tree."""
+"""Python files to parse relations, by a table function over the standard syntax tree.
+
+The function gives plain facts, a row each: functions, classes, calls, arguments with a known origin, imports,
+assignments and routes. What they mean, how imports and calls resolve and which calls are sinks, is said by
+DataFrame operators over them.
+"""
 
 from __future__ import annotations
 
 import ast
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from gitstrata.functions import exprs as E
+
+#: Nodes that add a path through a function; an ``and`` or ``or`` adds one for each operand but the first.
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
+#: What makes an expression's value come from outside, and what makes it harmless.
+REQUEST = re.compile(r"(^|\.)request\.[A-Za-z_]")
+SERVER_SET = re.compile(r"(^|\.)request\.(user|auth|session|id|site|resolver_match|csrf_token|_messages|current_app|urlconf)\b")
+CLEAN_CALLS = frozenset(("int", "float", "len", "bool", "isinstance", "escape"))
+ROUTE_METHODS = frozenset(("route", "get", "post", "put", "patch", "delete", "websocket", "api_route"))
+
+SCHEMA = (
+    "file string, kind string, name string, container string, row int, end_row int, complexity int, target string, has_receiver boolean, "
+    "seq int, receiver string, callee_type string, items array<string>, body_hash string, form string, origin_kind string, origin string, literal string"
+)
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+WHOLE = ("row", "end_row", "complexity", "seq")
+FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def fact(path: str, kind: str, node: ast.AST | None = None, **cells) -> dict:
+    at = {"row": node.lineno - 1, "end_row": (node.end_lineno or node.lineno) - 1} if node is not None else {}
+    return {"file": path, "kind": kind, **at, **cells}
+
+
+def complexity(function: ast.AST) -> int:
+    return 1 + sum(isinstance(x, BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(function))
+
+
+def body_hash(function: ast.AST) -> str:
+    """Of the kinds of the body's nodes, operators included, names and literals left aside."""
+    kinds = "|".join(type(x).__name__ for s in function.body for x in ast.walk(s) if not isinstance(x, (ast.Load, ast.Store)))
+    return hashlib.md5(kinds.encode()).hexdigest()[:16]
+
+
+def dotted(node: ast.AST | None, aliases: dict[str, str]) -> str | None:
+    """``a.b`` of names and attributes, its first name resolved through the file's imports; None for anything else."""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if not isinstance(node, ast.Name):
+        return None
+    return ".".join([aliases.get(node.id, node.id), *reversed(parts)])
+
+
+class Scope:
+    """What a function's names stand for, by its assignments in order: origins, assembled strings, types."""
+
+    def __init__(self, function: ast.AST, aliases: dict[str, str]) -> None:
+        self.aliases, self.origins, self.assembled, self.types, self.text = aliases, {}, set(), {}, {}
+        if isinstance(function, FUNCTION):
+            a = function.args
+            for p in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))):
+                if p.arg not in ("self", "cls"):
+                    self.origins[p.arg] = ("param", p.arg)
+        assigned = [x for x in ast.walk(function) if isinstance(x, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and x.value is not None]
+        for x in sorted(assigned, key=lambda x: (x.lineno, x.col_offset)):
+            for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
+                if isinstance(t, ast.Name):
+                    if (o := self.origin(x.value)) is not None:
+                        self.origins[t.id] = o
+                    if self.is_assembled(x.value) or isinstance(x, ast.AugAssign) and isinstance(x.op, ast.Add) and t.id in self.text:
+                        self.assembled.add(t.id)
+                    if isinstance(x.value, ast.Constant) and isinstance(x.value.value, str):
+                        self.text[t.id] = x.value.value
+                    if isinstance(x.value, ast.Call) and isinstance(x.value.func, ast.Name) and x.value.func.id[:1].isupper():
+                        self.types[t.id] = x.value.func.id
+
+    def origin(self, node: ast.AST | None) -> tuple[str, str] | None:
+        """("source", its text) or ("param", name) of the first such value that an expression is made of."""
+        todo = [node] if node is not None else []
+        while todo:
+            x = todo.pop(0)
+            if isinstance(x, ast.Name) and x.id in self.origins:
+                return self.origins[x.id]
+            if isinstance(x, (ast.Attribute, ast.Subscript)):
+                text = ast.unparse(x)
+                if REQUEST.search(text) and not SERVER_SET.search(text):
+                    return "source", text.split("(")[0]
+                if dotted(x, self.aliases) in ("sys.argv", "os.environ"):
+                    return "source", dotted(x, self.aliases)
+            if isinstance(x, ast.Call):
+                name = x.func.id if isinstance(x.func, ast.Name) else None
+                if name == "input":
+                    return "source", "input"
+                if name in CLEAN_CALLS:
+                    continue
+            if not isinstance(x, (ast.Lambda, *FUNCTION)):
+                todo[:0] = [c for c in ast.iter_child_nodes(x) if isinstance(c, (ast.expr, ast.keyword))]
+        return None
 
-#: Nodes that add a path through a function.
-BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension, ast.IfExp, ast.BoolOp)
-SCHEMA = "file string, kind string, name string, container string, row int, end_row int, complexity int, target string, has_receiver boolean"
+    def is_assembled(self, node: ast.AST | None) -> bool:
+        """Whether a string is put together from parts that aren't all literals."""
+        if isinstance(node, ast.JoinedStr):
+            return any(isinstance(v, ast.FormattedValue) for v in node.values)
+        if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Mod)):
+            texts = [x for x in ast.walk(node) if isinstance(x, (ast.JoinedStr, ast.Constant)) and (isinstance(x, ast.JoinedStr) or isinstance(x.value, str))]
+            return bool(texts) and any(isinstance(x, (ast.Name, ast.Attribute, ast.Call, ast.Subscript)) for x in ast.walk(node))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format":
+            return isinstance(node.func.value, ast.Constant)
+        return isinstance(node, ast.Name) and node.id in self.assembled
 
+    def literal(self, node: ast.AST | None) -> str | None:
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            return node.value
+        return self.text.get(node.id) if isinstance(node, ast.Name) else None
 
-def facts(path: str, content: str) -> Iterator[tuple]:
-    """Rows of SCHEMA: functions, classes, calls and imports of one file; one row of kind error if it can't be read."""
+
+def call_facts(path: str, call: ast.Call, scope: Scope, inside: str | None, container: str | None, seq: int) -> Iterator[dict]:
+    """A call and its arguments whose values have a known origin."""
+    func = call.func
+    callee = func.attr if isinstance(func, ast.Attribute) else getattr(func, "id", None)
+    if not callee:
+        return
+    receiver = dotted(func.value, scope.aliases) if isinstance(func, ast.Attribute) else None
+    first = call.args[0] if call.args else None
+    if callee in ("execute", "executemany", "executescript", "raw") and isinstance(first, ast.Call) and dotted(first.func, {}) in ("text", "sa.text", "sqlalchemy.text") and first.args:
+        first = first.args[0]
+    own = func.value.id if isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name) else None
+    kind = container if own in ("self", "cls") else scope.types.get(own) or (scope.aliases[own].rsplit(".", 1)[-1] if own in scope.aliases else None)
+    made = "assembled" if scope.is_assembled(first) else "literal" if scope.literal(first) is not None else "name" if isinstance(first, ast.Name) else "none" if first is None else "other"
+    origin = scope.origin(first) or (None, None)
+    words = [f"{k.arg}={ast.unparse(k.value)}" for k in call.keywords if k.arg]
+    yield fact(
+        path, "call", call, name=inside, container=container, target=callee, has_receiver=isinstance(func, ast.Attribute), seq=seq, receiver=receiver, callee_type=kind, items=words, form=made,
+        origin_kind=origin[0], origin=origin[1], literal=scope.literal(call.args[1]) if len(call.args) > 1 else None,
+    )
+    for k, (name, value) in enumerate([(None, a) for a in call.args] + [(w.arg, w.value) for w in call.keywords if w.arg]):
+        if (o := scope.origin(value)) is not None:
+            yield fact(path, "arg", call, name=inside, container=container, target=callee, seq=seq, complexity=k, literal=name, origin_kind=o[0], origin=o[1])
+
+
+def facts(path: str, content: str | None) -> list[dict]:
+    """The facts of one file; one of kind error if it can't be read."""
     try:
         tree = ast.parse(content or "")
-    except (SyntaxError, ValueError, RecursionError):
-        yield path, "error", None, None, 0, 0, 1, None, None
-        return
-    todo: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
+        return list(_facts(path, tree))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [fact(path, "error", row=0, end_row=0, complexity=1)]
+
+
+def _facts(path: str, tree: ast.Module) -> Iterator[dict]:
+    aliases: dict[str, str] = {}
+    for x in ast.walk(tree):
+        if isinstance(x, (ast.Import, ast.ImportFrom)):
+            level = "." * getattr(x, "level", 0)
+            base = level + (getattr(x, "module", None) or "")
+            for a in x.names:
+                full = a.name if isinstance(x, ast.Import) else f"{base}.{a.name}".lstrip(".") if base.strip(".") else a.name
+                aliases[a.asname or a.name.split(".")[0]] = full if a.asname or isinstance(x, ast.ImportFrom) else a.name.split(".")[0]
+                yield fact(path, "import", x, name=a.name if isinstance(x, ast.ImportFrom) else None, target=base if isinstance(x, ast.ImportFrom) else a.name, complexity=0, seq=x.lineno)
+    seq, outer = 0, Scope(tree, aliases)
+    todo: list[tuple[ast.AST, str | None, str | None, Scope]] = [(tree, None, None, outer)]
     while todo:
-        node, container, inside = todo.pop()
+        node, container, inside, scope = todo.pop()
         for child in ast.iter_child_nodes(node):
-            c, f = container, inside
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                cx = 1 + sum(isinstance(x, BRANCHES) for x in ast.walk(child))
-                yield path, "function", child.name, container, child.lineno - 1, (child.end_lineno or child.lineno) - 1, cx, None, None
-                f = child.name
+            c, f, s = container, inside, scope
+            if isinstance(child, FUNCTION):
+                args = child.args
+                yield fact(path, "function", child, name=child.name, container=container, complexity=complexity(child), body_hash=body_hash(child), items=[a.arg for a in (*args.posonlyargs, *args.args, *args.kwonlyargs) if a.arg not in ("self", "cls")])
+                for d in child.decorator_list:
+                    if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in ROUTE_METHODS and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
+                        yield fact(path, "route", child, name=child.name, container=container, target=d.args[0].value, form="decorator", items=[] if d.func.attr in ("route", "api_route") else [d.func.attr.upper()])
+                f, s = child.name, Scope(child, aliases)
             elif isinstance(child, ast.ClassDef):
-                yield path, "class", child.name, None, child.lineno - 1, (child.end_lineno or child.lineno) - 1, 0, None, None
+                fields = [t.id for x in child.body if isinstance(x, (ast.Assign, ast.AnnAssign)) for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Name)]
+                yield fact(path, "class", child, name=child.name, complexity=0, items=[b for b in (dotted(x, {}) for x in child.bases) if b], literal=",".join(fields))
                 c = child.name
             elif isinstance(child, ast.Call):
+                seq += 1
+                yield from call_facts(path, child, scope, inside, container, seq)
                 callee = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", None)
-                if callee:
-                    yield path, "call", inside, container, child.lineno - 1, child.lineno - 1, 0, callee, isinstance(child.func, ast.Attribute)
-            elif isinstance(child, ast.ImportFrom):
-                for a in child.names:
-                    yield path, "import", a.name, None, child.lineno - 1, child.lineno - 1, 0, "." * child.level + (child.module or ""), None
-            elif isinstance(child, ast.Import):
-                for a in child.names:
-                    yield path, "import", None, None, child.lineno - 1, child.lineno - 1, 0, a.name, None
-            todo.append((child, c, f))
+                if callee in ("path", "re_path", "url") and len(child.args) > 1 and isinstance(child.args[0], ast.Constant) and isinstance(child.args[0].value, str) and dotted(child.args[1], {}):
+                    yield fact(path, "route", child, name=dotted(child.args[1], {}).rsplit(".", 1)[-1], target=child.args[0].value, receiver=dotted(child.args[1], aliases), form="table", items=[])
+            elif isinstance(child, (ast.Assign, ast.AnnAssign)) and child.value is not None:
+                for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
+                    name = t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else t.slice.value if isinstance(t, ast.Subscript) and isinstance(t.slice, ast.Constant) else None
+                    if isinstance(name, str):
+                        value = child.value
+                        given = value.args[1] if isinstance(value, ast.Call) and len(value.args) > 1 and (dotted(value.func, {}) or "").rsplit(".", 1)[-1] in ("getenv", "get") else value
+                        yield fact(path, "assign", child, name=inside, container=container, target=name, form=ast.unparse(value), literal=given.value if isinstance(given, ast.Constant) and isinstance(given.value, str) else None)
+            todo.append((child, c, f, s))
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """files: path, content."""
+    """files: path, content. Returns SCHEMA."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                yield pd.DataFrame(list(facts(path, content)), columns=names)
+            rows = [r for path, content in zip(b["path"], b["content"]) for r in facts(path, content)]
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="Int32" if c in WHOLE else object) for c in COLUMNS})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def functions_of(parsed: DataFrame) -> DataFrame:
+    """file, name, container, start_row, end_row, complexity, body_hash, params, fn_seq, entry_point."""
+    routed = parsed.filter("kind = 'route' and form = 'decorator'").select("file", "name", F.col("container").alias("_c"), F.lit(True).alias("_e")).distinct()
+    f = parsed.filter("kind = 'function'").select(
+        "file", "name", "container", F.col("row").alias("start_row"), "end_row", "complexity", "body_hash", F.col("items").alias("params"), F.struct("file", "row").alias("fn_seq"),
+    )
+    f = f.join(routed.withColumnsRenamed({"file": "_f", "name": "_n"}), (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_n")) & F.col("container").eqNullSafe(F.col("_c")), "left")
+    return f.withColumn("entry_point", F.col("_e").isNotNull()).drop("_f", "_n", "_c", "_e")
+
+
+def resolved_imports(parsed: DataFrame, paths: DataFrame) -> DataFrame:
+    """file, resolved_path, kind, symbols, seq of import statements whose module is a file of ``paths`` (column path):
+    relative ones from their folder upwards, absolute ones from the root; ``from a import b`` may mean a module b."""
+    i = parsed.filter("kind = 'import'").select("file", "target", F.col("name").alias("symbol"), "seq")
+    dots = F.char_length(F.regexp_extract("target", r"^\.*", 0))
+    folder = F.split(E.module_path(F.col("file")), "/")
+    up = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.lit(0), F.size(folder) - dots + 1)), "/")
+    module = F.replace(F.regexp_replace("target", r"^\.+", ""), F.lit("."), F.lit("/"))
+    start = F.when(dots == 0, module).when(up == "", module).when(module == "", up).otherwise(F.concat(up, F.lit("/"), module))
+    inner = F.when(start == "", F.col("symbol")).otherwise(F.concat(start, F.lit("/"), "symbol"))
+    tries = F.filter(F.array(F.concat(inner, F.lit(".py")), F.concat(inner, F.lit("/__init__.py")), F.concat(start, F.lit(".py")), F.concat(start, F.lit("/__init__.py"))), lambda x: x.isNotNull())
+    each = i.withColumn("_base", start).select("file", "symbol", "seq", F.posexplode(tries).alias("_k", "path"))
+    hit = each.join(paths.select("path").distinct(), "path").groupBy("file", "symbol", "seq").agg(F.min_by("path", "_k").alias("resolved_path"))
+    return hit.groupBy("file", "seq", "resolved_path").agg(F.sort_array(F.collect_set("symbol")).alias("symbols")).withColumn("kind", F.lit("import"))
+
+
+def calls_of(parsed: DataFrame) -> DataFrame:
+    """p_calls: call_id, file, in_fn, from_container, callee_name, callee_type, has_receiver."""
+    c = parsed.filter("kind = 'call'")
+    return c.select(F.concat_ws("#", "file", "seq").alias("call_id"), "file", F.col("name").alias("in_fn"), F.col("container").alias("from_container"), F.col("target").alias("callee_name"), "callee_type", "has_receiver")
+
+
+def arguments_of(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """For resolved calls, each argument with an origin: from_file, from_fn, to_file, to_fn, index, arg_name, source, param, line."""
+    a = parsed.filter("kind = 'arg'").select(F.concat_ws("#", "file", "seq").alias("call_id"), F.col("complexity").alias("index"), F.col("literal").alias("arg_name"), "origin_kind", "origin", "row")
+    at = resolved.filter("to_fn is not null").select("call_id", F.col("file").alias("from_file"), F.col("in_fn").alias("from_fn"), "to_file", "to_fn")
+    pick = lambda k: F.when(F.col("origin_kind") == k, F.col("origin"))
+    return a.join(at, "call_id").select("from_file", "from_fn", "to_file", "to_fn", "index", "arg_name", pick("source").alias("source"), pick("param").alias("param"), (F.col("row") + 1).alias("line"))

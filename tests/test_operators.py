@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gitstrata import shared
 from gitstrata.functions import exprs as E
-from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, traverse
+from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, sinks, traverse
 from gitstrata.sources import python_source, snapshots
 from gitstrata.streaming import activity
 
@@ -229,6 +229,45 @@ def test_python_parser(spark):
     assert got.filter("kind = 'error'").count() == 1
 
 
+HELPER = "def add(a, b):\n    return a + b\n\ndef safe_div(a, b):\n    if b == 0:\n        return None\n    return a / b\n"
+MAIN = "from .helper import add, safe_div\n\ndef process(items):\n    total = 0\n    for item in items:\n        if item > 0:\n            total = add(total, item)\n        elif item < 0:\n            total = safe_div(total, -item)\n    return total\n"
+
+
+def test_two_files_to_graph(spark):
+    """Counted by hand: three functions, complexities 1, 2 and 4, one import, two resolved calls."""
+    g = graph_build.build_graph(spark.createDataFrame([("pkg/helper.py", HELPER), ("pkg/main.py", MAIN), ("pkg/bad.py", "def ("), ("pkg/none.py", None)], "path string, content string"))
+    assert rows(g["functions"].select("file", "name", "complexity")) == [("pkg/helper.py", "add", 1), ("pkg/helper.py", "safe_div", 2), ("pkg/main.py", "process", 4)]
+    assert rows(g["imports"]) == [("pkg/main.py", "pkg/helper.py", "import")]
+    assert rows(g["calls"].filter("in_fn = 'process'").select("callee_name", "to_file", "to_fn")) == [("add", "pkg/helper.py", "add"), ("safe_div", "pkg/helper.py", "safe_div")]
+    assert g["parsed"].filter("kind = 'error'").count() == 1
+
+
+SINK_CASES = [
+    ("eval(x)", ["py-eval"]), ("obj.eval(x)", []), ("import os as o\n    o.system(x)", ["py-os-command"]), ("subprocess.run(x)", []), ("subprocess.run(x, shell=True)", ["py-subprocess-shell"]), ("pickle.loads(x)", ["py-pickle-load"]),
+    ("yaml.load(x)", ["py-yaml-unsafe-load"]), ("yaml.load(x, Loader=yaml.SafeLoader)", []), ("c.execute('select ' + x)", ["py-sql-assembled"]), ("s = f'select {x}'\n    c.execute(s)", ["py-sql-assembled"]), ("c.execute(text('select %s' % x))", ["py-sql-assembled"]), ("c.execute('select 1')", []),
+    ("open('a')", []), ("open(x)", ["py-path-traversal"]), ("open(int(x))", []), ("requests.get('u')", []), ("requests.get(x)", ["py-ssrf"]), ("redirect(x)", []), ("redirect(request.GET['n'])", ["py-open-redirect"]), ("redirect(request.path)", []),
+    ("mark_safe('<b>')", []), ("mark_safe('<b>' + x)", ["py-mark-safe"]), ("jwt.decode(x, verify=False)", ["py-jwt-unverified"]), ("jwt.encode(x, 'abcd')", ["py-hardcoded-secret"]), ("app.run(debug=True)", ["py-debug-server"]), ("requests.get('u', verify=False)", ["py-tls-verify-disabled"]),
+    ("password = 'hunter2'", ["py-hardcoded-secret"]), ("api_key = os.environ['K']", []), ("api_key = os.getenv('K', 'dev-key')", ["py-hardcoded-secret"]), ("PASSWORD_FIELD = 'pw1'", []), ("password = 'reset'", []), ("DEBUG = True", ["py-debug-enabled"]), ("ALLOWED_HOSTS = ['*']", ["py-wildcard-allowed-hosts"]),
+    ("XMLParser(load_dtd=True)", ["py-xxe"]), ("Environment(autoescape=False)", ["py-autoescape-disabled"]), ("render_template_string(x)", ["py-ssti"]),
+]
+
+
+def test_python_sinks(spark):
+    files = spark.createDataFrame([(f"a{k}.py", f"def f(x, c, app):\n    {body}\n") for k, (body, _) in enumerate(SINK_CASES)], "path string, content string")
+    got = {}
+    for r in sinks.python_sinks(python_source.parse(files)).orderBy("file", "line").collect():
+        got.setdefault(r.file, []).append(r.rule)
+    for k, (body, want) in enumerate(SINK_CASES):
+        assert got.get(f"a{k}.py", []) == want, body
+
+
+def test_taint_origins(spark):
+    text = "def f(x, y):\n    a = y\n    b = a + '1'\n    os.system(b)\n    eval(input())\n    open(request.user.name)\n    g(1, k=x)\n"
+    got = python_source.parse(spark.createDataFrame([("a.py", text)], "path string, content string"))
+    assert rows(got.filter("kind = 'call' and origin is not null").select("target", "origin_kind", "origin")) == [("eval", "source", "input"), ("system", "param", "y")]
+    assert rows(got.filter("kind = 'arg' and target = 'g'").select("complexity", "literal", "origin")) == [(1, "k", "x")]
+
+
 def test_snapshots_and_stream(spark, tmp_path):
     path = str(tmp_path / "s")
     df = spark.createDataFrame([(1,), (2,)], "x int")
