@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import tomllib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gitstrata.functions import exprs as E
 
@@ -142,6 +146,63 @@ def requirements_manifest(manifests: DataFrame) -> DataFrame:
     return rows.select(F.lit("pypi").alias("ecosystem"), name.alias("name"), F.when(spec == "", "*").otherwise(spec).alias("declared"), F.col("path").alias("source_path"), scope.alias("scope"))
 
 
+def toml_json(text: str) -> Column:
+    """TOML in a column as JSON; null for null and for what isn't TOML."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return json.dumps(tomllib.loads(t), default=str) if isinstance(t, str) else None
+            except tomllib.TOMLDecodeError:
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run(F.col(text))
+
+
+def _listed(manifests: DataFrame, ecosystem: str, *parts: Column) -> DataFrame:
+    """The entries (name, declared, scope) of arrays as declarations."""
+    rows = F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<struct<name:string,declared:string,scope:string>>")) for p in parts)))
+    out = manifests.select("path", F.explode(rows).alias("x")).select(F.lit(ecosystem).alias("ecosystem"), "x.name", "x.declared", F.col("path").alias("source_path"), "x.scope")
+    return out.filter("declared is not null")
+
+
+def _table(values: Column, scope: str, skip: str = "") -> Column:
+    """Entries of a table of name to version or to {version, package}; those from git, a path or a workspace have no version."""
+    inside = lambda e, k: F.get_json_object(e.value, f"$.{k}")
+    given = lambda e: F.when(~e.value.startswith("{"), e.value).when(inside(e, "git").isNull() & inside(e, "path").isNull() & inside(e, "workspace").isNull(), inside(e, "version"))
+    name = lambda e: F.when(e.value.startswith("{"), F.coalesce(inside(e, "package"), e.key)).otherwise(e.key)
+    return F.transform(F.filter(F.map_entries(values), lambda e: F.lower(e.key) != skip), lambda e: F.struct(name(e).alias("name"), given(e).alias("declared"), F.lit(scope).alias("scope")))
+
+
+def cargo_manifest(manifests: DataFrame) -> DataFrame:
+    """path, content of Cargo.toml files: dependencies and those of the workspace ship, dev and build ones don't."""
+    doc = F.from_json(toml_json("content"), "dependencies map<string,string>, `dev-dependencies` map<string,string>, `build-dependencies` map<string,string>, workspace struct<dependencies: map<string,string>>")
+    m = manifests.select("path", doc.alias("d"))
+    return _listed(m, "cargo", _table(F.col("d.dependencies"), "runtime"), _table(F.col("d.`dev-dependencies`"), "dev"), _table(F.col("d.`build-dependencies`"), "dev"), _table(F.col("d.workspace.dependencies"), "runtime"))
+
+
+def _required(lines: Column, scope: str) -> Column:
+    """Entries of a list of requirements such as ``name[extra] >= 1; marker``."""
+    name = lambda x: F.regexp_replace(F.lower(F.regexp_extract(x, r"^\s*([A-Za-z0-9._-]+)", 1)), "[-_.]+", "-")
+    spec = lambda x: F.trim(F.regexp_extract(x, r"^\s*[A-Za-z0-9._-]+(?:\[[^\]]*\])?\s*([^;]*)", 1))
+    return F.transform(F.filter(lines, lambda x: x.rlike(r"^\s*[A-Za-z0-9]")), lambda x: F.struct(name(x).alias("name"), F.when(spec(x) == "", "*").otherwise(spec(x)).alias("declared"), F.lit(scope).alias("scope")))
+
+
+def pyproject_manifest(manifests: DataFrame) -> DataFrame:
+    """path, content of pyproject.toml files, in the three forms that declare dependencies; optional and group ones are dev."""
+    poetry = "dependencies: map<string,string>, `dev-dependencies`: map<string,string>, `group`: map<string, struct<dependencies: map<string,string>>>"
+    doc = F.from_json(toml_json("content"), f"project struct<dependencies: array<string>, `optional-dependencies`: map<string, array<string>>>, tool struct<poetry: struct<{poetry}>, flit: struct<metadata: struct<requires: array<string>>>>")
+    m = manifests.select("path", doc.alias("d"))
+    groups = F.flatten(F.transform(F.map_values("d.tool.poetry.group"), lambda g: F.coalesce(_table(g.dependencies, "dev", "python"), F.array().cast("array<struct<name:string,declared:string,scope:string>>"))))
+    return _listed(
+        m, "pypi", _required(F.col("d.project.dependencies"), "runtime"), _required(F.flatten(F.map_values(F.col("d.project.`optional-dependencies`"))), "dev"),
+        _table(F.col("d.tool.poetry.dependencies"), "runtime", "python"), _table(F.col("d.tool.poetry.`dev-dependencies`"), "dev", "python"), groups, _required(F.col("d.tool.flit.metadata.requires"), "runtime"),
+    )
+
+
 def workflow_manifest(files: DataFrame) -> DataFrame:
     """path, content of workflow files to workflow, uses: the ``uses:`` values, line by line."""
     line = F.regexp_extract("l", r"^\s*-?\s*uses:\s*[\"']?([^\"'\s#]+)", 1)

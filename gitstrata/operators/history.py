@@ -102,11 +102,15 @@ def pr_flow(pull_requests: DataFrame) -> DataFrame:
 def upper_median_hours(pull_requests: DataFrame) -> DataFrame:
     """merged (count) and hours: the value at place floor(n / 2), from 0, of the merged pull requests of people.
 
-    Times are counted by value first, so the running total is over distinct whole seconds, not rows."""
+    Rows are counted by day of length first; only the day that holds the value is looked at by the second."""
     seconds = F.unix_timestamp("merged_at") - F.unix_timestamp("created_at")
-    rows = pull_requests.filter(F.col("merged") & ~E.is_bot(F.col("author_login")) & F.col("merged_at").isNotNull()).groupBy(seconds.alias("s")).agg(F.count("*").alias("n"))
-    upto = rows.withColumn("upto", F.sum("n").over(W.orderBy("s"))).crossJoin(F.broadcast(rows.agg(F.sum("n").alias("all"))))
-    return upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("all").agg((F.min("s") / 3600).alias("hours")).withColumnRenamed("all", "merged")
+    rows = pull_requests.filter(F.col("merged") & ~E.is_bot(F.col("author_login")) & F.col("merged_at").isNotNull()).select(seconds.alias("s"), F.floor(seconds / 86400).alias("day"))
+    days = rows.groupBy("day").agg(F.count("*").alias("n"))
+    upto = days.withColumn("upto", F.sum("n").over(W.orderBy("day"))).crossJoin(F.broadcast(days.agg(F.sum("n").alias("all"))))  # a row for each day of length
+    day = upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("all").agg(F.min(F.struct("day", (F.col("upto") - F.col("n")).alias("before"))).alias("x")).select("all", "x.*")
+    inside = rows.join(F.broadcast(day), "day").groupBy("all", "before", "s").agg(F.count("*").alias("n"))  # at most the seconds of a day
+    place = F.col("before") + F.sum("n").over(W.orderBy("s"))
+    return inside.withColumn("upto", place).filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("all").agg((F.min("s") / 3600).alias("hours")).withColumnRenamed("all", "merged")
 
 
 def history_span(commits: DataFrame) -> DataFrame:

@@ -702,6 +702,39 @@ def c3_resolve_calls(r):
     return graph_build.resolve_calls(c, f, imports, origins)
 
 
+# sources
+@query("select sha::varchar as sha, cast(cast(ts as date) as varchar) as date, author_name, coalesce(case when sha % 2 = 0 then sha || '+' || author_login || '@users.noreply.github.com' end, 'dev@example.com') as author_email, case when sha % 2 = 0 then author_login end as author_login, repeat('m', least(200, sha % 300)::int) as message from commits")
+def src1_git_log(r):
+    return history.parse_git_log(r["git_log"])
+
+
+@query("select path, ext, count(*) over () > 5000 as truncated from source_tree where part % 6 = 5 and part % 12 <> 5 order by path limit 5000")
+def src5_source_walk(r):
+    return graph_build.analyzable(r["source_tree"].select("path", "ext", "content"), ("js", "py")).select("path", "ext", "truncated")
+
+
+@query(
+    "with m as (select path, part from manifests) select 'cargo' as ecosystem, 'a' || part as name, '1.2' as declared, path as source_path, 'runtime' as scope from m where part % 4 = 0 union all select 'cargo', n, d, path, s from m, (values ('real', '=3.0', 'runtime'), ('d', '2', 'dev'), ('w', '4', 'runtime')) v(n, d, s) where part % 4 = 0 "
+    "union all select 'pypi', 'foo-bar', '>= 1.' || part, path, 'runtime' from m where part % 4 = 1 union all select 'pypi', n, d, path, s from m, (values ('plain', '*', 'runtime'), ('pytest', '>=7', 'dev'), ('p1', '^2.0', 'runtime'), ('p2', '1.0', 'dev'), ('f1', '==2', 'runtime')) v(n, d, s) where part % 4 = 1 "
+    "union all select 'npm', 'n' || part, '^1.0.0', path, 'runtime' from m where part % 4 = 2 union all select 'npm', n, d, path, s from m, (values ('peer', '2.x', 'runtime'), ('dev', '3.0.0', 'dev')) v(n, d, s) where part % 4 = 2 "
+    "union all select 'pypi', 'r' || part, '==1.0', path, 'runtime' from m where part % 4 = 3 union all select 'pypi', 'q-q', '>=2', path, 'runtime' from m where part % 4 = 3"
+)
+def src7_manifests(r):
+    m = r["manifests"].select("path", "content")
+    of = lambda name: m.filter(F.col("path").endswith("/" + name))
+    return deps.cargo_manifest(of("Cargo.toml")).unionByName(deps.pyproject_manifest(of("pyproject.toml"))).unionByName(deps.npm_manifest(of("package.json"))).unionByName(deps.requirements_manifest(of("requirements.txt")))
+
+
+@query("select path as workflow, unnest(['actions/checkout@v4', 'acme/t' || part || '@main']) as uses from workflow_files")
+def src9_workflow_uses(r):
+    return deps.workflow_manifest(r["workflow_files"].select("path", "content"))
+
+
+@query("select t.path as file, unnest(['./m' || t.part, 'lib/' || p_brand]) as target, 'import' as kind from source_tree t join part on p_partkey = t.part where ext = 'js'")
+def c10_regex_imports(r):
+    return graph_build.regex_imports(r["source_tree"].select("path", "ext", "content"))
+
+
 # from source text to the graph; the SQL tells the outcome from the numbers that the sources are made of
 PY = "p as (select path as file, 'f' || m as name, k, m, case when k % 7 = 0 then 1 else 0 end as shift, 'pkg' || (k % 20) || '/m' || (m + 1) || '.py' as next from python_files), n as (select p.*, next in (select path from python_files) as more from p)"
 

@@ -95,6 +95,25 @@ RELATIONS: dict[str, str] = {
                       case k % 5 when 0 then '    os.system(q)' when 1 then '    return eval(request.args)' when 2 then '    open(other)' when 3 then concat('    password = "hunter', cast(k as string), '"') else '    return int(q)' end, chr(10),
                       case when k % 11 = 0 then concat('path("u', cast(k as string), '", f', cast(m as string), ')', chr(10)) else '' end) as content, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x""",
+    "manifests": """
+        select concat('p', cast(p_partkey as string), case p_partkey % 4 when 0 then '/Cargo.toml' when 1 then '/pyproject.toml' when 2 then '/package.json' else '/requirements.txt' end) as path,
+               case p_partkey % 4
+                   when 0 then concat('[dependencies]', chr(10), 'a', cast(p_partkey as string), ' = "1.2"', chr(10), 'b = ', chr(123), ' version = "=3.0", package = "real" ', chr(125), '', chr(10), 'c = ', chr(123), ' git = "x" ', chr(125), '', chr(10), '[dev-dependencies]', chr(10), 'd = "2"', chr(10), '[workspace.dependencies]', chr(10), 'w = ', chr(123), ' version = "4" ', chr(125), '', chr(10))
+                   when 1 then concat('[project]', chr(10), 'dependencies = ["Foo_Bar[x] >= 1.', cast(p_partkey as string), '; python_version > 3", "plain"]', chr(10), '[project.optional-dependencies]', chr(10), 'test = ["pytest>=7"]', chr(10), '[tool.poetry.dependencies]', chr(10), 'python = "^3.9"', chr(10), 'p1 = "^2.0"', chr(10), '[tool.poetry.group.dev.dependencies]', chr(10), 'p2 = ', chr(123), ' version = "1.0" ', chr(125), '', chr(10), '[tool.flit.metadata]', chr(10), 'requires = ["f1 ==2"]', chr(10))
+                   when 2 then concat(chr(123), '"dependencies": ', chr(123), '"n', cast(p_partkey as string), '": "^1.0.0"', chr(125), ', "peerDependencies": ', chr(123), '"peer": "2.x"', chr(125), ', "devDependencies": ', chr(123), '"dev": "3.0.0"', chr(125), '', chr(125))
+                   else concat('# pins', chr(10), 'r', cast(p_partkey as string), '==1.0  # why', chr(10), 'Q_q[extra]>=2 ; x', chr(10), chr(10), '-r other.txt', chr(10)) end as content, p_partkey as part
+        from part""",
+    "git_log": """
+        select concat(cast(sha as string), chr(31), cast(cast(ts as date) as string), chr(31), author_name, chr(31), coalesce(case when sha % 2 = 0 then concat(cast(sha as string), '+', author_login, '@users.noreply.github.com') end, 'dev@example.com'), chr(31), repeat('m', cast(sha % 300 as int))) as value
+        from commits""",
+    "source_tree": """
+        select concat(case p_partkey % 6 when 0 then 'node_modules/' when 1 then 'src/vendor/' when 2 then '.git/' else 'src/' end, 'p', cast(p_partkey as string), case p_partkey % 6 when 3 then '.min.js' when 4 then '.txt' else '.js' end) as path,
+               case p_partkey % 6 when 4 then 'txt' else 'js' end as ext,
+               concat('import a from "./m', cast(p_partkey as string), '";', chr(10), 'const b = require(', chr(39), 'lib/', p_brand, chr(39), ');', chr(10), case when p_partkey % 12 = 5 then repeat('x', 60000) else 'b(a)' end) as content, p_partkey as part
+        from part""",
+    "workflow_files": """
+        select concat('.github/workflows/f', cast(p_partkey as string), '.yml') as path, concat('jobs:', chr(10), '  build:', chr(10), '    steps:', chr(10), '      - uses: actions/checkout@v4', chr(10), '      - name: x', chr(10), '        uses: "acme/t', cast(p_partkey as string), '@main" # note', chr(10)) as content, p_partkey as part
+        from part""",
     "test_cases": """
         select concat('tests/t', cast(conv_id % 40 as string), '.test.ts') as file, concat('case ', cast(conv_id as string), ' ', cast(turn as string)) as name, cast(turn as int) as line,
                cast(case when role = 'assistant' then length(text) % 4 else length(text) % 2 end as int) as assertions, (role <> 'user' and length(text) % 3 > 0) as has_meaningful_oracle
