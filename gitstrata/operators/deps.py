@@ -209,16 +209,43 @@ def workflow_manifest(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("workflow"), F.explode(F.split("content", "\n")).alias("l")).select("workflow", line.alias("uses")).filter("uses <> ''")
 
 
-# Manifests of ecosystems that aren't read.
-UNREAD = (("maven", r"(^|/)pom\.xml$"), ("gradle", r"(^|/)build\.gradle(\.kts)?$"), ("go", r"(^|/)go\.mod$"), ("ruby", r"(^|/)Gemfile$"), ("php", r"(^|/)composer\.json$"), ("nuget", r"\.csproj$|(^|/)packages\.config$"), ("swift", r"(^|/)Package\.swift$"))
+# Manifests of ecosystems that aren't read, by pattern; languages whose sinks have rules; the page of pull requests.
+UNREAD = (
+    ("Go modules", r"(?:^|/)go\.(mod|sum)$"), ("Maven", r"(?:^|/)pom\.xml$"), ("Gradle", r"(?:^|/)build\.gradle(\.kts)?$"), ("RubyGems", r"(?:^|/)Gemfile$"),
+    ("RubyGems", r"(?:^|/)[\w.-]+\.gemspec$"), ("NuGet", r"(?:^|/)[\w.-]+\.csproj$"), ("Composer", r"(?:^|/)composer\.json$"), ("pub", r"(?:^|/)pubspec\.yaml$"),
+)
+RULED, PR_PAGE = ("python", "javascript"), 200
 
 
-def coverage_gaps(files: DataFrame) -> DataFrame:
-    """kind, subject, count: ecosystems with manifests that no reader covers, and extensions without a full parser."""
+def unread_manifests(files: DataFrame) -> DataFrame:
+    """ecosystem, path of manifests that no reader covers."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(UNREAD):
-        kind = F.when(F.col("file").rlike(pattern), name).otherwise(kind)
-    manifests = files.select(kind.alias("subject")).filter("subject is not null").groupBy("subject").agg(F.count("*").alias("count")).select(F.lit("unread-manifests").alias("kind"), "subject", "count")
-    ext = E.extension(F.col("file"))
-    partial = files.filter(E.is_code_file(F.col("file")) & (ext != "py")).groupBy(ext.alias("subject")).agg(F.count("*").alias("count")).select(F.lit("approximate-parser").alias("kind"), "subject", "count")
-    return manifests.unionByName(partial)
+        kind = F.when(F.col("path").rlike(pattern), name).otherwise(kind)
+    return files.select(kind.alias("ecosystem"), "path").filter("ecosystem is not null")
+
+
+def coverage_gaps(session: DataFrame, plugins: DataFrame, declared_deps: DataFrame, files: DataFrame, pull_requests: DataFrame) -> DataFrame:
+    """id, surface, kind, subject, n: what an analysis didn't look at. Kind blocking: nothing found there means unchecked;
+    bounding: what was looked at is a part.
+
+    session, one row: skip_reason, truncated, subdir, excluded (number of folders). plugins: plugin, files parsed.
+    files: path. pull_requests: created_at."""
+    text = F.lit(None).cast("string")
+    gap = lambda t, name, surface, kind, subject, n: t.select(F.lit(name).alias("id"), F.lit(surface).alias("surface"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
+    parsed = plugins.agg(F.count("*").alias("_p"), F.coalesce(F.sum("files"), F.lit(0)).alias("_f"))
+    one = session.crossJoin(parsed)  # tables of one row
+    ruled, fallback = F.col("plugin").isin(*RULED), F.col("plugin") == "regex-fallback"
+    bare = plugins.agg(F.array_join(F.sort_array(F.collect_set(F.when(~ruled & ~fallback, F.col("plugin")))), ",").alias("s"), F.sum(F.when(~ruled & ~fallback, F.col("files"))).alias("n"))
+    none = declared_deps.agg(F.count("*").alias("_d"))
+    unread = unread_manifests(files).agg(F.min(F.struct("path", "ecosystem")).alias("x"), F.count("*").alias("n")).crossJoin(none).filter("_d = 0 and n > 0")
+    prs = pull_requests.agg(F.count("*").alias("n"), F.datediff(F.max("created_at"), F.min("created_at")).alias("days")).filter(F.col("n") >= PR_PAGE)
+    return (
+        gap(one.filter("skip_reason is not null"), "code-skipped", "session", "blocking", F.col("skip_reason"), F.lit(None))
+        .unionByName(gap(one.filter("skip_reason is null and _p = 0"), "code-not-parsed", "session", "blocking", text, F.lit(None)))
+        .unionByName(gap(one.filter("truncated is not null"), "walker-truncated", "code", "bounding", F.col("truncated"), F.col("_f")))
+        .unionByName(gap(unread, "deps-no-ecosystem", "packages", "blocking", F.col("x.ecosystem"), F.col("n")))
+        .unionByName(gap(bare.filter("s <> ''"), "security-no-rules", "security", "blocking", F.col("s"), F.col("n")))
+        .unionByName(gap(one.filter("subdir is not null or excluded > 0"), "scope-narrowed", "session", "bounding", F.col("subdir"), F.col("excluded")))
+        .unionByName(gap(prs, "pr-window", "prs", "bounding", F.col("days"), F.col("n")))
+    )

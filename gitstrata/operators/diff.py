@@ -215,3 +215,35 @@ def affected_files(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Files one hop upstream of the changed ones, themselves left out."""
     hit = edges.join(changed.select(F.col("file").alias("dst")), "dst").select(F.col("src").alias("file")).distinct()
     return hit.join(changed.select("file"), "file", "left_anti")
+
+
+#: The required actions that block a change.
+BLOCKING = ("no-guarding-tests", "guarding-tests-will-break", "hollow-tests-added")
+
+
+def required_actions(blast: DataFrame, tests: DataFrame, affected: DataFrame, base: DataFrame, head: DataFrame, base_suite: DataFrame, head_suite: DataFrame) -> DataFrame:
+    """kind, severity, n, blocking: what a change asks for before it goes in.
+
+    blast: the changed files (file, kind, tier, is_test). tests: tests to run (file, test). affected: files that the change
+    breaks. base, head: functions; base_suite, head_suite: test suites with ``smoke`` cases."""
+    prod = blast.filter("not is_test")
+    walls = prod.agg(F.count_if(F.col("tier") == "load-bearing").alias("walls"), F.count_if((F.col("tier") == "load-bearing") & (F.col("kind") == "removed")).alias("gone"))
+    guards = tests.join(prod.select("file"), "file").select(F.col("test").alias("file")).distinct().join(blast.select("file", F.lit(True).alias("_c")), "file", "left").agg(F.count("*").alias("guards"), F.count_if("_c").alias("updated"))
+    total = lambda t, c, name: t.agg(F.coalesce(F.sum(c), F.lit(0)).alias(name))
+    dups = lambda t, name: total(quality.duplicate_groups(t, None), "members", name)
+    one = walls
+    for row in (guards, affected.agg(F.count("*").alias("broken")), total(base_suite, "smoke", "s0"), total(head_suite, "smoke", "s1"), dups(base, "d0"), dups(head, "d1")):
+        one = one.crossJoin(row)  # tables of one row
+    hit, c = F.col("walls") > 0, F.col
+    whole = c("gone") == c("walls")
+    rows = (
+        (hit, "load-bearing-touched", "high", c("broken")), (hit & (c("guards") == 0), "no-guarding-tests", "high", c("walls")), (hit & (c("guards") > 0) & whole, "guarding-tests-will-break", "high", c("guards")),
+        (hit & (c("guards") > 0) & ~whole & (c("updated") < c("guards")), "update-guarding-tests", "high", c("guards") - c("updated")), (c("s1") > c("s0"), "hollow-tests-added", "medium", c("s1") - c("s0")), (c("d1") > c("d0"), "new-duplicate", "low", c("d1") - c("d0")),
+    )
+    every = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("severity"), n.cast("long").alias("n"), F.lit(k in BLOCKING).alias("blocking"), holds.alias("_on")) for holds, k, v, n in rows))
+    return one.select(F.explode(every).alias("x")).select("x.*").filter("_on").drop("_on")
+
+
+def gate(actions: DataFrame) -> DataFrame:
+    """One row: pass, blocking, advisory."""
+    return actions.agg(F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("advisory")).withColumn("pass", F.col("blocking") == 0)

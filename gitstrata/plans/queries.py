@@ -575,6 +575,23 @@ def d12_affected_files(r):
     return diff.affected_files(r["file_edges"], diff.changed_files(r["base_functions"], r["head_functions"]))
 
 
+SUITES_SQL = "b_suite as (select coalesce(sum(smoke), 0) as smoke from weak where file < 'tests/t2'), h_suite as (select coalesce(sum(smoke), 0) as smoke from weak)"
+
+
+@query(
+    f"with {S.SAFETY}, {CHANGED}, {BLASTED}, {WEAK_SQL}, {SUITES_SQL}, prod as (select * from blasted where not is_test), w as (select count(*) filter (where tier = 'load-bearing') as walls, count(*) filter (where tier = 'load-bearing' and kind = 'removed') as gone from prod), "
+    "aff as (select count(*) as broken from (select distinct src from file_edges where dst in (select file from changed) and src not in (select file from changed)) x), "
+    f"du as (select (select coalesce(sum(m), 0) from (select count(*) as m from head_functions where body_hash in ({_dup('head_functions')}) and complexity >= 2 group by body_hash) x) - (select coalesce(sum(m), 0) from (select count(*) as m from base_functions where body_hash in ({_dup('base_functions')}) and complexity >= 2 group by body_hash) x) as d) "
+    "select 'load-bearing-touched' as kind, 'high' as severity, broken as n, false as blocking from w, aff where walls > 0 union all select 'no-guarding-tests', 'high', walls, true from w where walls > 0 "
+    "union all select 'hollow-tests-added', 'medium', (h.smoke - b.smoke)::bigint, true from b_suite b, h_suite h where h.smoke > b.smoke union all select 'new-duplicate', 'low', d::bigint, false from du where d > 0"
+)
+def d12_required_actions(r):
+    suite = quality.weak_suite(r["test_cases"])
+    broken = diff.affected_files(r["file_edges"], diff.changed_files(r["base_functions"], r["head_functions"]))
+    tests = quality.tests_to_run(safety(r), r["file_edges"])  # no test here has a runnable name
+    return diff.required_actions(blasted(r), tests, broken, r["base_functions"], r["head_functions"], suite.filter("file < 'tests/t2'"), suite)
+
+
 @query("select file, name, container, complexity from base_functions where file not in (select file from functions where part % 10 = 3) union all select file, name, container, complexity from head_functions where file in (select file from functions where part % 10 = 3)")
 def d13_incremental_patch(r):
     changed = r["functions"].filter("part % 10 = 3").select("file").distinct()
@@ -907,9 +924,17 @@ def s7_posture(r):
     return deps.posture(deps.workflow_findings(r["workflows"], "acme"))
 
 
-@query("select 'approximate-parser' as kind, regexp_extract(path, '\\.([^./]+)$', 1) as subject, count(*) as count from paths where not regexp_matches(path, '" + E.SIGNAL_TEST_RE + "') and regexp_matches(path, '\\.(ts|go|java)$') group by 2")
+@query(
+    "with f as (select case p_partkey % 4 when 0 then 'Go modules' when 1 then 'Maven' when 2 then 'RubyGems' end as eco, 'svc' || p_partkey || case p_partkey % 4 when 0 then '/go.mod' when 1 then '/pom.xml' when 2 then '/x.gemspec' else '/README.md' end as path from part) "
+    "select 'deps-no-ecosystem' as id, 'packages' as surface, 'blocking' as kind, arg_min(eco, path) as subject, count(*) as n from f where eco is not null union all select 'security-no-rules', 'security', 'blocking', 'go,java', count(*) from paths where regexp_matches(path, '\\.(go|java)$') "
+    "union all select 'walker-truncated', 'code', 'bounding', 'file cap', count(*) from paths where regexp_matches(path, '\\.(py|ts|go|java)$') union all select 'scope-narrowed', 'session', 'bounding', 'src', 2 union all select 'pr-window', 'prs', 'bounding', date_diff('day', min(created_at), max(created_at))::varchar, count(*) from pull_requests"
+)
 def s8_coverage_gaps(r):
-    return deps.coverage_gaps(r["paths"].select(F.col("path").alias("file")))
+    session = r["paths"].sparkSession.range(1).select(F.lit(None).cast("string").alias("skip_reason"), F.lit("file cap").alias("truncated"), F.lit("src").alias("subdir"), F.lit(2).alias("excluded"))
+    name = F.when(F.col("ext") == "py", "python").when(F.col("ext") == "ts", "javascript").otherwise(F.col("ext"))
+    plugins = r["paths"].select(E.extension(F.col("path")).alias("ext")).filter("ext in ('py', 'ts', 'go', 'java')").groupBy(name.alias("plugin")).agg(F.count("*").alias("files"))
+    files = r["part"].select(F.expr("concat('svc', cast(p_partkey as string), case p_partkey % 4 when 0 then '/go.mod' when 1 then '/pom.xml' when 2 then '/x.gemspec' else '/README.md' end) path"))
+    return deps.coverage_gaps(session, plugins, r["declared_deps"].limit(0), files, r["pull_requests"])
 
 
 # scans
