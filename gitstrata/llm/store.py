@@ -1,60 +1,5 @@
-"""Intermediate tables in the folder that the cluster's machines share."""
+"""Intermediate tables of this subpackage; see ``gitstrata.shared``."""
 
-from __future__ import annotations
+from gitstrata.shared import delete, drop, new_path, shared_dir, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_mine: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (local tests) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            return jsc.getCheckpointDir().get()
-        base = tempfile.mkdtemp(prefix="gitstrata-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    if app not in _mine:
-        _mine[app] = f"{shared_dir(spark).rstrip('/')}/gitstrata-{app}"
-        atexit.register(_sweep, spark, app)
-    return f"{_mine[app]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there, and the
-    size of what was written is known to the planner."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made, once nothing reads them any more."""
-    for t in tables:
-        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            delete(t.sparkSession, path)
-
-
-def _sweep(spark: SparkSession, app: str) -> None:
-    try:
-        delete(spark, _mine[app])
-    except Exception:  # the session has ended; the folder is the cluster's to clean
-        pass
+__all__ = ["delete", "drop", "new_path", "shared_dir", "written"]
