@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gitstrata.llm import chat, decontamination, html_text, licenses, line_dedup, minhash, mixing, pii, quality, toxicity
+from gitstrata.llm import chat, decontamination, html_text, licenses, line_dedup, minhash, mixing, neighbours, periodic, pii, quality, repair, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,10 +192,35 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    top = runs.withColumn("_top", periodic.strongest(F.col("runs")))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_top.start", "_top.length", "_top.period", F.floor(1000 * F.col("_top.length") / F.col("_top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which no row is left after the damage have zeros and the hash of nothing."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, left = repair.repair(repair.damaged(given))
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_c")
+    out = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().withColumn("_c", key)
+    out = out.join(report.withColumn("_c", key).drop("conv_id"), "_c", "left").join(repair.digests(left).select(key, "repaired_sha256"), "_c", "left").drop("_c")
+    return out.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontamination, op3_quality_rules, op4_source_mix, op5_license_scan, op6_html_text, op7_pii, op8_toxicity, op9_chat_format, op10_minhash,
+        op11_periodic_runs, op12_nearest_neighbours, op13_conversation_repair,
     )
 }
 SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_chat_format": OP9_SQL}
