@@ -13,6 +13,7 @@ TEST_SUFFIXES = (
     ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".test.mjs", ".test.cjs", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx",
     "_test.go", "_test.py", "_spec.py", "_test.rb", "_spec.rb", "test.java", "tests.java", "test.kt", "tests.kt", "test.cs", "tests.cs", "test.php", "tests.php",
 )
+TEST_TREE_RE = r"(^|/)(tests?|__tests__|testdata|fixtures?)(/|$)"
 SKIP_DIRS = ("node_modules", "vendor", "dist", "build", "target", ".git", ".next", ".nuxt", ".svelte-kit", ".output", ".cache", "out", "coverage", ".venv", "venv", "__pycache__", ".idea", ".vscode")
 METADATA_NAMES = (
     "readme.md", "readme", "changelog.md", "changelog", "license", "license.md", "license.txt", "contributing.md", "code_of_conduct.md", "security.md",
@@ -84,6 +85,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def module_of(path: Column) -> Column:
+    """The file's name without extension."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def in_test_dir(path: Column) -> Column:
+    """Whether a folder on the way says test; the file's own name doesn't count."""
+    return path.rlike(TEST_TREE_RE)
+
+
 def importable_name(path: Column) -> Column:
     """The file's name without extension; of an ``__init__`` file its directory's name."""
     stem = F.regexp_replace(basename(path), r"\.[^.]*$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gitstrata import shared
 from gitstrata.functions import exprs as E
-from gitstrata.operators import sinks
+from gitstrata.operators import routes, sinks
 from gitstrata.sources import python_source
 
 
@@ -77,35 +77,24 @@ def resolve_calls(p_calls: DataFrame, functions: DataFrame, imports: DataFrame,
     return out.withColumn("to_file", F.col("t.t_file")).withColumn("to_fn", F.when(F.col("t").isNotNull(), F.col("callee_name"))).withColumn("to_container", F.col("t.t_container")).drop("t")
 
 
-def route_handlers(routes: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """file, name, route of functions that a routing table names: the only candidate by imported file, else by
-    directory; of several routes the smallest string. routes: file, route, target_name."""
-    f = functions.select(F.col("name").alias("target_name"), F.col("file").alias("t_file")).distinct()
-    c = routes.join(f, "target_name").join(imports.select(F.col("from_file").alias("file"), F.col("to_file").alias("t_file"), F.lit(1).alias("_i")).distinct(), ["file", "t_file"], "left")
-    tier = F.when(F.col("_i") == 1, 1).when(E.module_path(F.col("t_file")) == E.module_path(F.col("file")), 2)
-    c = c.withColumn("tier", tier).filter("tier is not null").groupBy("file", "route", "target_name", "tier").agg(F.count("*").alias("n"), F.min("t_file").alias("t_file"))
-    best = c.groupBy("file", "route", "target_name").agg(F.min_by(F.struct("n", "t_file"), "tier").alias("x")).filter("x.n = 1")
-    return best.groupBy(F.col("x.t_file").alias("file"), F.col("target_name").alias("name")).agg(F.min("route").alias("route"))
-
-
-def declared_routes(parsed: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """file, name, route of handlers: those that their decorators declare, then those of routing tables; of several the smallest route."""
-    own = parsed.filter("kind = 'route' and form = 'decorator'").groupBy("file", "name").agg(F.min("target").alias("route"))
-    table = parsed.filter("kind = 'route' and form = 'table'").select("file", F.col("target").alias("route"), F.col("name").alias("target_name"))
-    return own.unionByName(route_handlers(table, functions, imports).join(own, ["file", "name"], "left_anti"))
-
-
 def build_graph(files: DataFrame) -> dict[str, DataFrame]:
     """files: path, content of Python sources. The graph's relations: parsed (facts), functions, imports, calls (resolved where
     they can be), arguments, routes, sinks."""
-    parsed = shared.written(python_source.parse(files), "parsed")
+    return linked(shared.written(python_source.parse(files), "parsed"), files.select("path"))
+
+
+def linked(parsed: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
+    """The graph of parse relations, as ``build_graph`` gives it; paths: the files that imports may name."""
     functions = python_source.functions_of(parsed)
-    found = shared.written(python_source.resolved_imports(parsed, files.select("path")), "imports")
-    imports = import_edges(found)
-    calls = shared.written(resolve_calls(python_source.calls_of(parsed), functions, imports.select("from_file", "to_file").distinct(), reexports(found)), "calls")
+    found = shared.written(python_source.resolved_imports(parsed, paths), "imports")
+    imports, bound = import_edges(found), reexports(found)
+    calls = shared.written(resolve_calls(python_source.calls_of(parsed), functions, imports.select("from_file", "to_file").distinct(), bound), "calls")
+    declared = shared.written(routes.declared_routes(parsed, functions, bound), "routes")
+    entry = declared.select("file", "start_row", F.lit(True).alias("_e")).distinct()
+    functions = functions.drop("entry_point").join(entry, ["file", "start_row"], "left").withColumn("entry_point", F.col("_e").isNotNull()).drop("_e")
     return {
         "parsed": parsed, "functions": functions, "imports": imports, "calls": calls, "arguments": python_source.arguments_of(parsed, calls),
-        "routes": declared_routes(parsed, functions, imports), "sinks": sinks.python_sinks(parsed),
+        "routes": declared, "sinks": sinks.python_sinks(parsed),
     }
 
 

@@ -760,7 +760,7 @@ def graph(r) -> dict[str, DataFrame]:
     return graph_build.build_graph(r["python_files"].select("path", "content"))
 
 
-@query(f"with {PY} select file, name, 3 + shift as start_row, 3 as complexity, 'q,other' as params, shift = 1 as entry_point from n")
+@query(f"with {PY} select file, name, 3 + shift as start_row, 3 as complexity, 'q,other' as params, shift = 1 or k % 11 = 0 as entry_point from n")
 def c1_graph_functions(r):
     return graph(r)["functions"].select("file", "name", "start_row", "complexity", F.array_join("params", ",").alias("params"), "entry_point")
 
@@ -775,7 +775,7 @@ def c1_graph_calls(r):
     return graph(r)["calls"].filter("to_file is not null").select(F.col("file").alias("from_file"), F.col("in_fn").alias("from_fn"), "to_file", "to_fn")
 
 
-@query(f"with {PY} select count(*) as scanned, 0::bigint as errors, count(*) as functions, 2 * count(*) as imports, count(*) filter (where more) as resolved_imports, count(*) + count(*) filter (where k % 5 <> 3) + count(*) filter (where k % 7 = 0) + count(*) filter (where k % 11 = 0) as calls, count(*) filter (where more) as resolved_calls from n")
+@query(f"with {PY} select count(*) as scanned, 0::bigint as errors, count(*) as functions, 2 * count(*) + count(*) filter (where k % 11 = 0) as imports, count(*) filter (where more) as resolved_imports, count(*) + count(*) filter (where k % 5 <> 3) + count(*) filter (where k % 7 = 0) + count(*) filter (where k % 11 = 0) as calls, count(*) filter (where more) as resolved_calls from n")
 def c9_analysis_totals(r):
     g = graph(r)
     return graph_build.analysis_totals(r["python_files"].select("path"), g)
@@ -783,7 +783,26 @@ def c9_analysis_totals(r):
 
 @query(f"with {PY} select file, name, case when k % 7 = 0 then '/r' || k else 'u' || k end as route from n where k % 7 = 0 or k % 11 = 0")
 def c5_routes(r):
-    return graph(r)["routes"]
+    return graph(r)["routes"].select("file", "name", "route")
+
+
+@query(
+    "with k as (select distinct k, 1 + floor(k / 8)::int % 10 as j from web_files) select 'app' || k || '/views.py' as file, 'get' as name, 'Show' || k as container, 'a' || k as route, 'path()' as via from k where k % 8 = 0 "
+    "union all select 'app' || k || '/views.py', 'shared', null, 'b' || k, 'path()' from k where k % 8 = 1 union all select 'app' || k || '/handlers.py', 'shared', null, 'd' || k, 'path()' from k where k % 8 = 3 "
+    "union all select 'src/deep' || k || '/views.py', 'shared', null, 'g' || k, 'path()' from k where k % 8 = 6 union all select 'app' || k || '/views.py', 'shared', null, '/h' || k, '@app.get' from k where k % 8 = 7 "
+    "union all select case when j % 2 = 0 then 'core/base' else 'core/root' end || j || '.py', case when j % 2 = 0 then m else 'retrieve' end, case when j % 2 = 0 then 'Base' else 'Root' end || j, min('c' || k), 'router.register()' "
+    "from k, (values ('list'), ('create')) v(m) where k % 8 = 2 group by all"
+)
+def c5_class_routes(r):
+    g = graph_build.build_graph(r["web_files"].select("path", "content"))
+    return g["routes"].select("file", "name", "container", "route", "via")
+
+
+@query("select 'app' || k || '/urls.py' as from_file, 'src/deep' || k || '/views.py' as to_file from (select distinct k from web_files) where k % 8 = 6")
+def c2_suffix_imports(r):
+    """Imports that only the ending of a path resolves, in a tree whose sources lie below src."""
+    g = graph_build.build_graph(r["web_files"].select("path", "content"))
+    return g["imports"].filter(F.col("to_file").startswith("src/")).select("from_file", "to_file")
 
 
 @query(
@@ -795,9 +814,9 @@ def x3_python_sinks(r):
 
 
 @query(
-    f"with {PY}, h as (select unnest(range(6)) as h), q as (select n.*, h, e.name as entry from n join h on true join n e on e.k = n.k - 20 * h where e.k % 7 = 0), b as (select k, min(h) as h, arg_min(entry, h) as entry from q group by k) "
+    f"with {PY}, h as (select unnest(range(6)) as h), q as (select n.*, h, e.name as entry from n join h on true join n e on e.k = n.k - 20 * h where e.k % 7 = 0 or e.k % 11 = 0), b as (select k, min(h) as h, arg_min(entry, h) as entry from q group by k) "
     "select file, name as in_fn, 'q' as param, 'py-os-command' as rule, (7 + shift)::int as line, (h + 1)::int as hops, entry || ' (q)' as source from n join b using (k) where k % 5 = 0 "
-    "union all select file, name, 'other', 'py-path-traversal', (7 + shift)::int, 1, name || ' (other)' from n where k % 5 = 2 and k % 7 = 0"
+    "union all select file, name, 'other', 'py-path-traversal', (7 + shift)::int, 1, name || ' (other)' from n where k % 5 = 2 and (k % 7 = 0 or k % 11 = 0)"
 )
 def x2_source_taint(r):
     g = graph(r)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
 
 #: Nodes that add a path through a function; an ``and`` or ``or`` adds one for each operand but the first.
@@ -24,8 +25,16 @@ BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfE
 #: What makes an expression's value come from outside, and what makes it harmless.
 REQUEST = re.compile(r"(^|\.)request\.[A-Za-z_]")
 SERVER_SET = re.compile(r"(^|\.)request\.(user|auth|session|id|site|resolver_match|csrf_token|_messages|current_app|urlconf)\b")
-CLEAN_CALLS = frozenset(("int", "float", "len", "bool", "isinstance", "escape"))
-ROUTE_METHODS = frozenset(("route", "get", "post", "put", "patch", "delete", "websocket", "api_route"))
+CLEAN_CALLS = frozenset(("int", "float", "bool", "len", "escape", "conditional_escape", "escapejs", "quote", "quote_plus", "urlencode", "UUID", "secure_filename"))
+OUTSIDE_CALLS = frozenset(("input", "raw_input"))
+OUTSIDE_NAMES = frozenset(("sys.argv", "sys.stdin", "os.environ"))
+#: Decorators that declare a route, with and without a verb; functions of routing tables, and which imports make a file one.
+VERBS = frozenset(("get", "post", "put", "delete", "patch", "head", "options"))
+ROUTE_DECORATORS = frozenset(("route", "api_route", "websocket"))
+TABLE_CALLS = frozenset(("path", "re_path", "url"))
+TABLE_IMPORT = re.compile(r"django\.(urls|conf\.urls)\b")
+#: What a class is derived from without being a kind of it.
+MARKERS = frozenset(("ABC", "ABCMeta", "Protocol"))
 
 SCHEMA = (
     "file string, kind string, name string, container string, row int, end_row int, complexity int, target string, has_receiver boolean, "
@@ -42,7 +51,14 @@ def fact(path: str, kind: str, node: ast.AST | None = None, **cells) -> dict:
 
 
 def complexity(function: ast.AST) -> int:
-    return 1 + sum(isinstance(x, BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(function))
+    """1 and the branches of the function itself; those of a function inside it are that one's."""
+    n, todo = 1, list(ast.iter_child_nodes(function))
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, FUNCTION):
+            n += isinstance(x, BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0)
+            todo += ast.iter_child_nodes(x)
+    return n
 
 
 def body_hash(function: ast.AST) -> str:
@@ -62,6 +78,37 @@ def dotted(node: ast.AST | None, aliases: dict[str, str]) -> str | None:
     return ".".join([aliases.get(node.id, node.id), *reversed(parts)])
 
 
+def last_name(node: ast.AST | None) -> str | None:
+    """``c`` of ``a.b.c`` or ``c``."""
+    return node.attr if isinstance(node, ast.Attribute) else getattr(node, "id", None)
+
+
+def named_target(node: ast.AST | None) -> tuple[str | None, str, bool] | None:
+    """(module, name, is class) of what a routing table names: ``view``, ``module.view`` or either with ``.as_view()``."""
+    is_class = isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "as_view"
+    node = node.func.value if is_class else node
+    if isinstance(node, ast.Name):
+        return None, node.id, is_class
+    if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
+        return node.value.id, node.attr, is_class
+    return None
+
+
+def table_route(call: ast.Call, is_table: bool) -> tuple[str, str | None, str, bool, str] | None:
+    """(route, module, name, is class, via) of a row of a routing table or a router's registration of a view set."""
+    callee = last_name(call.func)
+    if len(call.args) < 2 or not (isinstance(call.args[0], ast.Constant) and isinstance(call.args[0].value, str)):
+        return None
+    target = named_target(call.args[1])
+    if target is None:
+        return None
+    if is_table and callee in TABLE_CALLS:
+        return call.args[0].value, *target, f"{callee}()"
+    if callee == "register" and isinstance(call.func, ast.Attribute) and not target[2] and target[1].endswith("ViewSet"):
+        return call.args[0].value, target[0], target[1], True, "router.register()"
+    return None
+
+
 class Scope:
     """What a function's names stand for, by its assignments in order: origins, assembled strings, types."""
 
@@ -96,13 +143,12 @@ class Scope:
                 text = ast.unparse(x)
                 if REQUEST.search(text) and not SERVER_SET.search(text):
                     return "source", text.split("(")[0]
-                if dotted(x, self.aliases) in ("sys.argv", "os.environ"):
+                if dotted(x, self.aliases) in OUTSIDE_NAMES:
                     return "source", dotted(x, self.aliases)
             if isinstance(x, ast.Call):
-                name = x.func.id if isinstance(x.func, ast.Name) else None
-                if name == "input":
-                    return "source", "input"
-                if name in CLEAN_CALLS:
+                if isinstance(x.func, ast.Name) and x.func.id in OUTSIDE_CALLS:
+                    return "source", x.func.id
+                if last_name(x.func) in CLEAN_CALLS:
                     continue
             if not isinstance(x, (ast.Lambda, *FUNCTION)):
                 todo[:0] = [c for c in ast.iter_child_nodes(x) if isinstance(c, (ast.expr, ast.keyword))]
@@ -167,7 +213,8 @@ def _facts(path: str, tree: ast.Module) -> Iterator[dict]:
             for a in x.names:
                 full = a.name if isinstance(x, ast.Import) else f"{base}.{a.name}".lstrip(".") if base.strip(".") else a.name
                 aliases[a.asname or a.name.split(".")[0]] = full if a.asname or isinstance(x, ast.ImportFrom) else a.name.split(".")[0]
-                yield fact(path, "import", x, name=a.name if isinstance(x, ast.ImportFrom) else None, target=base if isinstance(x, ast.ImportFrom) else a.name, complexity=0, seq=x.lineno)
+                yield fact(path, "import", x, name=a.name if isinstance(x, ast.ImportFrom) else None, target=base if isinstance(x, ast.ImportFrom) else a.name, complexity=0, seq=x.lineno, literal=a.asname or a.name if isinstance(x, ast.ImportFrom) else None)
+    is_table = any(isinstance(x, ast.Import) and any(TABLE_IMPORT.match(a.name) for a in x.names) or isinstance(x, ast.ImportFrom) and not x.level and TABLE_IMPORT.match(x.module or "") for x in ast.walk(tree))
     seq, outer = 0, Scope(tree, aliases)
     todo: list[tuple[ast.AST, str | None, str | None, Scope]] = [(tree, None, None, outer)]
     while todo:
@@ -178,19 +225,19 @@ def _facts(path: str, tree: ast.Module) -> Iterator[dict]:
                 args = child.args
                 yield fact(path, "function", child, name=child.name, container=container, complexity=complexity(child), body_hash=body_hash(child), items=[a.arg for a in (*args.posonlyargs, *args.args, *args.kwonlyargs) if a.arg not in ("self", "cls")])
                 for d in child.decorator_list:
-                    if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in ROUTE_METHODS and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
-                        yield fact(path, "route", child, name=child.name, container=container, target=d.args[0].value, form="decorator", items=[] if d.func.attr in ("route", "api_route") else [d.func.attr.upper()])
+                    verb = d.func.attr if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) else None
+                    if verb in VERBS | ROUTE_DECORATORS and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str) and d.args[0].value.startswith("/"):
+                        yield fact(path, "route", child, name=child.name, container=container, target=d.args[0].value, form="decorator", items=[verb.upper()] if verb in VERBS else [], literal="@" + ast.unparse(d.func))
                 f, s = child.name, Scope(child, aliases)
             elif isinstance(child, ast.ClassDef):
                 fields = [t.id for x in child.body if isinstance(x, (ast.Assign, ast.AnnAssign)) for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Name)]
-                yield fact(path, "class", child, name=child.name, complexity=0, items=[b for b in (dotted(x, {}) for x in child.bases) if b], literal=",".join(fields))
+                yield fact(path, "class", child, name=child.name, complexity=0, items=[b for b in (last_name(x) for x in child.bases) if b and b not in MARKERS], literal=",".join(fields))
                 c = child.name
             elif isinstance(child, ast.Call):
                 seq += 1
                 yield from call_facts(path, child, scope, inside, container, seq)
-                callee = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", None)
-                if callee in ("path", "re_path", "url") and len(child.args) > 1 and isinstance(child.args[0], ast.Constant) and isinstance(child.args[0].value, str) and dotted(child.args[1], {}):
-                    yield fact(path, "route", child, name=dotted(child.args[1], {}).rsplit(".", 1)[-1], target=child.args[0].value, receiver=dotted(child.args[1], aliases), form="table", items=[])
+                if (route := table_route(child, is_table)) is not None:
+                    yield fact(path, "route", child, name=route[2], target=route[0], receiver=route[1], has_receiver=route[3], form="table", items=[], literal=route[4], seq=seq)
             elif isinstance(child, (ast.Assign, ast.AnnAssign)) and child.value is not None:
                 for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
                     name = t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else t.slice.value if isinstance(t, ast.Subscript) and isinstance(t.slice, ast.Constant) else None
@@ -213,29 +260,52 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def functions_of(parsed: DataFrame) -> DataFrame:
-    """file, name, container, start_row, end_row, complexity, body_hash, params, fn_seq, entry_point."""
-    routed = parsed.filter("kind = 'route' and form = 'decorator'").select("file", "name", F.col("container").alias("_c"), F.lit(True).alias("_e")).distinct()
+    """file, name, container, start_row, end_row, complexity, body_hash, params, fn_seq, entry_point (whether a decorator declares a route)."""
+    routed = parsed.filter("kind = 'route' and form = 'decorator'").select("file", F.col("row").alias("start_row"), F.lit(True).alias("_e")).distinct()
     f = parsed.filter("kind = 'function'").select(
         "file", "name", "container", F.col("row").alias("start_row"), "end_row", "complexity", "body_hash", F.col("items").alias("params"), F.struct("file", "row").alias("fn_seq"),
     )
-    f = f.join(routed.withColumnsRenamed({"file": "_f", "name": "_n"}), (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_n")) & F.col("container").eqNullSafe(F.col("_c")), "left")
-    return f.withColumn("entry_point", F.col("_e").isNotNull()).drop("_f", "_n", "_c", "_e")
+    return f.join(routed, ["file", "start_row"], "left").withColumn("entry_point", F.col("_e").isNotNull()).drop("_e")
+
+
+def module_paths(specs: DataFrame, paths: DataFrame) -> DataFrame:
+    """specs: file, spec (as an import statement has it, dots in front for relative ones). file, spec, path of those that name a file of ``paths``.
+
+    The module's own file or package counts before all else; without either, files and packages that end in its path, of which
+    one outside test folders goes first, then one under src, then the shallowest, then the smallest path. All endings
+    of all paths are counted and ordered beforehand, so a spec looks up one row."""
+    dots = F.char_length(F.regexp_extract("spec", r"^\.*", 0))
+    folder = F.filter(F.split(E.module_path(F.col("file")), "/"), lambda x: x != "")
+    up = F.slice(folder, F.lit(1), F.greatest(F.lit(0), F.size(folder) - dots + 1))
+    parts = F.filter(F.split(F.regexp_replace("spec", r"^\.+", ""), r"\."), lambda x: x != "")
+    base = F.array_join(F.when(dots > 0, F.concat(up, parts)).otherwise(parts), "/")
+    asked = specs.select("file", "spec").distinct().withColumn("base", base).filter((F.size(folder) >= dots - 1) & (base != ""))
+    names = F.array(F.struct(F.lit(0).alias("k"), F.concat("base", F.lit(".py")).alias("end")), F.struct(F.lit(1).alias("k"), F.concat("base", F.lit("/__init__.py")).alias("end")))
+    each = asked.select("file", "spec", F.explode(names).alias("x")).select("file", "spec", "x.k", "x.end")
+    whole = paths.select(F.col("path").alias("end"), "path").distinct()
+    steps = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"))
+    rank = F.struct(E.in_test_dir(F.col("path")).alias("test"), (~F.col("path").startswith("src/")).alias("elsewhere"), F.size(steps).alias("depth"), "path")
+    nested = paths.filter(F.col("path").endswith(".py")).select("path").distinct().filter(F.size(steps) > 1)
+    nested = nested.select(rank.alias("rank"), F.explode(ends).alias("end")).groupBy("end").agg(F.min("rank").alias("rank"))
+    found = each.join(whole, "end").select("file", "spec", F.struct(F.lit(False).alias("test"), F.lit(False).alias("elsewhere"), (F.col("k") - 2).alias("depth"), "path").alias("rank"))
+    found = found.unionByName(each.join(nested, "end").select("file", "spec", "rank"))
+    return found.groupBy("file", "spec").agg(F.min("rank").alias("rank")).select("file", "spec", "rank.path")
 
 
 def resolved_imports(parsed: DataFrame, paths: DataFrame) -> DataFrame:
-    """file, resolved_path, kind, symbols, seq of import statements whose module is a file of ``paths`` (column path):
-    relative ones from their folder upwards, absolute ones from the root; ``from a import b`` may mean a module b."""
-    i = parsed.filter("kind = 'import'").select("file", "target", F.col("name").alias("symbol"), "seq")
-    dots = F.char_length(F.regexp_extract("target", r"^\.*", 0))
-    folder = F.split(E.module_path(F.col("file")), "/")
-    up = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.lit(0), F.size(folder) - dots + 1)), "/")
-    module = F.replace(F.regexp_replace("target", r"^\.+", ""), F.lit("."), F.lit("/"))
-    start = F.when(dots == 0, module).when(up == "", module).when(module == "", up).otherwise(F.concat(up, F.lit("/"), module))
-    inner = F.when(start == "", F.col("symbol")).otherwise(F.concat(start, F.lit("/"), "symbol"))
-    tries = F.filter(F.array(F.concat(inner, F.lit(".py")), F.concat(inner, F.lit("/__init__.py")), F.concat(start, F.lit(".py")), F.concat(start, F.lit("/__init__.py"))), lambda x: x.isNotNull())
-    each = i.withColumn("_base", start).select("file", "symbol", "seq", F.posexplode(tries).alias("_k", "path"))
-    hit = each.join(paths.select("path").distinct(), "path").groupBy("file", "symbol", "seq").agg(F.min_by("path", "_k").alias("resolved_path"))
-    return hit.groupBy("file", "seq", "resolved_path").agg(F.sort_array(F.collect_set("symbol")).alias("symbols")).withColumn("kind", F.lit("import"))
+    """file, resolved_path, kind, symbols, seq of import statements that name a file of ``paths`` (column path). In ``from a import b
+    as c`` b may be a module of a: then that module is what c stands for, and a is imported as well. symbols are the names bound."""
+    i = parsed.filter("kind = 'import'").select("file", "target", F.col("name").alias("orig"), F.col("literal").alias("bound"), "seq")
+    i = i.withColumn("inner", F.when(F.col("orig").isNotNull(), F.concat("target", F.when(F.col("target").endswith("."), "").otherwise("."), "orig")))
+    specs = i.select("file", F.explode(F.filter(F.array("target", "inner"), lambda x: x.isNotNull())).alias("spec"))
+    known = shared.written(module_paths(specs, paths), "modules")
+    inner = known.select("file", F.col("spec").alias("inner"), F.col("path").alias("sub")).filter("sub <> file")
+    outer = known.select("file", F.col("spec").alias("target"), F.col("path").alias("package"))
+    at = i.join(inner, ["file", "inner"], "left").join(outer, ["file", "target"], "left")
+    subs = at.filter("sub is not null").select("file", "seq", F.col("sub").alias("resolved_path"), F.col("bound").alias("symbol"))
+    rest = at.filter("package is not null").select("file", "seq", F.col("package").alias("resolved_path"), F.when(F.col("sub").isNull(), F.col("bound")).alias("symbol"))
+    return subs.unionByName(rest).groupBy("file", "seq", "resolved_path").agg(F.sort_array(F.collect_set("symbol")).alias("symbols")).withColumn("kind", F.lit("import"))
 
 
 def calls_of(parsed: DataFrame) -> DataFrame:

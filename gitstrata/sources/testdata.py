@@ -90,11 +90,42 @@ RELATIONS: dict[str, str] = {
     # twenty packages, each a chain of modules whose functions have the same names as those of the other packages
     "python_files": """
         select concat('pkg', cast(k % 20 as string), '/m', cast(m as string), '.py') as path,
-               concat('from .m', cast(m + 1 as string), ' import f', cast(m + 1 as string), chr(10), 'import os', chr(10), chr(10), case when k % 7 = 0 then concat('@app.route("/r', cast(k as string), '")', chr(10)) else '' end,
+               concat('from .m', cast(m + 1 as string), ' import f', cast(m + 1 as string), chr(10), 'import os', case when k % 11 = 0 then '; from django.urls import path' else '' end, chr(10), chr(10), case when k % 7 = 0 then concat('@app.route("/r', cast(k as string), '")', chr(10)) else '' end,
                       'def f', cast(m as string), '(q, other):', chr(10), '    if q and other:', chr(10), '        return f', cast(m + 1 as string), '(q)', chr(10),
                       case k % 5 when 0 then '    os.system(q)' when 1 then '    return eval(request.args)' when 2 then '    open(other)' when 3 then concat('    password = "hunter', cast(k as string), '"') else '    return int(q)' end, chr(10),
                       case when k % 11 = 0 then concat('path("u', cast(k as string), '", f', cast(m as string), ')', chr(10)) else '' end) as content, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x""",
+    # an application for each part, with a table of routes; the ways to name a handler take turns, some of them ambiguous
+    "web_files": """
+        select concat('app', cast(k as string), '/urls.py') as path,
+               concat(case when k % 8 = 7 then '' else concat('from django.urls import path', chr(10)) end, case k % 8
+                   when 0 then concat('from . import views', chr(10), 'urlpatterns = [path("a', cast(k as string), '", views.Show', cast(k as string), '.as_view())]')
+                   when 1 then concat('from app', cast(k as string), ' import views as v', chr(10), 'urlpatterns = [path("b', cast(k as string), '", v.shared)]')
+                   when 2 then concat('from .views import Part', cast(k as string), 'ViewSet', chr(10), 'router.register("c', cast(k as string), '", Part', cast(k as string), 'ViewSet)')
+                   when 3 then concat('from .handlers import shared', chr(10), 'urlpatterns = [path("d', cast(k as string), '", shared)]')
+                   when 4 then concat('from . import views', chr(10), 'urlpatterns = [path("e', cast(k as string), '", views.twice)]')
+                   when 5 then concat('from . import views', chr(10), 'router.register("f', cast(k as string), '", views.Odd', cast(k as string), 'ViewSet)')
+                   when 6 then concat('from deep', cast(k as string), '.views import shared', chr(10), 'urlpatterns = [path("g', cast(k as string), '", shared)]')
+                   else 'urlpatterns = [path("h", shared)]' end, chr(10)) as content, k
+        from (select p_partkey as k from part) x
+        union all
+        select concat(case when k % 8 = 6 then 'src/deep' else 'app' end, cast(k as string), '/views.py') as path,
+               concat(case k % 8
+                   when 0 then concat('class Show', cast(k as string), '(View):', chr(10), '    def get(self, request):', chr(10), '        return 1', chr(10), '    def helper(self):', chr(10), '        return 2')
+                   when 2 then concat('from core.base', cast(1 + floor(k / 8) % 10 as int), ' import Base', cast(1 + floor(k / 8) % 10 as int), chr(10), 'class Part', cast(k as string), 'ViewSet(Mixin, core.Base', cast(1 + floor(k / 8) % 10 as int), '):', chr(10), '    pass')
+                   when 4 then concat('def twice(request):', chr(10), '    return 1', chr(10), 'def twice(request):', chr(10), '    return 2')
+                   when 5 then concat('class Odd', cast(k as string), 'ViewSet(Ambiguous):', chr(10), '    pass', chr(10), 'class Ambiguous:', chr(10), '    def list(self, request):', chr(10), '        return 1')
+                   when 7 then concat('@app.get("/h', cast(k as string), '")', chr(10), 'def shared(request):', chr(10), '    return 1')
+                   else concat('def shared(request):', chr(10), '    return 1') end, chr(10)) as content, k
+        from (select p_partkey as k from part) x
+        union all
+        select concat('app', cast(k as string), '/handlers.py') as path, concat('def shared(request):', chr(10), '    return 3', chr(10)) as content, k from (select p_partkey as k from part) x where k % 8 = 3
+        union all
+        select concat('core/', n, cast(k as string), '.py') as path,
+               case when n = 'root' then concat('class Root', cast(k as string), ':', chr(10), '    def retrieve(self, request):', chr(10), '        return 1', chr(10), '    def form_valid(self):', chr(10), '        return 2', chr(10))
+                    when k % 2 = 0 then concat('class Base', cast(k as string), '(Root', cast(k as string), '):', chr(10), '    def list(self, request):', chr(10), '        return 1', chr(10), '    def create(self, request):', chr(10), '        return 2', chr(10))
+                    else concat('class Base', cast(k as string), '(Mixin, Root', cast(k as string), '):', chr(10), '    queryset = 1', chr(10)) end as content, k
+        from (select p_partkey as k, 'base' as n from part where p_partkey between 1 and 10 union all select p_partkey as k, 'root' as n from part where p_partkey between 1 and 10) x""",
     "manifests": """
         select concat('p', cast(p_partkey as string), case p_partkey % 4 when 0 then '/Cargo.toml' when 1 then '/pyproject.toml' when 2 then '/package.json' else '/requirements.txt' end) as path,
                case p_partkey % 4
