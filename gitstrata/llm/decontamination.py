@@ -30,6 +30,8 @@ from gitstrata.llm import store, text as T
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 23
 #: At most so many of the benchmark's shingles (three numbers each) are broadcast at once.
 SMALL_ROWS = 500_000
+#: Windows that are cut from one row at a time.
+TOGETHER = 256
 
 
 def plain_words(text: Column) -> Column:
@@ -134,6 +136,21 @@ def laid_windows(docs: DataFrame, items: DataFrame, threshold: float, small_rows
     return places.groupBy("doc_id", "_x").agg(F.flatten(F.collect_list("wins")).alias("wins"))
 
 
+def stretches(words: Column, wins: Column, each: int = TOGETHER) -> Column:
+    """Structs low, words, wins: ``each`` windows at a time and the words that they span, from place ``low`` on. Windows come
+    by size and start, so the stretches of one size hardly overlap."""
+
+    def one(i: Column) -> Column:
+        def of(x: Column) -> Column:
+            low = F.array_min(F.transform(x, lambda w: w.start))
+            high = F.array_max(F.transform(x, lambda w: w.start + w.n_words))
+            return F.struct(low.alias("low"), F.slice(words, low + 1, high - low).alias("words"), x.alias("wins"))
+
+        return T.let(F.slice(wins, i, each), of)
+
+    return F.transform(F.sequence(F.lit(1), F.size(wins), F.lit(each)), one)
+
+
 def candidates(windows: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     """(doc_id, _x, start, item_id): the windows and items that meet in the index within ``radius``, each pair once.
     windows: doc_id, _x, start, n_words, grams, print."""
@@ -157,8 +174,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     places = store.written(laid_windows(docs, items, threshold, small_rows), "windows")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_y"))
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(T.whole(F.col("text"))).alias("_x"), "text").join(places.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_y"), "wins"), same)
-    cut = lambda ws, win: F.struct(win.start.alias("start"), win.n_words.alias("n_words"), F.sort_array(grams(F.slice(ws, win.start + 1, win.n_words), win.width)).alias("grams"))
-    wins = here.select("doc_id", "_x", F.explode(T.let(plain_words(F.col("text")), lambda ws: F.transform("wins", lambda win: cut(ws, win)))).alias("win")).select("doc_id", "_x", "win.*")
+    cut = lambda ws, low, win: F.struct(win.start.alias("start"), win.n_words.alias("n_words"), F.sort_array(grams(F.slice(ws, win.start - low + 1, win.n_words), win.width)).alias("grams"))
+    few = here.select("doc_id", "_x", F.explode(T.let(plain_words(F.col("text")), lambda ws: stretches(ws, F.col("wins")))).alias("s")).select("doc_id", "_x", "s.*")
+    wins = few.select("doc_id", "_x", F.explode(F.transform("wins", lambda win: cut(F.col("words"), F.col("low"), win))).alias("win")).select("doc_id", "_x", "win.*")
     wins = store.written(wins.withColumn("print", simhash(F.col("grams"))), "prints")
     index = store.written(item_index(items, threshold, radius), "index")
     pairs = store.written(candidates(wins, index, radius), "pairs")
