@@ -31,7 +31,7 @@ WIDTH, THRESHOLD, RADIUS = 5, 0.8, 23
 #: At most so many of the benchmark's shingles (three numbers each) are broadcast at once.
 SMALL_ROWS = 500_000
 #: Windows that are cut from one row at a time.
-TOGETHER = 256
+TOGETHER = 2048
 
 
 def plain_words(text: Column) -> Column:
@@ -114,7 +114,7 @@ def item_index(items: DataFrame, threshold: float, radius: int) -> DataFrame:
 
 
 def laid_windows(docs: DataFrame, items: DataFrame, threshold: float, small_rows: int) -> DataFrame:
-    """(doc_id, _x, wins): for each document with any, its windows as structs start, n_words, width."""
+    """(doc_id, _x, wins): for each document with any, its windows as structs start, n_words, width, an array by start for each size."""
     by_gram = store.written(items.select(F.explode("grams").alias("h"), "n_words", "width").distinct(), "grams")
     slices = max(1, -(-by_gram.count() // small_rows))
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``width`` numbers
@@ -128,27 +128,32 @@ def laid_windows(docs: DataFrame, items: DataFrame, threshold: float, small_rows
             one = each.join(F.broadcast(some), "h").select("doc_id", "_x", "_n", "n_words", "width", "_p")
             laid = one if laid is None else laid.unionByName(one)
     if laid is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, _x bigint, wins array<struct<start:int,n_words:int,width:int>>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, _x bigint, wins array<array<struct<start:int,n_words:int,width:int>>>")
     sizes = laid.groupBy("doc_id", "_x", "_n", "n_words", "width").agg(F.sort_array(F.collect_set("_p")).alias("at"))
     sizes = sizes.withColumn("need", least_shared(F.col("_n"), F.col("n_words"), F.col("width"), threshold)).filter(F.size("at") >= F.col("need"))
     win = F.transform(starts(*(F.col(c) for c in ("at", "_n", "n_words", "width", "need"))), lambda s: F.struct(s.alias("start"), F.col("n_words"), F.col("width")))
     places = sizes.withColumn("wins", win).filter(F.size("wins") > 0)
-    return places.groupBy("doc_id", "_x").agg(F.flatten(F.collect_list("wins")).alias("wins"))
+    return places.groupBy("doc_id", "_x").agg(F.collect_list("wins").alias("wins"))
 
 
-def stretches(words: Column, wins: Column, each: int = TOGETHER) -> Column:
-    """Structs low, words, wins: ``each`` windows at a time and the words that they span, from place ``low`` on. Windows come
-    by size and start, so the stretches of one size hardly overlap."""
+def stretches(words: Column, sizes: Column) -> Column:
+    """sizes: for each size of windows, its windows by start. Structs of TOGETHER windows each: low (the first start), n_words, width,
+    starts and grams, the shingles at all places that the windows cover. Stretches of one size hardly overlap."""
 
-    def one(i: Column) -> Column:
-        def of(x: Column) -> Column:
-            low = F.array_min(F.transform(x, lambda w: w.start))
-            high = F.array_max(F.transform(x, lambda w: w.start + w.n_words))
-            return F.struct(low.alias("low"), F.slice(words, low + 1, high - low).alias("words"), x.alias("wins"))
+    def of(x: Column) -> Column:
+        low, last = F.element_at(x, 1).start, F.element_at(x, -1)
+        covered = F.slice(words, low + 1, last.start + last.n_words - low)
+        return F.struct(low.alias("low"), last.n_words.alias("n_words"), last.width.alias("width"), grams(covered, last.width).alias("grams"), F.transform(x, lambda w: w.start).alias("starts"))
 
-        return T.let(F.slice(wins, i, each), of)
+    each = lambda wins: F.transform(F.sequence(F.lit(1), F.size(wins), F.lit(TOGETHER)), lambda i: T.let(F.slice(wins, i, TOGETHER), of))
+    return F.flatten(F.transform(sizes, each))
 
-    return F.transform(F.sequence(F.lit(1), F.size(wins), F.lit(each)), one)
+
+def distinct_windows() -> Column:
+    """Of a stretch the windows, as structs start and grams (sorted), the first of those that hold the same shingles equally often."""
+    cut = lambda s: F.sort_array(F.slice("grams", s - F.col("low") + 1, F.col("n_words") - F.col("width") + 1))
+    known = F.transform(F.transform("starts", lambda s: F.struct(s.alias("start"), cut(s).alias("grams"))), lambda w: F.struct(F.xxhash64(w.grams).alias("h"), w.start.alias("start"), w.grams.alias("grams")))
+    return T.let(F.sort_array(known), lambda a: F.transform(F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1).h != x.h)), lambda x: F.struct(x.start.alias("start"), x.grams.alias("grams"))))
 
 
 def candidates(windows: DataFrame, index: DataFrame, radius: int) -> DataFrame:
@@ -174,9 +179,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     places = store.written(laid_windows(docs, items, threshold, small_rows), "windows")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_y"))
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(T.whole(F.col("text"))).alias("_x"), "text").join(places.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_y"), "wins"), same)
-    cut = lambda ws, low, win: F.struct(win.start.alias("start"), win.n_words.alias("n_words"), F.sort_array(grams(F.slice(ws, win.start - low + 1, win.n_words), win.width)).alias("grams"))
     few = here.select("doc_id", "_x", F.explode(T.let(plain_words(F.col("text")), lambda ws: stretches(ws, F.col("wins")))).alias("s")).select("doc_id", "_x", "s.*")
-    wins = few.select("doc_id", "_x", F.explode(F.transform("wins", lambda win: cut(F.col("words"), F.col("low"), win))).alias("win")).select("doc_id", "_x", "win.*")
+    wins = few.select("doc_id", "_x", "n_words", F.explode(distinct_windows()).alias("win")).select("doc_id", "_x", "n_words", "win.*")
     wins = store.written(wins.withColumn("print", simhash(F.col("grams"))), "prints")
     index = store.written(item_index(items, threshold, radius), "index")
     pairs = store.written(candidates(wins, index, radius), "pairs")

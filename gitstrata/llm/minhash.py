@@ -41,6 +41,8 @@ cloudpickle.register_pickle_by_value(shingles)
 K = 64
 #: Lists of at most so many members are compared pair by pair at once; for longer ones, see the module's text.
 SHORT = 8
+#: Bits of a set's parity.
+BITS = 512
 
 
 def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -53,21 +55,35 @@ def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                     sums = [(int(shingles.mix(s.view(np.uint64)).sum().view(np.int64)), int(shingles.mix(s.view(np.uint64) ^ np.uint64(0x5555)).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[low:high].to_numpy(), "n": [len(s) for s in sets], "s1": [x[0] for x in sums], "s2": [x[1] for x in sums], "sketch": [s[:k] for s in sets]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, n, s1, members) of the documents in ``ids``."""
+    """(id, members, parity) of the documents in ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
             for low, high in shingles.chunks([len(t or "") for t in texts], 1_000_000):
-                yield pd.DataFrame({"id": b["doc_id"].iloc[low:high].to_numpy(), "members": shingles.shingle_sets(texts[low:high], width)})
+                sets = shingles.shingle_sets(texts[low:high], width)
+                yield pd.DataFrame({"id": b["doc_id"].iloc[low:high].to_numpy(), "members": sets, "parity": [parity(s) for s in sets]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "id bigint, members array<bigint>")
+    return rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "id bigint, members array<bigint>, parity array<bigint>")
+
+
+def parity(members: np.ndarray) -> np.ndarray:
+    """BITS bits: whether the number of members that fall to each is odd. Each member that only one of two sets holds turns
+    one bit, so two sets differ in at least as many members as these differ in bits."""
+    odd = np.bincount(members.view(np.uint64) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _parity_bound(a: str, b: str) -> Column:
+    """The least number of members that only one of the two sets holds."""
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)]
+    return sum(bits[1:], bits[0])
 
 
 def _overlap(n: Column, k: int, threshold: float) -> Column:
@@ -133,14 +149,16 @@ def _star_pairs(lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def _exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of documents (id, members, c) of different components that may be similar enough: a prefix join.
+    """All pairs of documents (id, members, parity, c) of different components that may be similar enough: a prefix join.
 
     In each set, shingles are ordered by how many of the documents hold them. If two sets of sizes n <= m are
     similar enough they share share * (n + m) shingles, so the first of them in the order is among the first
     n - 2 share n + 1 of the smaller set and the first m - threshold * m + 1 of the larger, and from there on both
-    have that many left."""
+    have that many left. Documents that share a very common passage pass that in large numbers; the parities of
+    their sets tell most of them apart, as they can't differ in more members than a pair at the threshold may."""
     share = threshold / (1 + threshold)
     rows = sets.select("id", "c", F.size("members").alias("n"), F.explode("members").alias("h"))
+    parities = sets.select("id", "parity")
     shared = store.written(rows.groupBy("h").agg(F.count("*").alias("freq")).filter("freq > 1"), "shared")
     v = rows.join(shared.hint("shuffle_hash"), "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "h"))).alias("v"))
     first = F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1
@@ -156,10 +174,12 @@ def _exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     larger = store.written(listed.drop("first").join(stats, "h").filter((F.col("n") >= F.col("least")) & (room >= F.col("least"))), "larger")
     mixed = larger.groupBy("h").agg(F.least(F.min("lo"), F.min("c")).alias("lo"), F.greatest(F.max("hi"), F.max("c")).alias("hi")).filter("lo < hi").select("h")
     mixed = store.written(mixed, "mixed")
-    a = store.written(smaller.join(mixed, "h"), "smaller").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    a = store.written(smaller.join(mixed, "h").join(parities, "id"), "smaller").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("parity").alias("parity_x"))
+    larger = store.written(larger.join(mixed, "h", "left_semi").join(parities, "id"), "larger")
     left = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("p"))
     ordered = (F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("id")))
-    pairs = a.join(larger.select("h", "id", "c", "n", "p"), "h").filter(ordered & (F.col("cx") != F.col("c")) & (left >= share * (F.col("nx") + F.col("n")) - 1e-6))
+    alike = _parity_bound("parity_x", "parity") <= (1 - 2 * share) * (F.col("nx") + F.col("n")) + 1e-6
+    pairs = a.join(larger.select("h", "id", "c", "n", "p", "parity"), "h").filter(ordered & (F.col("cx") != F.col("c")) & (left >= share * (F.col("nx") + F.col("n")) - 1e-6) & alike)
     return pairs.select(*_pair("x", "id"))
 
 
@@ -168,11 +188,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = rows.filter("doc_id is not null")
     if ids.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
-        out = _grouped(rows, width, threshold, k)
+        out = _grouped(ids, width, threshold, k)
     else:
         out = _by_row(ids, width, threshold, k)
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    none = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    none = _sketches(rows.filter("doc_id is null"), width, k).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(none)
 
 

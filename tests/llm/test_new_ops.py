@@ -293,3 +293,37 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
     one = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert neighbours.nearest(one, F.col("vec_id") % 20 == 0).count() == 0
+
+
+# near duplicates and leaks in awkward sizes
+def test_minhash_shared_passage(spark):
+    """Hundreds of documents that share a long passage and little else: links as by brute force, from few pairs."""
+    from gitstrata.llm import minhash, store
+    from test_llm import brute_components
+
+    r = random.Random(12)
+    passage = [f"p{k}" for k in range(90)]
+    rows = []
+    for i in range(220):
+        low, own = r.randint(0, 12), r.randint(2, 24)
+        rows.append((i, " ".join([*passage[low : 90 - r.randint(0, 12)], *(f"o{i}_{k}" for k in range(own))])))
+    df = spark.createDataFrame([*rows, (None, "six words make two sets here")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(df).collect()}
+    assert got.pop(None) == (2, None, True)
+    assert got == brute_components(rows, 5) and len({c for _, c, _ in got.values()}) > 20
+    sets = store.written(minhash._sets(df.filter("doc_id is not null"), df.filter("doc_id is not null").select(F.col("doc_id").alias("id")), 5).withColumn("c", F.col("id")))
+    pairs = {(p.a, p.b) for p in minhash._exact_pairs(sets, 0.8).collect()}
+    own = {r.id: set(r.members) for r in sets.collect()}
+    near = {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    assert near <= pairs and len(pairs) < 1.6 * len(near)
+
+
+def test_leak_in_a_very_long_document(spark):
+    """60,000 words that repeat one item: windows at almost every start, cut in stretches."""
+    from gitstrata.llm import decontamination
+
+    item = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(item * 1_000)), (2, " ".join([f"x{k}" for k in range(3_000)] + item[:55] + ["y"] * 5)), (3, " ".join(item[:30]))]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (round(x.similarity, 6), x.start) for x in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got[(1, 7)] == (1.0, 0) and got[(2, 7)][0] >= 0.8 and got[(2, 7)][1] in range(2_990, 3_001) and len(got) == 2
