@@ -9,6 +9,7 @@ from gitstrata.functions import exprs as E
 from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, traverse
 from gitstrata.plans import sqltext as S
 from gitstrata.plans.registry import query
+from gitstrata.sources import js_source
 from gitstrata.streaming import activity
 
 HOTSPOTS_SQL = """select path, count(*) as churn, count(distinct identity) as authors, max(ts) as last_modified, round(count(*) * ln(count(distinct identity) + 1), 6) as score
@@ -824,6 +825,49 @@ def x2_source_taint(r):
     return flow.taint(g["functions"], g["arguments"], waits)
 
 
+# JavaScript: the SQL tells the outcome from the numbers that the sources are made of
+JS = "k as (select distinct k from js_files), p as (select k, 'lib' || (k % 20) || '/m' || k as stem from k)"
+
+
+def javascript(r) -> DataFrame:
+    return shared.written(js_source.parse(r["js_files"].select("path", "content")), "js")
+
+
+@query(
+    f"with {JS} select stem || '.ts' as file, 'f' || k as name, null as container, 3 as start_row, (4 + case when k % 2 = 0 then 1 else 0 end)::int as complexity, 'a,b' as params, null as route from p "
+    "union all select stem || '.ts', 'get', 'C' || k, 5, (3 + case when k % 5 = 0 then 2 else 0 end)::int, 'id', null from p union all select stem || '.test.ts', 'check', null, 1, 1, 'v', null from p "
+    "union all select stem || '.test.ts', 'check', null, 3, 1, 'v', null from p where k % 3 = 0 union all select stem || '.test.ts', 'local', null, (5 + case when k % 3 = 0 then 1 else 0 end)::int, 1, '', null from p "
+    "union all select 'app/(shop)/r' || k || '/[id]/route.ts', v, null, n, 1, 'req', case when n = 0 then '/r' || k || '/[id]' end from k, (values ('GET', 0), ('POST', 1)) t(v, n) where k % 10 = 0"
+)
+def c14_js_functions(r):
+    f = js_source.functions_of(javascript(r))
+    return f.select("file", "name", "container", "start_row", "complexity", F.array_join("params", ",").alias("params"), "route")
+
+
+@query(
+    f"with {JS} select stem || '.ts' as file, './m' || (k + 20) as spec, case when k + 20 in (select k from k) then 'lib' || (k % 20) || '/m' || (k + 20) || '.ts' end as resolved_path, 'x' || (k % 3) as symbols from p "
+    "union all select stem || '.ts', 'pack', null, 'Y' from p union all select stem || '.test.ts', './m' || k, stem || '.ts', 'f' || k from p"
+)
+def c14_js_imports(r):
+    found = js_source.imports_of(javascript(r), r["js_files"].select("path"))
+    return found.select("file", "spec", "resolved_path", F.array_join("symbols", ",").alias("symbols"))
+
+
+JS_CASES = f"""{JS}, cases as (select stem || '.test.ts' as file, 'calls' as name, (4 + s)::int as line, (case when s = 1 then 0 else 2 end)::int as assertions, (case when s = 1 or k % 2 = 0 then 0 else 2 end)::int as trivial_assertions from (select *, case when k % 3 = 0 then 1 else 0 end as s from p)
+ union all select stem || '.test.ts', 'each', (5 + case when k % 3 = 0 then 1 else 0 end)::int, 2, case when k % 4 = 0 then 1 else 2 end from p union all select stem || '.test.ts', 'own', (6 + case when k % 3 = 0 then 1 else 0 end)::int, 2, 1 from p)"""
+
+
+@query(f"with {JS_CASES} select *, assertions > trivial_assertions as has_meaningful_oracle from cases")
+def c14_js_test_cases(r):
+    return js_source.test_cases(javascript(r))
+
+
+@query(f"with {JS_CASES}, js_cases as (select *, assertions > trivial_assertions as has_meaningful_oracle from cases), {WEAK_SQL.replace('from test_cases', 'from js_cases')} select *, case tier when 'hollow' then 1000 when 'thin' then 500 else 0 end + smoke as rank from weak")
+def t5_weak_suite_from_text(r):
+    """The suite's quality from the test files' own text."""
+    return quality.weak_suite(js_source.test_cases(javascript(r)))
+
+
 @query("select regexp_extract(file, '\\.([^./]+)$', 1) as ext, count(distinct file) as files, count(*) as functions, sum(complexity)::bigint as complexity from functions group by 1")
 def c6_file_stats(r):
     return graph_build.file_stats(r["functions"])

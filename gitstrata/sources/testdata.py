@@ -126,6 +126,24 @@ RELATIONS: dict[str, str] = {
                     when k % 2 = 0 then concat('class Base', cast(k as string), '(Root', cast(k as string), '):', chr(10), '    def list(self, request):', chr(10), '        return 1', chr(10), '    def create(self, request):', chr(10), '        return 2', chr(10))
                     else concat('class Base', cast(k as string), '(Mixin, Root', cast(k as string), '):', chr(10), '    queryset = 1', chr(10)) end as content, k
         from (select p_partkey as k, 'base' as n from part where p_partkey between 1 and 10 union all select p_partkey as k, 'root' as n from part where p_partkey between 1 and 10) x""",
+    # a module, its test and a served route for each part; numbers tell how many cases there are and what they check
+    "js_files": """
+        select concat('lib', cast(k % 20 as string), '/m', cast(k as string), '.ts') as path,
+               concat('import x', cast(k % 3 as string), ' from "./m', cast(k + 20 as string), '";', chr(10), 'import type Y from "pack";', chr(10), '// if (a) function no() ', chr(10),
+                      'export const f', cast(k as string), ' = (a, b = 1) => a && b ? `if ', chr(96), ' : a ?? ', case when k % 2 = 0 then '(a || b)' else '/if(/.test(a)' end, ';', chr(10),
+                      'class C', cast(k as string), ' extends Base ', chr(123), chr(10), '  async get(id) ', chr(123), chr(10), '    for (const x of id) ', chr(123), ' if (x) return f', cast(k as string), '(x); ', chr(125), chr(10), case when k % 5 = 0 then concat('    switch (id) ', chr(123), ' case 1: case 2: break; default: ', chr(125)) else '    "while"' end, chr(10), '  ', chr(125), chr(10), chr(125), chr(10)) as content, k
+        from (select p_partkey as k from part) x
+        union all
+        select concat('lib', cast(k % 20 as string), '/m', cast(k as string), '.test.ts') as path,
+               concat('import ', chr(123), ' f', cast(k as string), ' ', chr(125), ' from "./m', cast(k as string), '";', chr(10), 'const check = (v) => ', chr(123), ' expect(v).', case when k % 2 = 0 then 'toBe(1)' else 'toBeDefined()' end, '; ', chr(125), ';', chr(10), 'describe("m", () => ', chr(123), chr(10),
+                      case when k % 3 = 0 then concat('  const check = (v) => v;', chr(10)) else '' end,
+                      '  it("calls", () => ', chr(123), ' check(f', cast(k as string), '(1)); check(2); ', chr(125), ');', chr(10),
+                      '  test.each([1, 2])("each", (n) => ', chr(123), ' expect(n).not.toBeNull(); expect(n).to.be.', case when k % 4 = 0 then 'true' else 'ok' end, '; ', chr(125), ');', chr(10),
+                      '  it("own", () => ', chr(123), ' const local = () => expect(1).toEqual(1); local(); assert(1); ', chr(125), ');', chr(10), '  it.skip("skipped", () => ', chr(123), ' expect(1).toBe(1); ', chr(125), ');', chr(10), chr(125), ');', chr(10)) as content, k
+        from (select p_partkey as k from part) x
+        union all
+        select concat('app/(shop)/r', cast(k as string), '/[id]/route.ts') as path, concat('export async function GET(req) ', chr(123), ' return 1 ', chr(125), chr(10), 'function POST(req) ', chr(123), ' return 2 ', chr(125), chr(10)) as content, k
+        from (select p_partkey as k from part) x where k % 10 = 0""",
     "manifests": """
         select concat('p', cast(p_partkey as string), case p_partkey % 4 when 0 then '/Cargo.toml' when 1 then '/pyproject.toml' when 2 then '/package.json' else '/requirements.txt' end) as path,
                case p_partkey % 4
