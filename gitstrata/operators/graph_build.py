@@ -89,11 +89,16 @@ def linked(parsed: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
     found = shared.written(python_source.resolved_imports(parsed, paths), "imports")
     imports, bound = import_edges(found), reexports(found)
     calls = shared.written(resolve_calls(python_source.calls_of(parsed), functions, imports.select("from_file", "to_file").distinct(), bound), "calls")
+    return with_calls(parsed, functions, found, imports, bound, calls)
+
+
+def with_calls(parsed: DataFrame, functions: DataFrame, found: DataFrame, imports: DataFrame, bound: DataFrame, calls: DataFrame) -> dict[str, DataFrame]:
+    """The graph's relations once calls are resolved; found are the imports with what they bind."""
     declared = shared.written(routes.declared_routes(parsed, functions, bound), "routes")
     entry = declared.select("file", "start_row", F.lit(True).alias("_e")).distinct()
     functions = functions.drop("entry_point").join(entry, ["file", "start_row"], "left").withColumn("entry_point", F.col("_e").isNotNull()).drop("_e")
     return {
-        "parsed": parsed, "functions": functions, "imports": imports, "calls": calls, "arguments": python_source.arguments_of(parsed, calls),
+        "parsed": parsed, "functions": functions, "imports": imports, "p_imports": found, "calls": calls, "arguments": python_source.arguments_of(parsed, calls),
         "routes": declared, "sinks": sinks.python_sinks(parsed),
     }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gitstrata import shared
 from gitstrata.functions import exprs as E
-from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, signals, traverse
+from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, shadow, signals, traverse
 from gitstrata.plans import sqltext as S
 from gitstrata.plans.registry import query
 from gitstrata.sources import js_source
@@ -366,7 +366,10 @@ def t5_weak_suite(r):
 
 
 def safety(r) -> DataFrame:
-    return quality.refactor_safety(r["files"], r["functions"], r["file_edges"])
+    """Written once for all that ask."""
+    if "safety" not in r.known:
+        r.known["safety"] = shared.written(quality.refactor_safety(r["files"], r["functions"], r["file_edges"]), "safety")
+    return r.known["safety"]
 
 
 @query(f"with {S.SAFETY} select file, dependents, untested_dependents, complexity, duplicated, tier, rank::double as rank from safety")
@@ -868,6 +871,73 @@ def t5_weak_suite_from_text(r):
     return quality.weak_suite(js_source.test_cases(javascript(r)))
 
 
+# changes laid over an analysed tree
+def patched(r):
+    """The base graph, the patched one and what was parsed for it."""
+    files, cache = r["python_files"].select("path", "content"), None
+    parsed, cache = shadow.parsed_files(files, cache)
+    base = graph_build.linked(shared.written(parsed, "parsed"), files.select("path"))
+    changes = r["changes"].select("path", "new_content", "base_hash")
+    return (base, *shadow.patched_graph(base, files, changes, cache))
+
+
+@query(
+    f"with {PY} select file as from_file, name as from_fn, next as to_file, 'f' || (m + 1) as to_fn from n where more and k % 40 not in (7, 8) and (k + 20) % 40 not in (7, 8) "
+    "union all select 'pkg' || (k % 20) || '/extra' || k || '.py', 'e' || k, 'pkg' || (k % 20) || '/m' || m || '.py', 'f' || m from n where k % 40 = 9"
+)
+def d13_patched_calls(r):
+    return patched(r)[1]["calls"].filter("to_file is not null").select(F.col("file").alias("from_file"), F.col("in_fn").alias("from_fn"), "to_file", "to_fn")
+
+
+@query(
+    f"with {PY} select file as from_file, next as to_file from n where more and k % 40 not in (7, 8) and (k + 20) % 40 <> 7 "
+    "union all select 'pkg' || (k % 20) || '/extra' || k || '.py', 'pkg' || (k % 20) || '/m' || m || '.py' from n where k % 40 = 9"
+)
+def d13_patched_imports(r):
+    return patched(r)[1]["imports"].select("from_file", "to_file")
+
+
+@query(f"with {PY} select count(*) filter (where k % 40 in (8, 9)) as parsed, count(*) - count(*) filter (where k % 40 = 7) + count(*) filter (where k % 40 = 9) as files from n")
+def d13_parsed_texts(r):
+    """How many texts were parsed for the patched graph, of how many files."""
+    _, head, fresh = patched(r)
+    files = head["functions"].agg(F.count_distinct("file").alias("files"))
+    return fresh.filter("kind = 'text'").agg(F.count("*").alias("parsed")).crossJoin(files)  # one row each
+
+
+@query(
+    f"with {PY} select 'as it is' as change, 'patched' as mode, null as reason, '' as mismatched union all select 'stale', 'base-mismatch', null, string_agg(file, ',' order by file) from n where k % 40 = 8 "
+    "union all select 'config', 'needs-full-analysis', 'build-config change (pkg0/package.json)', '' union all select 'large', 'too-large', 'cumulative touched bytes over budget', ''"
+)
+def d13_patch_modes(r):
+    base, c = r["python_files"].select("path", "content"), r["changes"].select("path", "new_content", "base_hash", "k")
+    told = c.join(base, "path", "left").withColumn("base_hash", F.when(F.col("k") % 40 == 8, F.lit("0")).otherwise(graph_build.djb2(F.col("content"))))
+    config = c.withColumn("path", F.when(F.col("k") % 40 == 8, F.concat(F.split("path", "/")[0], F.lit("/package.json"))).otherwise(F.col("path"))).withColumn("path", F.regexp_replace("path", "^pkg8/package", "pkg0/package"))
+    large = c.withColumn("new_content", F.repeat(F.lit("#"), 500_000))
+    out = None
+    for name, change in (("as it is", c), ("stale", told), ("config", config), ("large", large)):
+        one = shadow.patch_mode(base, change.select("path", "new_content", "base_hash")).select(F.lit(name).alias("change"), "mode", "reason", F.array_join("mismatched", ",").alias("mismatched"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"with {PY} select file, 'removed' as kind, 'moderate' as tier, (k >= 20)::bigint as dependents, (k >= 20)::bigint as untested_dependents, false as is_test from n where k % 40 = 7 "
+    "union all select file, 'modified', case when k >= 20 then 'moderate' else 'safe' end, (k >= 20)::bigint, (k >= 20)::bigint, false from n where k % 40 = 8 "
+    "union all select 'pkg' || (k % 20) || '/extra' || k || '.py', 'added', 'safe', 0, 0, false from n where k % 40 = 9"
+)
+def d12_simulated(r):
+    """The changed files with their tiers, from the graphs on both sides of the change."""
+    base, head, _ = patched(r)
+    return shadow.simulate(base, head, r["changes"])["blast"]
+
+
+@query(f"with {PY} select file from n where k % 40 in (27, 28) and more")
+def d12_simulated_affected(r):
+    base, head, _ = patched(r)
+    return shadow.simulate(base, head, r["changes"])["affected"]
+
+
 @query("select regexp_extract(file, '\\.([^./]+)$', 1) as ext, count(distinct file) as files, count(*) as functions, sum(complexity)::bigint as complexity from functions group by 1")
 def c6_file_stats(r):
     return graph_build.file_stats(r["functions"])

@@ -95,6 +95,13 @@ RELATIONS: dict[str, str] = {
                       case k % 5 when 0 then '    os.system(q)' when 1 then '    return eval(request.args)' when 2 then '    open(other)' when 3 then concat('    password = "hunter', cast(k as string), '"') else '    return int(q)' end, chr(10),
                       case when k % 11 = 0 then concat('path("u', cast(k as string), '", f', cast(m as string), ')', chr(10)) else '' end) as content, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x""",
+    # a change of the tree: one file in forty goes, one is written anew under another function's name, one comes
+    "changes": """
+        select concat('pkg', cast(k % 20 as string), '/m', cast(m as string), '.py') as path, case when k % 40 = 8 then concat('def g', cast(m as string), '(q, other):', chr(10), '    return 1', chr(10)) end as new_content, cast(null as string) as base_hash, k, m
+        from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x where k % 40 in (7, 8)
+        union all
+        select concat('pkg', cast(k % 20 as string), '/extra', cast(k as string), '.py') as path, concat('from .m', cast(m as string), ' import f', cast(m as string), chr(10), 'def e', cast(k as string), '():', chr(10), '    return f', cast(m as string), '(1, 2)', chr(10)) as new_content, cast(null as string) as base_hash, k, m
+        from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x where k % 40 = 9""",
     # an application for each part, with a table of routes; the ways to name a handler take turns, some of them ambiguous
     "web_files": """
         select concat('app', cast(k as string), '/urls.py') as path,
