@@ -123,45 +123,112 @@ def caller_index(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return out.select("file", "name", "container", zero("callers").alias("callers"), F.when(F.col("_same") > 1, 0).otherwise(zero("callees")).alias("callees"))
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """node, layer: the longest way from a node without predecessors, as deep as the graph is. Exact without cycles;
-    nodes on a cycle or behind one have layer null."""
-    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    indegree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waiting"))
-    left = written(nodes.join(indegree, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).alias("layer")))
-    done = left.filter("waiting = 0").select("node", "layer")
-    front, left = done, left.filter("waiting > 0")
+def _placed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, layer of the nodes that are on no cycle and behind none: the longest way from a node without predecessors.
+
+    A node is placed once all its predecessors are. How many are is noted for the nodes that a round touches only;
+    edges and the numbers to be waited for are written once and never again."""
+    indegree = written(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waiting")), "indegree")
+    front = done = written(nodes.join(indegree, "node", "left_anti").select("node", F.lit(0).alias("layer")), "roots")
+    noted = None
     for k in itertools.count(1):
         if front.isEmpty():
-            break
-        # a node is placed once all its predecessors are
-        got = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"), F.max(F.col("layer") + 1).alias("now"))
-        left = written(left.join(got, "node", "left").select("node", (F.col("waiting") - F.coalesce("met", F.lit(0))).alias("waiting"), F.greatest("layer", F.coalesce("now", F.lit(0))).alias("layer")))
-        front = left.filter("waiting = 0").select("node", "layer")
-        done, left = done.unionByName(front), left.filter("waiting > 0")
+            return done
+        met = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"))
+        if noted is not None:
+            before = noted.join(met.select("node"), "node", "left_semi").groupBy("node").agg(F.max("met").alias("before"))
+            met = met.join(before, "node", "left").select("node", (F.col("met") + F.coalesce("before", F.lit(0))).alias("met"))
+        met = written(met.join(indegree, "node").select("node", "met", (F.col("met") == F.col("waiting")).alias("ready")), "met")
+        front = met.filter("ready").select("node", F.lit(k).alias("layer"))
+        done = done.unionByName(front)
+        some = met.filter("not ready").select("node", "met")
+        noted = some if noted is None else noted.unionByName(some)
         if k % FOLD == 0:
-            done = written(done)
-    return done.unionByName(left.select("node", F.lit(None).cast("int").alias("layer")))
+            done = written(done, "layers")
+            noted = written(noted.groupBy("node").agg(F.max("met").alias("met")).join(done, "node", "left_anti"), "noted")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node, root of the nodes that lie on cycles: two have the same root if each reaches the other.
+
+    Forward and backward colouring: nodes with nothing before or behind them go; the greatest name that reaches a node is its
+    colour; whoever reaches that name backwards within the colour is of its component. Components found leave, until no edge is left."""
+    left = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    found = None
+    while True:
+        # trim
+        while True:
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            inner = written(inner.select("src", "dst"), "inner")
+            if inner.count() == left.count():
+                break
+            left = inner
+        if left.isEmpty():
+            return found if found is not None else left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+        colour = written(left.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")), "colour")
+        while True:
+            reach_ = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("c"))
+            now = written(colour.join(reach_, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", F.coalesce("c", F.col("colour"))).alias("colour"), (F.coalesce("c", F.col("colour")) > F.col("colour")).alias("new")), "colour")
+            colour = now.select("node", "colour")
+            if now.filter("new").isEmpty():
+                break
+        within = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").filter("cs = cd")
+        within = written(within.select("src", "dst"), "within")
+        front = members = written(colour.filter("node = colour"), "members")
+        while not front.isEmpty():
+            step = within.join(front.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            front = written(step.join(members.select("node"), "node", "left_anti"), "back")
+            members = members.unionByName(front)
+        members = written(members, "components")
+        many = members.join(members.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour"), "colour", "left_semi").select("node", F.col("colour").alias("root"))
+        found = many if found is None else found.unionByName(many)
+        gone = members.select("node")
+        left = written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "left")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """node, layer: the longest way from a node without predecessors. The nodes of a cycle have one layer together: that of
+    their component among the components of the graph, which have no cycles among them."""
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
+    done = written(_placed(edges, nodes), "layers")
+    left = written(edges.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "left")
+    if left.isEmpty():
+        return done
+    root = written(cycles(left.join(done.select(F.col("node").alias("src")), "src", "left_anti")), "cycles")
+    name = lambda t, c: t.join(root.select(F.col("node").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    whole = written(name(name(edges, "src"), "dst").filter("src <> dst").distinct(), "condensed")
+    ends = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("_c"))
+    at = written(_placed(whole, ends.select(F.col("_c").alias("node")).distinct()), "layers")
+    return ends.join(at.withColumnRenamed("node", "_c"), "_c").select("node", "layer")
 
 
 def deepest_chain(edges: DataFrame, min_layer: int = 6) -> DataFrame:
-    """place, node of one longest chain, from its root; of several the one with the smallest names from the end back."""
-    edges = written(edges.select("src", "dst").filter("src <> dst").distinct())
-    placed = written(layers(edges))
+    """place, node of one longest chain, from its root; of several the one with the smallest names from the end back. Where the way
+    leads through a cycle, the chain's step enters and leaves it by any of its members, one of which stands for all.
+
+    Each node's smallest predecessor of the layer before comes from one join; the way back is walked in doubling steps."""
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    placed = written(layers(edges), "layers")
     top = placed.agg(F.max("layer")).head()[0]
     spark = edges.sparkSession
     if top is None or top < min_layer:
         return spark.createDataFrame([], "place int, node string")
-    at = placed.filter(F.col("layer") == top).agg(F.min("node").alias("node")).withColumn("place", F.lit(top))
-    chain, front = at, at
-    for layer in range(top - 1, -1, -1):
-        before = edges.join(front.select(F.col("node").alias("dst")), "dst").join(placed.filter(F.col("layer") == layer).withColumnRenamed("node", "src"), "src")
-        front = written(before.agg(F.min("src").alias("node")).withColumn("place", F.lit(layer)))
-        chain = chain.unionByName(front)
-        if layer % FOLD == 0:
-            chain = written(chain)
-    return chain.select("place", "node")
+    of = lambda c, n: placed.select(F.col("node").alias(c), F.col("layer").alias(n))
+    before = edges.join(of("src", "ls"), "src").join(of("dst", "ld"), "dst").filter("ls = ld - 1").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("to"))
+    twins = placed.join(before.select("node"), "node", "left_anti").filter("layer > 0")
+    if not twins.isEmpty():
+        # a member of a cycle without a predecessor outside it takes its component's
+        root = cycles(edges)
+        mine = root.join(before, "node").groupBy("root").agg(F.min("to").alias("to"))
+        before = before.unionByName(twins.join(root, "node").join(mine, "root").select("node", "to"))
+    jump = written(before, "before")
+    chain = placed.filter(F.col("layer") == top).agg(F.min("node").alias("node"))
+    for k in range(max(1, int(top).bit_length())):
+        chain = written(chain.unionByName(chain.join(jump, "node").select(F.col("to").alias("node"))).distinct(), "chain")
+        if 2 ** (k + 1) <= top:
+            jump = written(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "jump")
+    return chain.join(placed, "node").select(F.col("layer").alias("place"), "node")
 
 
 def locate_symbol(functions: DataFrame, query: str, limit: int = 25) -> DataFrame:

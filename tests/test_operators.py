@@ -1,6 +1,7 @@
 """Operators on small tables built by hand, at their thresholds."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,11 +80,43 @@ def test_bfs_hops_cycles_and_cap(spark):
 
 def test_layers_and_chain(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("c", "d"))
-    assert rows(traverse.layers(e)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("x", None), ("y", None)]
+    assert rows(traverse.layers(e)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("x", 0), ("y", 0)]
     assert rows(traverse.deepest_chain(e, 3)) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
     assert traverse.deepest_chain(e, 4).count() == 0
 
 
+def brute_layers(edges):
+    """Layers over the components that reach one another, and those components."""
+    nodes = sorted({x for e in edges for x in e})
+    ahead = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            ahead[a] |= ahead[b]
+    comp = {n: max(m for m in nodes if m in ahead[n] and n in ahead[m]) for n in nodes}
+    layer = dict.fromkeys(nodes, 0)
+    for _ in nodes:
+        for a, b in edges:
+            if comp[a] != comp[b]:
+                layer[b] = max(layer[b], layer[a] + 1)
+        for n in nodes:
+            layer[n] = max(layer[m] for m in nodes if comp[m] == comp[n])
+    return layer, {n: c for n, c in comp.items() if sum(x == c for x in comp.values()) > 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers_over_cycles(spark, seed):
+    """Random graphs with cycles inside cycles, before, behind and beside one another."""
+    r = random.Random(seed)
+    edges = {(f"n{a:02}", f"n{b:02}") for a, b in ((r.randrange(34), r.randrange(34)) for _ in range(42)) if a != b}
+    edges |= {("n40", "n41"), ("n41", "n40"), ("n41", "n42"), ("n42", "n43"), ("n43", "n41"), ("n43", "n44"), ("n44", "n01"), ("n45", "n40")}
+    layer, comp = brute_layers(edges)
+    e = spark.createDataFrame(sorted(edges), "src string, dst string")
+    assert {x.node: x.root for x in traverse.cycles(e).collect()} == comp
+    assert {x.node: x.layer for x in traverse.layers(e).collect()} == layer
+    chain = [x.node for x in sorted(traverse.deepest_chain(e, 1).collect())]
+    assert [layer[n] for n in chain] == list(range(max(layer.values()) + 1))
+
+
 def test_deep_layers(spark):
     e = edges(spark, *((f"n{k:03}", f"n{k + 1:03}") for k in range(200))).coalesce(1)
     assert sorted(map(tuple, traverse.layers(e).collect())) == [(f"n{k:03}", k) for k in range(201)]
