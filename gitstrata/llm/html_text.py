@@ -55,20 +55,24 @@ IMPLIED = {
 #: Words of class, id and role that mark parts beside the article, and words that add nothing to those.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation breadcrumb breadcrumbs "
-    "footer masthead comment comments disqus respond cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share "
+    "footer masthead comment comments disqus respond reaction reactions opinions replies discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share "
     "sharing social related recommended pagination pager widget toolbar skip complementary contentinfo dialog".split()
 )
 FILL = frozenset(
     "site page main global top bottom left right inner outer header head area bar box block container wrap wrapper section slot unit panel list item items link links form button buttons posts post articles stories "
-    "content widgets thread reply title text primary secondary local sub small mobile desktop js id fixed sticky floating".split()
+    "content widgets thread reply reader readers user users visitor visitors title text primary secondary local sub small mobile desktop js id fixed sticky floating".split()
 )
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")\b(?P<rawattrs>[^>]*?)(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s/>]|\Z)(?P<rawattrs>[^>]*?)(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 MARKED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Fewer words than these, and less than a tenth of a page's, make no article of their own.
+TEASER = 15
+#: Marks that a single paragraph of an article may carry.
+CALLOUTS = frozenset(("notice", "alert"))
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 LEGAL = re.compile(r"\s*(?:©|&copy;|&#169;|\(c\)|copyright\b|all rights reserved)", re.I)
 
@@ -98,7 +102,7 @@ def reason(tag: str, attrs: str) -> str | None:
     for name, *values in MARKED.findall(attrs):
         for token in "".join(values).split():
             words = [p.lower() for p in PARTS.findall(token)]
-            if any(w in MARKS for w in words):
+            if any(w in MARKS and not (tag == "p" and w in CALLOUTS) for w in words):
                 if all(w in MARKS or w in FILL or w.isdigit() for w in words):
                     return "mark"
                 found = "partly"
@@ -244,16 +248,32 @@ def beside(parts: list[Part], weights: Weights) -> set[int]:
     return out
 
 
-def word_kind(p: Part, value: str, has_article: bool) -> str:
+def main_articles(parts: list[Part], off: set[int]) -> tuple[bool, set[int]]:
+    """Whether articles hold half of the words that stand beside nothing and in no link, so that what lies outside them is no content;
+    and, where they don't, the ids of those that only point elsewhere: articles that are links for the most part, that have
+    a link for a heading, or that have a few words among many."""
+    whole = [p for p in parts if p.tag in ("article", "main") and id(p) not in off and p.article is p and (p.parent is None or p.parent.article is None)]
+    words = lambda p: p.words - p.linked
+    hidden = sum(words(p) for p in parts if id(p) in off and (p.parent is None or id(p.parent) not in off))
+    total, inside = words(parts[0]) - hidden, sum(words(p) for p in whole)
+    if 2 * inside >= total:
+        return bool(whole), set()
+    heads = {id(p.article) for p in parts if p.tag == "a" and p.heading and p.article is not None}
+    teaser = lambda p: 2 * p.linked > p.words or id(p) in heads or p.words < TEASER and 10 * p.words < total
+    return False, {id(p) for p in whole if teaser(p)}
+
+
+def word_kind(p: Part, value: str, has_article: bool, teasers: set[int] = frozenset()) -> str:
     """A word's kind: in a heading, link, legal line or plainly; outside the article of a page that has one, or not."""
     kind = "heading" if p.heading else "legal" if LEGAL.match(value) else "link" if p.link else "plain"
-    return kind if p.article is not None or not has_article else kind + " outside"
+    outside = has_article if p.article is None else id(p.article) in teasers
+    return kind + " outside" if outside else kind
 
 
 def scored(page: str, weights: Weights) -> tuple[list[tuple[str, str, Part, int]], list[float], set[int]]:
     out, parts = parse(page)
     off = beside(parts, weights)
-    has_article = any(p.tag in ("article", "main") and id(p) not in off for p in parts)
+    has_article, teasers = main_articles(parts, off)
     scores = []
     for kind, value, p, _ in out:
         if id(p) in off or kind == "raw":
@@ -261,7 +281,7 @@ def scored(page: str, weights: Weights) -> tuple[list[tuple[str, str, Part, int]
         elif kind == "tag":
             scores.append(weights.tag.get(value.lstrip("/"), weights.other) if p.words else 0.0)
         else:
-            scores.append(len(value.split()) * weights.word.get(word_kind(p, value, has_article), 0.2))
+            scores.append(len(value.split()) * weights.word.get(word_kind(p, value, has_article, teasers), 0.2))
     return out, scores, off
 
 
@@ -331,13 +351,13 @@ def train(pages=None) -> Weights:
     inside, outside = Counter(), Counter()
     for tokens, parts, content in read:
         apart = beside(parts, weights)
-        has_article = any(p.tag in ("article", "main") and id(p) not in apart for p in parts)
+        has_article, teasers = main_articles(parts, apart)
         for (kind, value, p, _), good in zip(tokens, content):
             if id(p) in apart or kind == "raw":
                 continue
             side = inside if good else outside
             if kind == "text":
-                side["word", word_kind(p, value, has_article)] += len(value.split())
+                side["word", word_kind(p, value, has_article, teasers)] += len(value.split())
             elif p.words:
                 side["tag", value.lstrip("/")] += 1
     odds = lambda k: math.log((inside[k] + 0.5) / (outside[k] + 0.5))

@@ -327,3 +327,35 @@ def test_leak_in_a_very_long_document(spark):
     items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {(x.doc_id, x.item_id): (round(x.similarity, 6), x.start) for x in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert got[(1, 7)] == (1.0, 0) and got[(2, 7)][0] >= 0.8 and got[(2, 7)][1] in range(2_990, 3_001) and len(got) == 2
+
+
+# pages with articles that aren't the story
+STORY = "".join(f"<p>{' '.join(f's{j}w{k}' for k in range(40))}.</p>" for j in range(6))
+TOLD = "\n\n".join(f"{' '.join(f's{j}w{k}' for k in range(40))}." for j in range(6))
+NAV = '<nav><a href="/">Home</a> <a href="/b">News</a></nav>'
+LEAD = "This lead stands in the article and sums up in two or three lines what the story below tells at length today."
+PAGES = {
+    "element whose name starts like a hidden one": ("<body><div>one two three <svg-icon></svg-icon> <select-menu>four</select-menu> " + "five " * 60 + "</div></body>", "one two three four " + ("five " * 60).strip()),
+    "teaser article behind": (f"<body>{NAV}<div class='story'><h1>Title</h1>{STORY}</div><article><h2>Other news</h2><p>Short text here</p></article><footer>f</footer></body>", f"Title\n\n{TOLD}"),
+    "teaser article before": (f"<body>{NAV}<article><h2><a href='x'>Other news</a></h2><p>{LEAD}</p></article><div class='story'><h1>Title</h1>{STORY}</div></body>", f"Title\n\n{TOLD}"),
+    "lead in an article, story in a div": (f"<body>{NAV}<article><h1>Title</h1><p>{LEAD}</p></article><div class='body'>{STORY}</div></body>", f"Title\n\n{LEAD}\n\n{TOLD}"),
+    "comments by other names": (f"<body>{NAV}<article><h1>T</h1>{STORY}</article><div class='reactions'><p>I think this is wrong.</p></div><div class='reader-opinions'><p>No way this is true.</p></div></body>", f"T\n\n{TOLD}"),
+    "comments by other names, no article": (f"<body>{NAV}<div><h1>T</h1>{STORY}</div><div class='reactions'><p>I think this is wrong.</p><p>So do I.</p></div></body>", f"T\n\n{TOLD}"),
+    "notice of the article": (f"<body>{NAV}<article><h1>T</h1>{STORY}<p class='notice'>Mind that this matters.</p><p>End.</p></article></body>", f"T\n\n{TOLD}\n\nMind that this matters.\n\nEnd."),
+    "three teasers around": (f"<body>{NAV}<article><h3><a href='1'>One</a></h3></article><div><h1>T</h1>{STORY}</div><article><h3><a href='2'>Two</a></h3><p>{LEAD}</p></article><article><a href='3'>Three more to read</a></article></body>", f"T\n\n{TOLD}"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_stories_and_teasers(name):
+    from gitstrata.llm import html_text
+
+    page, text = PAGES[name]
+    assert html_text.extract(page, html_text.train()) == text
+
+
+def test_html_columns_that_clash(spark):
+    from gitstrata.llm import html_text
+
+    df = spark.createDataFrame([(1, "<p>a &amp; b</p>", "x", "y"), (2, None, "x", "y")], "page_id long, html string, text string, n_chars string")
+    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(1, "a & b", 5), (2, "", 0)]
