@@ -1184,7 +1184,8 @@ def all_signals(r) -> DataFrame:
     prs, commits = r["pull_requests"], r["commits"]
     ids = history.author_index(commits).filter(~E.is_bot(F.col("identity")))
     people = r["commit_files"].join(ids, "sha").join(F.broadcast(top.select("path")), "path", "left_semi").select("path", "identity").distinct()
-    facts = rows.sparkSession.range(1).select(F.lit(False).alias("has_license"), F.lit(True).alias("has_readme"))
+    named = lambda what: (F.count_if(F.lower(E.basename(F.col("path"))).rlike(rf"^{what}(\.[a-z]+)?$")) > 0)
+    facts = r["paths"].agg(named("licen[sc]e").alias("has_license"), named("readme").alias("has_readme"))
     weak = quality.weak_suite(r["test_cases"])
     as_of = F.lit(AS_OF).cast("timestamp")
     return signals.together(
@@ -1214,7 +1215,7 @@ SIGNALS_SQL = f"""{S.DEPS}, {VULN}, {INC}, {S.SAFETY}, {COVERAGE_SQL}, {CONCENTR
  sig as (
   select 'untested-hotspots' as id, 'needs-work' as bucket, case when bare * 100.0 / n > 80 then 'high' else 'medium' end as severity, floor(bare * 100.0 / n + 0.5)::double as a, n::double as b from hot_n, all_n where n >= 5 and tests < 30 and tests < 0.25 * code and floor(bare * 100.0 / n + 0.5) >= 50
   union all select 'good-test-presence', 'working', null, floor((n - bare) * 100.0 / n + 0.5), n from hot_n where n >= 5 and floor((n - bare) * 100.0 / n + 0.5) >= 60
-  union all select 'missing-hygiene', 'question', null, 1, 0
+  union all select 'missing-hygiene', 'question', null, (licenses = 0)::int + (readmes = 0)::int, 0 from (select count(*) filter (where regexp_matches(lower(path), '(^|/)licen[sc]e(\\.[a-z]+)?$')) as licenses, count(*) filter (where regexp_matches(lower(path), '(^|/)readme(\\.[a-z]+)?$')) as readmes from paths) h where licenses = 0 or readmes = 0
   union all select case when m >= o and m >= 5 then 'healthy-pr-throughput' when o > m * 1.5 then 'pr-backlog' end as id, case when m >= o and m >= 5 then 'working' else 'needs-work' end as bucket, case when m >= o and m >= 5 then null when o > m * 3 then 'high' else 'medium' end as severity, m::double as a, o::double as b from prn where m + o >= 5
   union all select case when d <= 3 then 'fast-pr-cycle' when d >= 14 then 'slow-pr-cycle' end, case when d <= 3 then 'working' else 'needs-work' end, case when d <= 3 then null when d > 30 then 'high' else 'medium' end, d, n from prd where n >= 5
   union all select 'bus-factor-risk', 'needs-work', case when one >= 3 then 'high' else 'medium' end, one, folders from own_n where folders >= 2 and one >= 1
@@ -1263,6 +1264,11 @@ FACTS_SQL = f"""{COVERAGE_SQL}, {S.SAFETY}, spots as ({TOP_SQL}), bare_n as (sel
     "select *, case finding when 'secret-leak' then 'critical' when 'critical-duplicates' then 'critical' when 'many-untested-hotspots' then 'warning' when 'low-coverage' then 'warning' when 'high-churn-hotspot' then 'warning' else 'info' end as severity from r"
 )
 def v3_headline(r):
+    return signals.headline(headline_facts(r))
+
+
+def headline_facts(r) -> DataFrame:
+    """One row; without a scan of sources, so no secrets are known."""
     f, one = r["functions"], lambda t, *cols: t.agg(*cols)
     bare = quality.untested_hotspots(f, r["calls"])
     cov = quality.test_coverage(f, r["calls"])
@@ -1272,7 +1278,13 @@ def v3_headline(r):
         .crossJoin(one(cov, F.sum("functions").alias("prod_functions"), E.percent(F.sum("tested"), F.sum("functions")).alias("coverage"))).crossJoin(one(spots(r).filter(E.is_code_file(F.col("path"))), F.coalesce(F.max("churn"), F.lit(0)).alias("churn")))
         .crossJoin(one(r["commits"], F.datediff(F.lit(AS_OF).cast("date"), F.max("ts")).alias("stale_days")))  # tables of one row
     )
-    return signals.headline(facts)
+    return facts
+
+
+@query(f"with {FACTS_SQL}, {SECRET_SQL}, r as (select facts.* replace ((select count(*) from secret) as secrets) from facts) select *, case when secrets > 0 then 'secret-leak' end as finding, case when secrets > 0 then 'critical' end as severity from r")
+def v3_headline_with_secrets(r):
+    found = scans.secrets(scans.lines_of(sources(r))).agg(F.count("*").alias("secrets"))
+    return signals.headline(headline_facts(r).drop("secrets").crossJoin(found))  # one row each
 
 
 def _values(groups: dict, name: str) -> str:
@@ -1287,6 +1299,20 @@ def v1_rulings(r):
     return signals.rulings(all_signals(r))
 
 
+#: The security department also votes on the secrets found in sources.
+LEAKS = f"{SECRET_SQL}, leaks as (select count(*) filter (where severity in ('critical', 'high')) as leaked, count(*) as found from secret)"
+RULED_LEAKS = RULED.replace("case when count(*) filter (where bucket = 'needs-work' and severity = 'high') > 0 then 'fail' when count(*) filter (where bucket = 'needs-work') > 0 then", "case when count(*) filter (where bucket = 'needs-work' and severity = 'high') > 0 or department = 'security' and (select leaked from leaks) > 0 then 'fail' when count(*) filter (where bucket = 'needs-work') > 0 or department = 'security' and (select found from leaks) > 0 then")
+
+
+def leaks(r) -> DataFrame:
+    return scans.secrets(scans.lines_of(sources(r)))
+
+
+@query(f"with {SIGNALS_SQL}, {LEAKS}, {RULED_LEAKS} select * from ruled")
+def v1_rulings_with_secrets(r):
+    return signals.rulings(all_signals(r), leaks(r))
+
+
 JUDGED = f"""{RULED}, judged as (select *, least(raw_score, case outcome when 'cleared' then 100 when 'conditional' then 89 else 59 end)::bigint as score from (select case when bool_or(vote = 'fail') then 'returned' when bool_and(vote = 'pass') then 'cleared' else 'conditional' end as outcome, sum(case vote when 'pass' then 25 when 'conditional' then 15 else 5 end)::bigint as raw_score from ruled) x)"""
 
 
@@ -1312,6 +1338,21 @@ def v5_recommendations(r):
     return signals.recommendations(all_signals(r))
 
 
+@query(f"with {SIGNALS_SQL}, {LEAKS}, {JUDGED.replace(RULED, RULED_LEAKS)} select outcome, raw_score, score, case {' '.join(f'when score >= {c} then {chr(39)}{g}{chr(39)}' for c, g in E.GRADES)} else 'F' end as grade, (select count(*) from sig where bucket = 'needs-work' and severity = 'high') as critical from judged")
+def v1_verdict_with_secrets(r):
+    s = shared.written(all_signals(r))
+    return signals.verdict(signals.rulings(s, leaks(r)), s)
+
+
+@query(
+    f"with {SIGNALS_SQL}, {LEAKS}, {JUDGED.replace(RULED, RULED_LEAKS)}, n as (select count(*) filter (where id in ('vulnerable-deps', 'known-incident-match') and bucket = 'needs-work') as bad, count(*) filter (where id in ('bus-factor-risk', 'stale', 'deprecated-deps') and bucket = 'needs-work') as careful from sig) "
+    "select outcome, score, bad, careful, leaked, case when bad > 0 or leaked > 0 then 'AVOID' when outcome = 'returned' or careful > 0 or outcome = 'conditional' then 'GUARDED' else 'ADOPT' end as read from judged, n, leaks"
+)
+def v4_adoption_with_secrets(r):
+    s, found = shared.written(all_signals(r)), shared.written(leaks(r), "leaks")
+    return signals.adoption(signals.verdict(signals.rulings(s, found), s), s, found)
+
+
 @query(
     f"with {SIGNALS_SQL}, {JUDGED}, n as (select count(*) filter (where id in ('vulnerable-deps', 'known-incident-match') and bucket = 'needs-work') as bad, count(*) filter (where id in ('bus-factor-risk', 'stale', 'deprecated-deps') and bucket = 'needs-work') as careful from sig) "
     "select outcome, score, bad, careful, 0::bigint as leaked, case when bad > 0 then 'AVOID' when outcome = 'returned' or careful > 0 or outcome = 'conditional' then 'GUARDED' else 'ADOPT' end as read from judged, n"
