@@ -65,7 +65,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for low, high in shingles.chunks([len(t or "") for t in texts], 1_000_000):
+            for low, high in shingles.chunks([len(t or "") for t in texts], 500_000):
                 sets = shingles.shingle_sets(texts[low:high], width)
                 yield pd.DataFrame({"id": b["doc_id"].iloc[low:high].to_numpy(), "members": sets, "parity": [parity(s) for s in sets]})
 

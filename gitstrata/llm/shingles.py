@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(sizes: list[int], limit: int = 4_000_000):
+def chunks(sizes: list[int], limit: int = 1_000_000):
     """Ranges of consecutive texts of about ``limit`` characters, for bounded memory; a longer text is its own."""
     low = total = 0
     for k, s in enumerate(sizes):
