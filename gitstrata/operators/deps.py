@@ -203,10 +203,63 @@ def pyproject_manifest(manifests: DataFrame) -> DataFrame:
     )
 
 
+def outline(content: Column) -> Column:
+    """The keys of an indented file, in order: structs path (keys above, outermost first), key, value. What a key stands under is the last
+    line indented less; a dash counts as indentation. Comments, and the lines of a text that ``|`` or ``>`` opens, are left out.
+    A stack of the open keys is carried over the lines, so a file should be of a size that one row may have."""
+    entry, row = "struct<col:int,key:string,text:boolean>", "struct<path:array<string>,key:string,value:string>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("stack"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        col = F.char_length(F.regexp_extract(line, r"^( *(?:- +)*)", 1))
+        above = F.filter(acc.stack, lambda e: e.col < col)
+        inside = F.exists(above, lambda e: e.text)
+        key = F.regexp_replace(F.regexp_extract(line, r"^ *(?:- +)*([^\s#:][^:]*?) *:(?: |$)", 1), "^[\"']|[\"']$", "")
+        value = F.regexp_replace(F.regexp_extract(line, r"^ *(?:- +)*[^\s#:][^:]*? *: +(.*)$", 1), r"(^|\s+)#.*$", "")
+        item = F.struct(F.transform(above, lambda e: e.key).alias("path"), key.alias("key"), F.regexp_replace(F.trim(value), "^[\"']|[\"']$", "").alias("value"))
+        now = F.struct(F.concat(above, F.array(F.struct(col.alias("col"), key.alias("key"), F.trim(value).rlike("^[|>][-+0-9]*$").alias("text")))).alias("stack"), F.concat(acc.out, F.array(item)).alias("out"))
+        return F.when(inside | (key == "") | F.trim(line).startswith("#"), acc).otherwise(now)
+
+    return F.aggregate(F.split(F.regexp_replace(content, "\r", ""), "\n"), start, step, lambda acc: acc.out)
+
+
+def permission_scope(value: Column, entries: Column) -> Column:
+    """What a ``permissions`` key says; entries: how many keys stand below it."""
+    return F.when(value.isin("write-all", "read-all"), value).when((entries > 0) | value.startswith("{"), "granular").otherwise("unspecified")
+
+
+def workflow_keys(files: DataFrame) -> DataFrame:
+    """path, content of workflow files to workflow, path, key, value."""
+    return files.select(F.col("path").alias("workflow"), F.explode(outline(F.col("content"))).alias("x")).select("workflow", "x.path", "x.key", "x.value")
+
+
 def workflow_manifest(files: DataFrame) -> DataFrame:
-    """path, content of workflow files to workflow, uses: the ``uses:`` values, line by line."""
-    line = F.regexp_extract("l", r"^\s*-?\s*uses:\s*[\"']?([^\"'\s#]+)", 1)
-    return files.select(F.col("path").alias("workflow"), F.explode(F.split("content", "\n")).alias("l")).select("workflow", line.alias("uses")).filter("uses <> ''")
+    """path, content of workflow files to workflow, uses: the ``uses`` of jobs and of their steps."""
+    level = F.size("path")
+    of_step = (level == 3) & (F.get("path", F.lit(2)) == "steps")
+    return workflow_keys(files).filter((F.col("key") == "uses") & (F.col("value") != "") & (F.get("path", F.lit(0)) == "jobs") & ((level == 2) | of_step)).select("workflow", F.col("value").alias("uses"))
+
+
+def workflow_permissions(files: DataFrame) -> DataFrame:
+    """workflow, job, scope: of every workflow (job null; unspecified where it has none) and of jobs that have permissions of their own."""
+    keys = workflow_keys(files)
+    job = F.get("path", F.lit(1))
+    top = (F.size("path") == 0) & (F.col("key") == "permissions")
+    mine = (F.size("path") == 2) & (F.get("path", F.lit(0)) == "jobs") & (F.col("key") == "permissions")
+    below = (F.element_at("path", -1) == "permissions") & ((F.size("path") == 1) | (F.size("path") == 3) & (F.get("path", F.lit(0)) == "jobs"))
+    said = keys.filter(top | mine).select("workflow", F.when(mine, job).alias("job"), "value")
+    entries = keys.filter((F.size("path") > 0) & below).groupBy("workflow", F.when(F.size("path") == 3, job).alias("_job")).agg(F.count("*").alias("entries"))
+    entries = entries.withColumnRenamed("workflow", "_w")
+    out = said.join(entries, (F.col("workflow") == F.col("_w")) & F.col("job").eqNullSafe(F.col("_job")), "left")
+    out = out.select("workflow", "job", permission_scope(F.col("value"), F.coalesce("entries", F.lit(0))).alias("scope"))
+    silent = files.select(F.col("path").alias("workflow")).distinct().join(said.filter("job is null").select("workflow"), "workflow", "left_anti")
+    return out.unionByName(silent.select("workflow", F.lit(None).cast("string").alias("job"), F.lit("unspecified").alias("scope")))
+
+
+def workflow_relation(files: DataFrame) -> DataFrame:
+    """workflow, uses, scope, job as ``workflow_findings`` reads them: a row for each use and for each scope."""
+    none = F.lit(None).cast("string")
+    return workflow_manifest(files).select("workflow", "uses", none.alias("scope"), none.alias("job")).unionByName(workflow_permissions(files).select("workflow", none.alias("uses"), "scope", "job"))
 
 
 # Manifests of ecosystems that aren't read, by pattern; languages whose sinks have rules; the page of pull requests.

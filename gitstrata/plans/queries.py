@@ -1052,6 +1052,29 @@ def s7_ci_findings(r):
     return deps.workflow_findings(r["workflows"], "acme")
 
 
+CI_TEXT = """w as (select path as workflow, part from ci_files), uses_ as (select workflow, 'acme/t' || part || '@main' as uses from w union all select workflow, 'other/flow/.github/workflows/x.yml@' || case when part % 2 = 0 then 'v1' else '0123456789abcdef0123456789abcdef01234567' end from w),
+ scopes as (select workflow, null as job, case part % 4 when 0 then 'write-all' when 1 then 'granular' when 2 then 'read-all' else 'unspecified' end as scope from w union all select workflow, 'build', case part % 3 when 0 then 'granular' else 'write-all' end from w where part % 3 < 2)"""
+
+
+@query(f"with {CI_TEXT} select * from scopes")
+def s7_permissions_from_text(r):
+    return deps.workflow_permissions(r["ci_files"].select("path", "content"))
+
+
+@query(f"with {CI_TEXT} select * from uses_")
+def src9_uses_from_outline(r):
+    return deps.workflow_manifest(r["ci_files"].select("path", "content"))
+
+
+@query(
+    f"with {CI_TEXT} select 'unpinned-actions' as finding, 'high' as severity, count(*) as count from uses_ where not contains(uses, '0123456789') union all select 'third-party-actions', 'low', 1 "
+    "union all select 'broad-permissions', 'high', count(*) from scopes where scope = 'write-all' or (job is null and scope = 'unspecified')"
+)
+def s7_findings_from_text(r):
+    """Findings of workflow files, from nothing but their text."""
+    return deps.workflow_findings(deps.workflow_relation(r["ci_files"].select("path", "content")), "acme")
+
+
 @query(f"with {CI} select case when bool_or(severity = 'high') then 'exposed' when bool_or(severity = 'medium') then 'attention' else 'hardened' end as posture, count(*) as findings from ci")
 def s7_posture(r):
     return deps.posture(deps.workflow_findings(r["workflows"], "acme"))

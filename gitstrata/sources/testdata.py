@@ -102,6 +102,14 @@ RELATIONS: dict[str, str] = {
         union all
         select concat('pkg', cast(k % 20 as string), '/extra', cast(k as string), '.py') as path, concat('from .m', cast(m as string), ' import f', cast(m as string), chr(10), 'def e', cast(k as string), '():', chr(10), '    return f', cast(m as string), '(1, 2)', chr(10)) as new_content, cast(null as string) as base_hash, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x where k % 40 = 9""",
+    # workflow files whose permissions stand at the top, in jobs, below keys and where they mean nothing
+    "ci_files": """
+        select concat('.github/workflows/c', cast(p_partkey as string), '.yml') as path,
+               concat('name: ci # permissions: write-all', chr(10), case p_partkey % 4 when 0 then 'permissions: write-all' when 1 then concat('permissions:', chr(10), '  contents: read') when 2 then 'permissions: read-all # all' else 'on: push' end, chr(10),
+                      'jobs:', chr(10), '  build:', chr(10), case p_partkey % 3 when 0 then concat('    permissions:', chr(10), '      id-token: write', chr(10)) when 1 then concat('    permissions: "write-all"', chr(10)) else '' end,
+                      '    steps:', chr(10), '    - name: first', chr(10), '      run: |', chr(10), '        uses: not/this@v1', chr(10), '        permissions: write-all', chr(10), '      env:', chr(10), '        uses: not/that@v1', chr(10),
+                      '    - uses: acme/t', cast(p_partkey as string), '@main # note', chr(10), '  call:', chr(10), '    uses: "other/flow/.github/workflows/x.yml@', case when p_partkey % 2 = 0 then 'v1' else '0123456789abcdef0123456789abcdef01234567' end, '"', chr(10)) as content, p_partkey as part
+        from part""",
     # an application for each part, with a table of routes; the ways to name a handler take turns, some of them ambiguous
     "web_files": """
         select concat('app', cast(k as string), '/urls.py') as path,
