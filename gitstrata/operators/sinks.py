@@ -15,6 +15,15 @@ SECRET_NAME = r"(?i)(secret|password|passwd|pwd|api_?key|access_?token|auth_?tok
 NAMES_A_THING = r"(?i)_(header|field|label|prefix|suffix|param|claim)$"
 NOT_SECRET = ("reset", "changed", "updated", "unchanged", "none", "null", "true", "false", "redacted", "hidden", "masked", "removed", "added", "set", "unset")
 MAX_PER_FILE = 100
+# Slots of credentials and of values that mustn't be guessed, hashes that are broken, what can be foreseen, draws from the plain generator.
+CREDENTIAL_SLOT = r"(?i)pass(word|wd)?|pwd|token|otp|nonce"
+BROKEN_HASHES = ("md5", "sha1")
+FORESEEABLE = r"\b(random\.\w+|datetime\.(?:utc)?now|time\.time)\s*\("
+UNGUESSABLE = (
+    r"(?i)^(?:[a-z0-9]+_)?(?:token|otp|nonce|secret|passcode|password|passwd|pwd|verifier|salt|key)$",
+    r"(?i)^(?:code|(?:reset|invite|invitation|verify|verification|confirm|confirmation|activation|auth|access|recovery|mfa|two_?factor|one_?time|otp|login|signup|share|unlock|pair|pairing|security|secret|temp|temporary|new|referral|redeem|voucher)_code)$",
+)
+PLAIN_DRAW = r"\brandom\.(choice|choices|sample|randint|randrange|random|getrandbits|randbytes|uniform)\s*\("
 
 
 def _call_rules() -> list[tuple[Column, str, str, str]]:
@@ -54,10 +63,27 @@ def _assign_rules() -> list[tuple[Column, str, str, str]]:
     return [
         (name.rlike("(?i)^(debug|debug_propagate_exceptions)$") & (F.col("form") == "True"), "py-debug-enabled", "medium", "none"),
         (name.rlike("(?i)^allowed_hosts$") & F.col("form").rlike(r"^\[.*['\"]\*['\"].*\]$"), "py-wildcard-allowed-hosts", "medium", "none"),
-        (secret, "py-hardcoded-secret", "high", "none"),
+        (secret, "py-hardcoded-secret", "high", "none"), *_made_values(name, F.col("form")),
     ]
 
 
+def _made_values(name: Column, form: Column) -> list[tuple[Column, str, str, str]]:
+    """Credentials made by a broken hash of a password or of something that can be foreseen, and secrets joined from plain random draws.
+    form: the value as source text, spelt in one way."""
+    digest = rf"^(?:\w+\.)*(?:{'|'.join(BROKEN_HASHES)})\((.*)\)\.(?:hex)?digest\(\)$"
+    arg = F.regexp_extract(form, digest, 1)
+    password = arg.rlike(r"^(?:[\w.]*\.)?\w*(?i:pass(?:word|wd)?|pwd)\w*(?:\.encode\([^()]*\))?(?:,|$)")
+    drawn = form.rlike(PLAIN_DRAW) & ~form.rlike(r"\brandom\.SystemRandom\s*\(") & form.contains(".join(")
+    return [
+        (name.rlike(CREDENTIAL_SLOT) & form.rlike(digest) & (password | arg.rlike(FORESEEABLE)), "py-broken-hash-credential", "high", "none"),
+        (name.rlike(f"{UNGUESSABLE[0]}|{UNGUESSABLE[1]}") & drawn, "py-weak-prng-secret", "high", "none"),
+    ]
+
+
+def _compare_rules() -> list[tuple[Column, str, str, str]]:
+    return [(F.col("target").rlike(SECRET_NAME) & (F.char_length(F.trim("literal")) >= 3), "py-credential-compared-to-literal", "high", "none")]
+
+
 def _found(rows: DataFrame, rules: list[tuple[Column, str, str, str]]) -> DataFrame:
     hit = F.lit(None).cast("struct<rule:string,severity:string,taint:string>")
     for cond, rule, severity, taint in reversed(rules):
@@ -70,7 +96,7 @@ def python_sinks(parsed: DataFrame) -> DataFrame:
     assignments that a rule names, the first rule that holds; at most MAX_PER_FILE of a file, in order."""
     calls = _found(parsed.filter("kind = 'call'"), _call_rules())
     assigns = _found(parsed.filter("kind = 'assign'"), _assign_rules())
-    both = calls.unionByName(assigns)
+    both = calls.unionByName(assigns).unionByName(_found(parsed.filter("kind = 'compare'"), _compare_rules()))
     kind, known = F.col("_hit.taint"), F.col("origin_kind")
     both = both.filter((kind == "any") | (kind == "none") | ((kind == "needed") & known.isNotNull()) | ((kind == "source") & (known == "source")))
     carried = lambda k: F.when((kind != "none") & (known == k), F.col("origin"))

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from gitstrata import shared
 from gitstrata.functions import exprs as E
 from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, shadow, signals, traverse
+from gitstrata.operators import sinks as sink_rules
 from gitstrata.plans import sqltext as S
 from gitstrata.plans.registry import query
-from gitstrata.sources import js_source
+from gitstrata.sources import js_source, python_source
 from gitstrata.streaming import activity
 
 HOTSPOTS_SQL = """select path, count(*) as churn, count(distinct identity) as authors, max(ts) as last_modified, round(count(*) * ln(count(distinct identity) + 1), 6) as score
@@ -828,6 +829,29 @@ def x2_source_taint(r):
     return flow.taint(g["functions"], g["arguments"], waits)
 
 
+CREDENTIALS = "c as (select path as file, case part % 8 when 0 then 'py-broken-hash-credential' when 2 then 'py-broken-hash-credential' when 4 then 'py-weak-prng-secret' when 6 then 'py-credential-compared-to-literal' end as rule, part from credential_files where part % 8 in (0, 2, 4, 6))"
+
+
+def credential_sinks(r) -> DataFrame:
+    return sink_rules.python_sinks(python_source.parse(r["credential_files"].select("path", "content")))
+
+
+@query(f"with {CREDENTIALS} select file, rule, 'high' as severity, 2 as line, 'f' as in_fn from c")
+def x3_credential_sinks(r):
+    """Credentials made by broken hashes or plain random draws or held against literals; every second function is a clean twin."""
+    return credential_sinks(r).select("file", "rule", "severity", "line", "in_fn")
+
+
+@query(f"with {CREDENTIALS} select file, rule, 'f' as in_fn, 'unreachable' as reachability from c where part % 16 < 8")
+def x1_credential_reachability(r):
+    """The same sinks with a route as the entry point that reaches none of them; those in code that isn't run in production are left out."""
+    found = credential_sinks(r).select("file", "rule", "severity", "line", "in_fn", F.lit("call").alias("origin_kind"), F.lit(False).alias("tainted"))
+    functions = r["credential_files"].select(F.col("path").alias("file"), F.lit("f").alias("name"))
+    calls = r["calls"].select("from_file", "from_fn", "to_file", "to_fn")
+    declared = r["functions"].filter("part % 20 = 0").select("file", "name")
+    return flow.classify_sinks(found, functions, calls, declared).select("file", "rule", "in_fn", "reachability")
+
+
 # JavaScript: the SQL tells the outcome from the numbers that the sources are made of
 JS = "k as (select distinct k from js_files), p as (select k, 'lib' || (k % 20) || '/m' || k as stem from k)"
 

@@ -204,6 +204,20 @@ def facts(path: str, content: str | None) -> list[dict]:
         return [fact(path, "error", row=0, end_row=0, complexity=1)]
 
 
+def compared(test: ast.AST) -> Iterator[tuple[str, str, ast.Compare]]:
+    """(name, literal, node) where a condition, or a part of it, holds a name against a plain text."""
+    if isinstance(test, ast.BoolOp):
+        for x in test.values:
+            yield from compared(x)
+    elif isinstance(test, ast.Compare) and len(test.ops) == 1 and isinstance(test.ops[0], (ast.Eq, ast.NotEq)):
+        for a, b in ((test.left, test.comparators[0]), (test.comparators[0], test.left)):
+            key = a.slice if isinstance(a, ast.Subscript) else None
+            name = last_name(a) or (key.value if isinstance(key, ast.Constant) and isinstance(key.value, str) else None)
+            if name and isinstance(b, ast.Constant) and isinstance(b.value, str):
+                yield name, b.value, test
+                return
+
+
 def _facts(path: str, tree: ast.Module) -> Iterator[dict]:
     aliases: dict[str, str] = {}
     for x in ast.walk(tree):
@@ -238,6 +252,9 @@ def _facts(path: str, tree: ast.Module) -> Iterator[dict]:
                 yield from call_facts(path, child, scope, inside, container, seq)
                 if (route := table_route(child, is_table)) is not None:
                     yield fact(path, "route", child, name=route[2], target=route[0], receiver=route[1], has_receiver=route[3], form="table", items=[], literal=route[4], seq=seq)
+            elif isinstance(child, (ast.If, ast.While)):
+                for name, literal, at in compared(child.test):
+                    yield fact(path, "compare", at, name=inside, container=container, target=name, literal=literal)
             elif isinstance(child, (ast.Assign, ast.AnnAssign)) and child.value is not None:
                 for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
                     name = t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else t.slice.value if isinstance(t, ast.Subscript) and isinstance(t.slice, ast.Constant) else None

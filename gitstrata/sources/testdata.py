@@ -102,6 +102,13 @@ RELATIONS: dict[str, str] = {
         union all
         select concat('pkg', cast(k % 20 as string), '/extra', cast(k as string), '.py') as path, concat('from .m', cast(m as string), ' import f', cast(m as string), chr(10), 'def e', cast(k as string), '():', chr(10), '    return f', cast(m as string), '(1, 2)', chr(10)) as new_content, cast(null as string) as base_hash, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x where k % 40 = 9""",
+    # a function for each part, by turns with a credential that is made or checked badly and with its clean twin
+    "credential_files": """
+        select concat(case when p_partkey % 16 >= 8 then 'app/migrations/c' else 'app/c' end, cast(p_partkey as string), '.py') as path,
+               concat('def f(password, key):', chr(10), case p_partkey % 8 when 0 then '    reset_token = hashlib.md5(password.encode()).hexdigest()' when 1 then '    gravatar = hashlib.md5(password.encode()).hexdigest()' when 2 then '    nonce = hashlib.sha1(str(time.time()).encode()).digest()'
+                   when 3 then '    token = hashlib.sha256(password.encode()).hexdigest()' when 4 then concat('    otp = "".join(random.choice(D) for _ in range(', cast(p_partkey % 9 as string), '))') when 5 then '    key = random.choice(list(D))'
+                   when 6 then concat('    if key and password == "admin', cast(p_partkey as string), '":', chr(10), '        return 1') else concat('    assert password == "admin', cast(p_partkey as string), '"') end, chr(10)) as content, p_partkey as part
+        from part""",
     # workflow files whose permissions stand at the top, in jobs, below keys and where they mean nothing
     "ci_files": """
         select concat('.github/workflows/c', cast(p_partkey as string), '.yml') as path,
