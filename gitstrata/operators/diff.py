@@ -101,6 +101,25 @@ def structural_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
+def structural_lists(base: DataFrame, head: DataFrame, each: int = 10) -> DataFrame:
+    """kind (added, removed), place, file, name, container, complexity: the functions that came and went, the most complex first."""
+    rows = function_diff(base, head).filter(F.col("status").isin("added", "removed")).select(F.col("status").alias("kind"), "file", "name", "container", F.coalesce("complexity_after", "complexity_before").alias("complexity"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("complexity"), "name", "file", "container"))
+    return rows.withColumn("place", place).filter(F.col("place") <= each)
+
+
+def coverage_delta(base: DataFrame, base_calls: DataFrame, head: DataFrame, head_calls: DataFrame) -> DataFrame:
+    """One row, from_pct, to_pct, delta: tested production functions as a share; none if either side has no test file."""
+
+    def side(functions: DataFrame, calls: DataFrame, name: str) -> DataFrame:
+        tests = functions.select("file").unionByName(calls.select(F.col("from_file").alias("file"))).agg(F.max(E.is_test_file(F.col("file"))).alias("_some"))
+        cov = quality.test_coverage(functions, calls).agg(E.percent(F.coalesce(F.sum("tested"), F.lit(0)), F.coalesce(F.sum("functions"), F.lit(0))).alias(name))
+        return tests.crossJoin(cov).filter("_some").drop("_some")  # of one row each
+
+    both = side(base, base_calls, "from_pct").crossJoin(side(head, head_calls, "to_pct"))  # of one row each
+    return both.withColumn("delta", F.col("to_pct") - F.col("from_pct"))
+
+
 def file_signatures(functions: DataFrame) -> DataFrame:
     """file and a hash of its complexity and its functions' signatures in order."""
     sig = F.concat_ws("|", "name", F.coalesce("container", F.lit("")), F.col("complexity").cast("string"), F.coalesce("body_hash", F.lit("")))
@@ -192,8 +211,8 @@ def merge_confidence(changes: DataFrame, calls: DataFrame, functions: DataFrame,
     prod = changes.filter(~E.is_test_file(F.col("file"))).withColumn("cx", F.coalesce("complexity_after", "complexity_before"))
     prod = prod.withColumn("id", F.expr(traverse.function_id())).orderBy(F.desc(F.col("cx") + F.coalesce(F.abs("delta"), F.lit(0))), "id").limit(pool)
     prod = shared.written(prod.select("id", "file", "name", "container", "status", "cx"))
-    back = traverse.reversed_edges(traverse.function_edges(calls, tests=False))
-    near = traverse.reach(back, prod.select(F.col("id").alias("seed"))).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("hop") == 1).alias("direct"))
+    back = traverse.reversed_edges(shared.written(traverse.function_edges(calls, tests=False), "edges"))
+    near = traverse.reach(back, prod.select(F.col("id").alias("seed")), prepared=True).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("hop") == 1).alias("direct"))
     tested = quality.tested_functions(functions, calls).filter("testers > 0").withColumn("id", F.expr(traverse.function_id())).select("id").distinct().withColumn("_t", F.lit(True))
     out = prod.join(near, "id", "left").join(tested, "id", "left").fillna(0, ["callers", "direct"]).withColumn("untested", F.col("_t").isNull()).drop("_t")
     risk = (1 + F.col("callers")) * (1 + F.col("cx") / 10) * F.when(F.col("untested"), 1.8).otherwise(1.0) * F.when(F.col("status") == "removed", 1.5).otherwise(1.0)

@@ -18,10 +18,10 @@ from gitstrata.shared import written
 FOLD = 32
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int | None = None, prepared: bool = False) -> DataFrame:
     """edges: src, dst; seeds: seed. Returns seed, node, hop (1 to ``max_hops``): what each seed reaches, by the
-    shortest way, itself left out; of more than ``max_nodes`` the nearest."""
-    edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    shortest way, itself left out; of more than ``max_nodes`` the nearest. prepared: the edges are distinct and written already."""
+    edges = edges if prepared else written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
     seen = written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in range(1, max_hops + 1):
@@ -43,8 +43,8 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int = 200) -> DataFrame:
     """seed, direction (incoming: what depends on the seed; outgoing), node, hop, cross_module."""
     edges, seeds = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges"), written(seeds.select("seed"), "seeds")
-    ins = reach(reversed_edges(edges), seeds, max_hops, max_nodes).withColumn("direction", F.lit("incoming"))
-    outs = reach(edges, seeds, max_hops, max_nodes).withColumn("direction", F.lit("outgoing"))
+    ins = reach(reversed_edges(edges), seeds, max_hops, max_nodes, True).withColumn("direction", F.lit("incoming"))
+    outs = reach(edges, seeds, max_hops, max_nodes, True).withColumn("direction", F.lit("outgoing"))
     cross = E.module_path(F.col("seed")) != E.module_path(F.col("node"))
     return ins.unionByName(outs).withColumn("cross_module", cross).select("seed", "direction", "node", "hop", "cross_module")
 
@@ -69,7 +69,7 @@ def rank_functions_by_blast(functions: DataFrame, calls: DataFrame, pool: int =
     edges = written(function_edges(calls, tests=False), "edges")
     direct = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct")).filter(F.col("direct") >= min_direct)
     top = written(direct.orderBy(F.desc("direct"), "id").limit(pool))
-    near = reach(reversed_edges(edges), top.select(F.col("id").alias("seed")), max_hops).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("incoming"))
+    near = reach(reversed_edges(edges), top.select(F.col("id").alias("seed")), max_hops, prepared=True).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("incoming"))
     info = functions.selectExpr(f"{function_id()} id", "name", "complexity").groupBy("id").agg(F.max("complexity").alias("complexity"), F.max("name").alias("name"))
     out = top.join(near, "id").join(info, "id")
     return out.orderBy(F.desc("incoming"), F.desc("complexity"), "name", "id").limit(limit)

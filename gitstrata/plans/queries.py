@@ -9,7 +9,7 @@ from gitstrata.functions import exprs as E
 from gitstrata.operators import deps, diff, export, flow, graph_build, history, metrics, quality, scans, shadow, signals, traverse
 from gitstrata.operators import sinks as sink_rules
 from gitstrata.plans import sqltext as S
-from gitstrata.plans.registry import query
+from gitstrata.plans.registry import once, query
 from gitstrata.sources import js_source, python_source
 from gitstrata.streaming import activity
 
@@ -366,11 +366,9 @@ def t5_weak_suite(r):
     return quality.weak_suite(r["test_cases"])
 
 
+@once
 def safety(r) -> DataFrame:
-    """Written once for all that ask."""
-    if "safety" not in r.known:
-        r.known["safety"] = shared.written(quality.refactor_safety(r["files"], r["functions"], r["file_edges"]), "safety")
-    return r.known["safety"]
+    return shared.written(quality.refactor_safety(r["files"], r["functions"], r["file_edges"]), "safety")
 
 
 @query(f"with {S.SAFETY} select file, dependents, untested_dependents, complexity, duplicated, tier, rank::double as rank from safety")
@@ -461,6 +459,26 @@ def _dup(t: str) -> str:
     return f"select body_hash from {t} where body_hash is not null and complexity >= 2 group by body_hash having count(*) >= 2 and count(distinct file) >= 2"
 
 
+LISTED = f"{S.DIFF}, n as (select status as kind, file, name, container, case status when 'added' then complexity_after else complexity_before end as complexity from changes where status in ('added', 'removed')), l as (select *, row_number() over (partition by kind order by complexity desc, name, file, container nulls first)::int as place from n)"
+
+
+@query(f"with {LISTED} select * from l where place <= 10")
+def d3_structural_lists(r):
+    return diff.structural_lists(r["base_functions"], r["head_functions"])
+
+
+COVERED = "select {pct} as p from (select f.*, exists (select 1 from calls c where c.to_file = f.file and c.to_fn = f.name and coalesce(c.to_container, '') = coalesce(f.container, '') and {test_from} and not {test_to}) as hit from {t} f where not {test_file})"
+
+
+def _covered(t: str) -> str:
+    return COVERED.format(pct=S.pct("count(*) filter (where hit)", "count(*)"), test_from=S.is_test("c.from_file"), test_to=S.is_test("c.to_file"), test_file=S.is_test("f.file"), t=t)
+
+
+@query(f"select b.p as from_pct, h.p as to_pct, h.p - b.p as delta from ({_covered('base_functions')}) b, ({_covered('head_functions')}) h")
+def d3_coverage_delta(r):
+    return diff.coverage_delta(r["base_functions"], r["calls"], r["head_functions"], r["calls"])
+
+
 @query(
     f"with {S.DIFF}, {SUMMARY}, b as ({_dup('base_functions')}), h as ({_dup('head_functions')}) select 'function-added' as kind, added as n from summary union all select 'function-removed', removed from summary "
     "union all select 'duplicate-added', count(*) from h where body_hash not in (select body_hash from b) union all select 'duplicate-dissolved', count(*) from b where body_hash not in (select body_hash from h)"
@@ -761,6 +779,7 @@ def c10_regex_imports(r):
 PY = "p as (select path as file, 'f' || m as name, k, m, case when k % 7 = 0 then 1 else 0 end as shift, 'pkg' || (k % 20) || '/m' || (m + 1) || '.py' as next from python_files), n as (select p.*, next in (select path from python_files) as more from p)"
 
 
+@once
 def graph(r) -> dict[str, DataFrame]:
     return graph_build.build_graph(r["python_files"].select("path", "content"))
 
@@ -791,6 +810,11 @@ def c5_routes(r):
     return graph(r)["routes"].select("file", "name", "route")
 
 
+@once
+def web_graph(r) -> dict[str, DataFrame]:
+    return graph_build.build_graph(r["web_files"].select("path", "content"))
+
+
 @query(
     "with k as (select distinct k, 1 + floor(k / 8)::int % 10 as j from web_files) select 'app' || k || '/views.py' as file, 'get' as name, 'Show' || k as container, 'a' || k as route, 'path()' as via from k where k % 8 = 0 "
     "union all select 'app' || k || '/views.py', 'shared', null, 'b' || k, 'path()' from k where k % 8 = 1 union all select 'app' || k || '/handlers.py', 'shared', null, 'd' || k, 'path()' from k where k % 8 = 3 "
@@ -799,15 +823,13 @@ def c5_routes(r):
     "from k, (values ('list'), ('create')) v(m) where k % 8 = 2 group by all"
 )
 def c5_class_routes(r):
-    g = graph_build.build_graph(r["web_files"].select("path", "content"))
-    return g["routes"].select("file", "name", "container", "route", "via")
+    return web_graph(r)["routes"].select("file", "name", "container", "route", "via")
 
 
 @query("select 'app' || k || '/urls.py' as from_file, 'src/deep' || k || '/views.py' as to_file from (select distinct k from web_files) where k % 8 = 6")
 def c2_suffix_imports(r):
     """Imports that only the ending of a path resolves, in a tree whose sources lie below src."""
-    g = graph_build.build_graph(r["web_files"].select("path", "content"))
-    return g["imports"].filter(F.col("to_file").startswith("src/")).select("from_file", "to_file")
+    return web_graph(r)["imports"].filter(F.col("to_file").startswith("src/")).select("from_file", "to_file")
 
 
 @query(
@@ -856,6 +878,7 @@ def x1_credential_reachability(r):
 JS = "k as (select distinct k from js_files), p as (select k, 'lib' || (k % 20) || '/m' || k as stem from k)"
 
 
+@once
 def javascript(r) -> DataFrame:
     return shared.written(js_source.parse(r["js_files"].select("path", "content")), "js")
 
@@ -896,12 +919,13 @@ def t5_weak_suite_from_text(r):
 
 
 # changes laid over an analysed tree
+@once
 def patched(r):
     """The base graph, the patched one and what was parsed for it."""
     files, cache = r["python_files"].select("path", "content"), None
     parsed, cache = shadow.parsed_files(files, cache)
     base = graph_build.linked(shared.written(parsed, "parsed"), files.select("path"))
-    changes = r["changes"].select("path", "new_content", "base_hash")
+    changes = r["tree_changes"].select("path", "new_content", "base_hash")
     return (base, *shadow.patched_graph(base, files, changes, cache))
 
 
@@ -934,7 +958,7 @@ def d13_parsed_texts(r):
     "union all select 'config', 'needs-full-analysis', 'build-config change (pkg0/package.json)', '' union all select 'large', 'too-large', 'cumulative touched bytes over budget', ''"
 )
 def d13_patch_modes(r):
-    base, c = r["python_files"].select("path", "content"), r["changes"].select("path", "new_content", "base_hash", "k")
+    base, c = r["python_files"].select("path", "content"), r["tree_changes"].select("path", "new_content", "base_hash", "k")
     told = c.join(base, "path", "left").withColumn("base_hash", F.when(F.col("k") % 40 == 8, F.lit("0")).otherwise(graph_build.djb2(F.col("content"))))
     config = c.withColumn("path", F.when(F.col("k") % 40 == 8, F.concat(F.split("path", "/")[0], F.lit("/package.json"))).otherwise(F.col("path"))).withColumn("path", F.regexp_replace("path", "^pkg8/package", "pkg0/package"))
     large = c.withColumn("new_content", F.repeat(F.lit("#"), 500_000))
@@ -953,13 +977,13 @@ def d13_patch_modes(r):
 def d12_simulated(r):
     """The changed files with their tiers, from the graphs on both sides of the change."""
     base, head, _ = patched(r)
-    return shadow.simulate(base, head, r["changes"])["blast"]
+    return shadow.simulate(base, head, r["tree_changes"])["blast"]
 
 
 @query(f"with {PY} select file from n where k % 40 in (27, 28) and more")
 def d12_simulated_affected(r):
     base, head, _ = patched(r)
-    return shadow.simulate(base, head, r["changes"])["affected"]
+    return shadow.simulate(base, head, r["tree_changes"])["affected"]
 
 
 @query("select regexp_extract(file, '\\.([^./]+)$', 1) as ext, count(distinct file) as files, count(*) as functions, sum(complexity)::bigint as complexity from functions group by 1")

@@ -12,6 +12,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def once(f: Callable) -> Callable:
+    """Makes what ``f`` derives from a folder of tables once in a session, for all queries that build on it."""
+    made: dict[tuple[str, str], object] = {}
+
+    def get(r: Relations):
+        key = (r.spark.sparkContext.applicationId, r.sf_dir)
+        if key not in made:
+            made[key] = f(r)
+        return made[key]
+
+    return get
+
+
 def query(sql: str | None = None):
     """Registers a function of Relations under its name."""
 

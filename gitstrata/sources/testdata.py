@@ -96,7 +96,7 @@ RELATIONS: dict[str, str] = {
                       case when k % 11 = 0 then concat('path("u', cast(k as string), '", f', cast(m as string), ')', chr(10)) else '' end) as content, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x""",
     # a change of the tree: one file in forty goes, one is written anew under another function's name, one comes
-    "changes": """
+    "tree_changes": """
         select concat('pkg', cast(k % 20 as string), '/m', cast(m as string), '.py') as path, case when k % 40 = 8 then concat('def g', cast(m as string), '(q, other):', chr(10), '    return 1', chr(10)) end as new_content, cast(null as string) as base_hash, k, m
         from (select p_partkey as k, cast(floor(p_partkey / 20) as bigint) as m from part) x where k % 40 in (7, 8)
         union all
@@ -198,8 +198,9 @@ RELATIONS: dict[str, str] = {
 }
 
 
-#: Relations that others and most queries build on more than once: written when first asked for.
+#: Relations that others and most queries build on more than once: written when first asked for, once in a session for each folder.
 STORED = ("calls", "file_edges")
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -217,12 +218,18 @@ class Relations:
             if name not in RELATIONS:
                 self.known[name] = raw(self.spark, self.sf_dir, name)
             else:
+                key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+                if key in _stored:
+                    self.known[name] = _stored[key]
+                    return self.known[name]
                 text = RELATIONS[name]
                 used = {n: self[n] for n in uses(text)}
                 for n in used:
                     text = _named(text, n)
                 made = self.spark.sql(text, **used)
                 self.known[name] = shared.written(made, name) if name in STORED else made
+                if name in STORED:
+                    _stored[key] = self.known[name]
         return self.known[name]
 
 
