@@ -216,6 +216,60 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
 
 
+def _op13_sql() -> str:
+    """The lattice row by row: for each grammar state the least (cost, letters, lines), all inserts after each row."""
+    add = lambda s, cost, letter, line: f"case when a.{s} is not null then struct_pack(c := (a.{s}.c + {cost})::bigint, a := a.{s}.a || '{letter}', t := a.{s}.t || {line}) end"
+    stays, kept = "x.fault not in ('blank', 'duplicate')", "chr(10) || x.role || ':' || x.text"
+    extra = "(case when x.fault = 'truncated' then 5 else 0 end)"
+    keep = lambda s, letter: f"case when {stays} and left(x.role, 1) = '{letter}' then {add(s, extra, 'K', kept)} end"
+    turn = lambda s, role: f"case when {stays} then {add(s, '1 + ' + extra, 'R', f"chr(10) || '{role}:' || x.text")} end"
+    gone = lambda s: add(s, 2, "D", "''")
+    user = [w for s in ("s0", "s1", "s3") for w in (keep(s, "u"), turn(s, "user"))]
+    rows = {"s0": [gone("s0")], "s1": [gone("s1"), keep("s0", "s")], "s2": [gone("s2"), *user], "s3": [gone("s3"), keep("s2", "a"), turn("s2", "assistant")]}
+    put = lambda s, role: add(s, 5, "I", f"chr(10) || '{role}:'")
+    least = lambda ways: f"list_min([{', '.join(ways)}])"
+    pack = lambda states: "struct_pack(role := x.role, text := x.text, fault := x.fault, " + ", ".join(f"{s} := {w}" for s, w in states.items()) + ")"
+    same = lambda *states: {s: f"a.{s}" for s in states}
+    steps = (
+        pack({s: least(w) for s, w in rows.items()}),
+        pack(same("s0", "s1", "s3") | {"s2": least(["a.s2", *(put(s, "user") for s in ("s0", "s1", "s3"))])}),
+        pack(same("s0", "s1", "s2") | {"s3": least(["a.s3", put("s2", "assistant")])}),
+    )
+    step = steps[0]
+    for then in steps[1:]:  # each step's result is the next one's a
+        step = f"list_transform([{step}], lambda a: {then})[1]"
+    state, none = "struct(c bigint, a varchar, t varchar)", "null::struct(c bigint, a varchar, t varchar)"
+    start = f"struct_pack(role := '', text := '', fault := '', s0 := {{'c': 0, 'a': '', 't': ''}}::{state}, s1 := {none}, s2 := {{'c': 5, 'a': 'I', 't': chr(10) || 'user:'}}::{state}, s3 := {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}::{state})"
+    return rf"""
+with crc as (select list(list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) as t from (select unnest(range(256)) as n) x),
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) % 20 as k
+  from conversations, crc),
+damaged as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when k = 3 then 2 else 1 end)) as copy
+  from given where k <> 0),
+bare as (select *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b, row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from damaged),
+faulty as (select conv_id, turn, role, text, case when b = '' then 'blank' when nth > 1 then 'duplicate' when right(b, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+                  row_number() over (partition by conv_id order by turn nulls first, role, text, nth) as place from bare),
+moves as (select *, left(role, 1) as i, lag(left(role, 1)) over (partition by conv_id order by place) as before from faulty),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+         count(*) filter (where place > 1 and before || i not in ('su', 'ua', 'au')) as illegal,
+         list(struct_pack(role := role, text := text, fault := fault, s0 := {none}, s1 := {none}, s2 := {none}, s3 := {none}) order by place) as rows
+  from moves group by conv_id),
+walked as (select *, list_reduce(list_prepend({start}, rows), lambda a, x: {step}) as f from counted),
+best as (select *, list_min([f.s0, f.s3]) as w from walked)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(w.c, 0) as cost, coalesce(w.a, '') as audit, sha256(coalesce(substr(w.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join best b on o.conv_id is not distinct from b.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -223,4 +277,4 @@ QUERIES = {
         op11_periodic_runs, op12_nearest_neighbours, op13_conversation_repair,
     )
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_chat_format": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_chat_format": OP9_SQL, "op13_conversation_repair": OP13_SQL}

@@ -359,3 +359,10 @@ def test_html_columns_that_clash(spark):
 
     df = spark.createDataFrame([(1, "<p>a &amp; b</p>", "x", "y"), (2, None, "x", "y")], "page_id long, html string, text string, n_chars string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(1, "a & b", 5), (2, "", 0)]
+
+
+def test_op13_same_as_sql(spark, tmp_path):
+    from test_llm import same_as_sql
+
+    rows = [r for r in talks(5, 50, 9) if r[0] is not None] + [(None, 1, "user", "Alone."), (None, None, None, None)]
+    same_as_sql(spark, tmp_path, "conversations", spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "op13_conversation_repair")
