@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from gitstrata.sources import facts as reading
+
 EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts")
 #: Tokens that add a path through a function.
 BRANCHES = frozenset(("if", "while", "for", "case", "catch", "&&", "||", "??"))
@@ -33,8 +33,6 @@ SCHEMA = (
     "file string, kind string, name string, container string, row int, end_row int, complexity int, target string, has_receiver boolean, receiver string, "
     "items array<string>, form string, exported boolean, pos int, end_pos int, scope_start int, scope_end int, fn_pos int, case_pos int"
 )
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-WHOLE = ("row", "end_row", "complexity", "pos", "end_pos", "scope_start", "scope_end", "fn_pos", "case_pos")
 
 TOKEN = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<name>[A-Za-z_$\#\u0080-￿][\w$]*)|(?P<number>\d[\w.]*)"""
@@ -48,16 +46,19 @@ OPERATORS = frozenset("return typeof case in of delete void throw new else do aw
 CONTROL = frozenset("if for while switch catch with function return typeof await yield super import new delete void throw in of else do case".split())
 MODIFIERS = frozenset("async static get set public private protected readonly override abstract * declare".split())
 PAIRS = {")": "(", "]": "[", "}": "{"}
+#: Marks that tell something by themselves, and names that do without a bracket behind them.
+TELLING = frozenset(("{", "=>", "?", "&&", "||", "??"))
+LEADING = RUNNERS | {"class", "import", "export", "require", "expect", "assert"}
 
 
 def tokens(text: str) -> list[tuple[str, str, int]]:
     """(kind, text, row): names, numbers, texts (strings, pieces of templates, regular expressions) and marks; ``${`` counts as a bracket."""
     out: list[tuple[str, str, int]] = []
-    at, row, depth, inside = 0, 0, 0, []
-    while at < len(text):
-        kind = None
-        if text[at] == "`" or text[at] == "}" and inside and inside[-1] == depth:
-            if text[at] == "}":
+    at, row, depth, inside, n = 0, 0, 0, [], len(text)
+    while at < n:
+        c = text[at]
+        if c == "`" or c == "}" and inside and inside[-1] == depth:
+            if c == "}":
                 out.append(("mark", "}", row))
                 inside.pop()
                 depth -= 1
@@ -71,17 +72,19 @@ def tokens(text: str) -> list[tuple[str, str, int]]:
                 inside.append(depth)
                 out.append(("mark", "{", row))
             continue
-        if text[at] == "/" and (not out or not (out[-1][0] in ("number", "text") or out[-1][0] == "name" and out[-1][1] not in OPERATORS or out[-1][1] in (")", "]"))):
+        m, kind = None, "text"
+        if c == "/" and (not out or not (out[-1][0] in ("number", "text") or out[-1][0] == "name" and out[-1][1] not in OPERATORS or out[-1][1] in (")", "]"))):
             m = REGEX.match(text, at)
-            kind = "text" if m else None
-        if kind is None:
+        if m is None:
             m = TOKEN.match(text, at)
             kind = m.lastgroup
+        t, at = m[0], m.end()
         if kind != "skip":
-            out.append((kind, m[0], row))
-            depth += (m[0] == "{") - (m[0] == "}") if kind == "mark" else 0
-        row += m[0].count("\n")
-        at = m.end()
+            out.append((kind, t, row))
+        if kind == "mark":
+            depth += (t == "{") - (t == "}")
+        elif kind != "name":
+            row += t.count("\n")
     return out
 
 
@@ -103,10 +106,10 @@ def brackets(toks: list[tuple[str, str, int]]) -> dict[int, int]:
 class Reader:
     def __init__(self, path: str, text: str | None) -> None:
         self.path, self.t = path, tokens(text or "")
-        self.pair, self.rows = brackets(self.t), []
+        self.n, self.pair, self.rows = len(self.t), brackets(self.t), []
 
     def is_(self, i: int, *texts: str) -> bool:
-        return 0 <= i < len(self.t) and self.t[i][1] in texts and self.t[i][0] != "text"
+        return 0 <= i < self.n and (at := self.t[i])[1] in texts and at[0] != "text"
 
     def name(self, i: int) -> str | None:
         return self.t[i][1] if 0 <= i < len(self.t) and self.t[i][0] == "name" else None
@@ -263,13 +266,17 @@ class Reader:
 
     def read(self) -> list[dict]:
         functions, cases, blocks, classes = [], [], [(-1, len(self.t))], []
-        for i, (kind, t, row) in enumerate(self.t):
+        for i, (kind, t, _) in enumerate(self.t):
+            if kind != "name" and (kind != "mark" or t not in TELLING):
+                continue
             for stack in (functions, cases, blocks, classes):
                 while stack and stack[-1][1] < i:
                     stack.pop()
             if kind == "mark" and t == "{":
                 blocks.append((i, self.pair[i]))
-            found = self.function(i) if kind == "name" or t == "=>" else None
+                continue
+            called = kind == "name" and self.is_(i + 1, "(", "<")
+            found = self.function(i) if called or t in ("=>", "function") else None
             if found is not None:
                 name, first, params, end = found
                 owner = classes[-1][2] if classes and blocks[-1][0] == classes[-1][0] else None
@@ -280,6 +287,8 @@ class Reader:
                 functions[-1][2]["complexity"] += 1
             if kind != "name" or self.is_(i - 1, ".") and t in ("import", "export", "class"):
                 continue
+            if not called and t not in LEADING:
+                continue
             at = {"name": functions[-1][2]["name"] if functions else None, "container": functions[-1][2]["container"] if functions else None, "fn_pos": functions[-1][0] if functions else None, "case_pos": cases[-1][0] if cases else None}
             if t == "class" and self.name(i + 1):
                 k = i + 2
@@ -300,21 +309,19 @@ class Reader:
                 self.add("assertion", i, form=a[0], target=a[1], **at)
             elif functions and t in ("expect", "assert") and (a := self.assertion(i)) is not None:
                 self.add("assertion", i, form=a[0], target=a[1], **at)
-            if self.is_(self.bracket(i + 1), "(") and found is None and t not in CONTROL and not self.is_(i - 1, "new", "function"):
+            if called and self.is_(self.bracket(i + 1), "(") and found is None and t not in CONTROL and not self.is_(i - 1, "new", "function"):
                 own = self.is_(i - 1, ".", "?.")
                 self.add("call", i, target=t, has_receiver=own, receiver=self.name(i - 2) if own and not self.is_(i - 3, ".", "?.") else None, **at)
         return self.rows
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files: path, content. Returns SCHEMA."""
+def facts(path: str, content: str | None) -> list[dict]:
+    return Reader(path, content).read()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for path, content in zip(b["path"], b["content"]) for r in Reader(path, content).read()]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="Int32" if c in WHOLE else object) for c in COLUMNS})
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+def parse(files: DataFrame) -> DataFrame:
+    """files: path, content. Returns SCHEMA."""
+    return reading.read(files, facts, SCHEMA)
 
 
 def functions_of(parsed: DataFrame) -> DataFrame:

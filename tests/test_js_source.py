@@ -86,3 +86,10 @@ def test_served_routes(spark):
     got = {(r.file, r.name): r.route for r in J.functions_of(J.parse(spark.createDataFrame(files, "path string, content string"))).collect()}
     at = "web/app/(shop)/api/[id]/route.ts"
     assert got == {(at, "GET"): "/api/[id]", (at, "POST"): "/api/[id]", (at, "PUT"): None, (at, "helper"): None, ("web/api/route.ts", "GET"): None, ("app/route.js", "GET"): "/"}
+
+
+def test_texts_of_one_split_are_dealt(spark):
+    files = spark.createDataFrame([(f"m{k}.ts", f"import x from './m{k + 1}';") for k in range(200)], "path string, content string").coalesce(1)
+    parsed = J.parse(files)
+    held = [n for n in parsed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(held) > 3 and sum(held) == 200
