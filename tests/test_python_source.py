@@ -68,3 +68,9 @@ def test_narrowing_only_removes(spark):
     ]
     assert handlers(spark, files) == {("p/views.py", None, "show"): ("1", "path()"), ("q/handlers.py", None, "show"): ("2", "path()"), ("z/one.py", None, "only"): ("4", "path()")}
     assert routes.MAX_HOPS == 6
+
+
+def test_texts_of_one_split_are_dealt(spark):
+    files = spark.createDataFrame([(f"m{k}.py", f"import m{k + 1}") for k in range(200)], "path string, content string").coalesce(1)
+    held = [n for n in P.parse(files).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(held) > 3 and sum(held) == 200
