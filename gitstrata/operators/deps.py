@@ -8,7 +8,9 @@ import tomllib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
+from gitstrata.sources import facts
 
 # Known supply-chain incidents as (incident, ecosystem, package, compromised versions).
 INCIDENTS = (
@@ -230,19 +232,25 @@ def permission_scope(value: Column, entries: Column) -> Column:
 
 def workflow_keys(files: DataFrame) -> DataFrame:
     """path, content of workflow files to workflow, path, key, value."""
-    return files.select(F.col("path").alias("workflow"), F.explode(outline(F.col("content"))).alias("x")).select("workflow", "x.path", "x.key", "x.value")
+    return facts.dealt(files.select("path", "content"), "path").select(F.col("path").alias("workflow"), F.explode(outline(F.col("content"))).alias("x")).select("workflow", "x.path", "x.key", "x.value")
 
 
-def workflow_manifest(files: DataFrame) -> DataFrame:
-    """path, content of workflow files to workflow, uses: the ``uses`` of jobs and of their steps."""
+def hardening_keys(files: DataFrame) -> DataFrame:
+    """Those of ``workflow_keys`` that say what is used and permitted, as a table: outlines cost most, and several steps ask for them."""
+    return shared.written(workflow_keys(files).filter(F.col("key").isin("uses", "permissions") | F.array_contains("path", "permissions")), "keys")
+
+
+def workflow_manifest(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """path, content of workflow files to workflow, uses: the ``uses`` of jobs and of their steps. keys: those of the files, if at hand."""
+    keys = workflow_keys(files) if keys is None else keys
     level = F.size("path")
     of_step = (level == 3) & (F.get("path", F.lit(2)) == "steps")
-    return workflow_keys(files).filter((F.col("key") == "uses") & (F.col("value") != "") & (F.get("path", F.lit(0)) == "jobs") & ((level == 2) | of_step)).select("workflow", F.col("value").alias("uses"))
+    return keys.filter((F.col("key") == "uses") & (F.col("value") != "") & (F.get("path", F.lit(0)) == "jobs") & ((level == 2) | of_step)).select("workflow", F.col("value").alias("uses"))
 
 
-def workflow_permissions(files: DataFrame) -> DataFrame:
+def workflow_permissions(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """workflow, job, scope: of every workflow (job null; unspecified where it has none) and of jobs that have permissions of their own."""
-    keys = workflow_keys(files)
+    keys = hardening_keys(files) if keys is None else keys
     job = F.get("path", F.lit(1))
     top = (F.size("path") == 0) & (F.col("key") == "permissions")
     mine = (F.size("path") == 2) & (F.get("path", F.lit(0)) == "jobs") & (F.col("key") == "permissions")
@@ -258,8 +266,8 @@ def workflow_permissions(files: DataFrame) -> DataFrame:
 
 def workflow_relation(files: DataFrame) -> DataFrame:
     """workflow, uses, scope, job as ``workflow_findings`` reads them: a row for each use and for each scope."""
-    none = F.lit(None).cast("string")
-    return workflow_manifest(files).select("workflow", "uses", none.alias("scope"), none.alias("job")).unionByName(workflow_permissions(files).select("workflow", none.alias("uses"), "scope", "job"))
+    none, keys = F.lit(None).cast("string"), hardening_keys(files)
+    return workflow_manifest(files, keys).select("workflow", "uses", none.alias("scope"), none.alias("job")).unionByName(workflow_permissions(files, keys).select("workflow", none.alias("uses"), "scope", "job"))
 
 
 # Manifests of ecosystems that aren't read, by pattern; languages whose sinks have rules; the page of pull requests.

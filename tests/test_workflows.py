@@ -47,3 +47,9 @@ def test_uses_and_permissions(spark):
         ("w.yml", None): "granular", ("w.yml", "one"): "granular", ("w.yml", "two"): "granular", ("w.yml", "three"): "read-all", ("silent.yml", None): "unspecified",
         ("empty.yml", None): "unspecified", ("null.yml", None): "unspecified", ("odd.yml", None): "unspecified",
     }
+
+
+def test_texts_of_one_split_are_dealt(spark):
+    files = spark.createDataFrame([(f"w{k}.yml", TEXT) for k in range(200)], "path string, content string").coalesce(1)
+    held = [n for n in deps.workflow_keys(files).rdd.mapPartitions(lambda rows: [len({r.workflow for r in rows})]).collect() if n]
+    assert len(held) > 3 and sum(held) == 200
