@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gitstrata.functions import exprs as E
-from gitstrata.shared import written
+from gitstrata.shared import large, written
 from gitstrata.operators.traverse import FOLD
 
 NODE = "concat_ws('|', {0}file, {0}name)"
@@ -106,15 +106,15 @@ def taint(functions: DataFrame, arguments: DataFrame, sinks: DataFrame, max_hops
     args = arguments.filter(~E.is_test_file(F.col("from_file"))).selectExpr("*", "concat_ws('|', from_file, from_fn) src", "concat_ws('|', to_file, to_fn) dst")
     args = args.join(functions.selectExpr(f"{NODE.format('')} dst", "params").dropDuplicates(["dst"]), "dst")
     lands = F.when(F.col("arg_name").isNull(), F.get("params", F.col("index"))).when(F.array_contains("params", F.col("arg_name")), F.col("arg_name"))
-    args = written(args.withColumn("lands", lands).filter("lands is not null").selectExpr("src", "dst", "lands", "source as arg_source", "param as arg_param"))
+    args = large(args.withColumn("lands", lands).filter("lands is not null").selectExpr("src", "dst", "lands", "source as arg_source", "param as arg_param"))
     first = args.filter("arg_source is not null").select(F.col("dst").alias("id"), F.col("lands").alias("param"), F.lit(2).alias("hops"), F.col("arg_source").alias("source"))
     best = lambda t: t.groupBy("id", "param").agg(F.min(F.struct("hops", "source")).alias("x")).select("id", "param", "x.hops", "x.source")
-    seen = written(best(seeds.unionByName(first)))
+    seen = large(best(seeds.unionByName(first)))
     front = seen
     for _ in range(max_hops):
         step = front.filter(F.col("hops") < max_hops).join(args.filter("arg_param is not null"), (F.col("id") == F.col("src")) & (F.col("param") == F.col("arg_param")))
         step = step.select(F.col("dst").alias("id"), F.col("lands").alias("param"), (F.col("hops") + 1).alias("hops"), "source")
-        front = written(best(step).join(seen, ["id", "param"], "left_anti"))
+        front = large(best(step).join(seen, ["id", "param"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -15,6 +15,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from gitstrata import shared
 from gitstrata.sources import facts as reading
 
 EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts")
@@ -337,6 +338,7 @@ def functions_of(parsed: DataFrame) -> DataFrame:
 def imports_of(parsed: DataFrame, paths: DataFrame) -> DataFrame:
     """file, spec, resolved_path, symbols. Relative imports name a file of ``paths`` as they stand, with one of the extensions, or as
     a folder's index; of several the first in that order. Others are packages and stay null."""
+    parsed, paths = shared.growing(parsed), shared.growing(paths)
     i = parsed.filter("kind = 'import'").select("file", F.col("target").alias("spec"), F.col("items").alias("symbols"), "pos")
     folder = F.filter(F.split(F.regexp_replace("file", r"/?[^/]*$", ""), "/"), lambda x: x != "")
     steps = F.filter(F.split("spec", "/"), lambda x: (x != "") & (x != "."))
@@ -356,6 +358,7 @@ def test_cases(parsed: DataFrame) -> DataFrame:
     An assertion counts for the innermost case around it. A call of a function of the same file that asserts counts as one
     assertion, as strong as the function's strongest; which function a name means is the one visible in the innermost
     block. The assertions of a function declared in a case that calls it are the call's, not the case's own."""
+    parsed = shared.growing(parsed)
     weak = F.when(F.col("form") == "call", F.col("target").isin(*TRIVIAL_MATCHERS)).when(F.col("form") == "getter", F.col("target").isin(*TRIVIAL_GETTERS)).otherwise(True)
     found = parsed.filter("kind = 'assertion'").select("file", "pos", "fn_pos", "case_pos", weak.alias("weak"))
     cases = parsed.filter("kind = 'case'").select("file", F.col("pos").alias("case_pos"), "name", (F.col("row") + 1).alias("line"))
