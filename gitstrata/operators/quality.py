@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gitstrata import shared
 from gitstrata.functions import exprs as E
-from gitstrata.operators.traverse import fan_in
 
 KEY = ["file", "name", "container"]
 
@@ -73,13 +73,15 @@ def safety_tier(dependents: Column, untested: Column, complexity: Column, duplic
 def refactor_safety(files: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
     """file, dependents, untested_dependents, complexity, duplicated, tier, rank for production files with any of them."""
     prod = ~E.is_test_file(F.col("file"))
-    fans = fan_in(edges)
-    tested = tested_files(edges).withColumn("_t", F.lit(True))
-    deps = edges.filter("src <> dst").distinct().filter(~E.is_test_file(F.col("src")) & ~E.is_test_file(F.col("dst"))).join(tested, F.col("src") == F.col("file"), "left")
-    bare = deps.filter("_t is null").groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("untested_dependents"))
+    # each edge is told apart once, as both ends' names are looked at for that
+    pairs = edges.filter("src <> dst").distinct().withColumn("_src_test", E.is_test_file(F.col("src"))).withColumn("_dst_test", E.is_test_file(F.col("dst")))
+    pairs = shared.large(pairs.filter("not _dst_test").drop("_dst_test"), "pairs")
+    tested = pairs.filter("_src_test").select(F.col("dst").alias("src"), F.lit(True).alias("_t")).distinct()
+    bare = ~F.col("_src_test") & F.col("_t").isNull()
+    fans = pairs.join(tested, "src", "left").groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("dependents"), F.count_if(bare).alias("untested_dependents"))
     dups = functions.join(duplicate_groups(functions, None).select("body_hash"), "body_hash").filter("complexity >= 2").groupBy("file").agg(F.count("*").alias("duplicated"))
-    every = files.select("file").union(functions.select("file")).union(fans.select("file")).distinct().filter(prod)
-    out = every.join(files.select("file", "complexity"), "file", "left").join(fans.withColumnRenamed("fan_in", "dependents"), "file", "left").join(bare, "file", "left").join(dups, "file", "left")
+    every = files.select("file").union(functions.select("file")).filter(prod).union(fans.select("file")).distinct()
+    out = every.join(files.select("file", "complexity"), "file", "left").join(fans, "file", "left").join(dups, "file", "left")
     numbers = ("dependents", "untested_dependents", "complexity", "duplicated")
     out = out.select("file", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers)).filter(" + ".join(numbers) + " > 0")
     d, u, c, dup = map(F.col, numbers)

@@ -339,3 +339,36 @@ def test_same_for_any_partitioning(spark):
     e = edges(spark, *[(f"n{k % 17}", f"n{k % 23}") for k in range(200)])
     one = rows(traverse.fan_in(e.repartition(1)))
     assert one == rows(traverse.fan_in(e.repartition(8)))
+
+
+def test_test_files_are_told_by_one_search(spark):
+    paths = ["TEST", "a/Tests/b.py", "a/testsx/b.py", "xtest/b", "a/__SPECS__/b", "test_a.py", "a/Test_", "a/atest_b", "test_a/b.py", "a/b_TEST.py", "a/b_test.py/c", "a/xTest.K\u212a.Kt", "test.\u212at", "a/test.kt\n", "spec\n", "a\n/test/b", "a/test_\nb", "", "/", "test/", "a/b.spec.tsx", "atest.java", "aXspec.ts"]
+    p = F.col("p")
+
+    def plain(path):
+        low = path.lower()
+        base = low.rsplit("/", 1)[-1]
+        return any(f"/{d}/" in f"/{low}/" for d in E.TEST_DIRS) or base.endswith(E.TEST_SUFFIXES) or base.startswith("test_")
+
+    got = spark.createDataFrame([(x,) for x in [*paths, None]], "p string").select(p, E.is_test_file(p).alias("is")).collect()
+    assert {r.p: r["is"] for r in got} == {**{x: plain(x) for x in paths}, None: None}
+    assert E.is_test_file(p)._jc.toString().count("lower") == 1
+
+
+def test_safety_is_made_once_for_a_verdict(spark, monkeypatch):
+    from gitstrata.plans import queries  # noqa: F401  registers them
+    from gitstrata.plans import registry
+
+    made, plain = [], quality.refactor_safety
+    monkeypatch.setattr(quality, "refactor_safety", lambda *a: made.append(1) or plain(*a))
+    assert registry.QUERIES["d2_change_verdict"](spark, "/root/testdata/sf0.001").count() == 1 and len(made) <= 1  # none if a test before it made it
+
+
+def test_safety_tells_each_edge_once(spark):
+    pairs = edges(spark, ("a.py", "b.py"), ("a.py", "b.py"), ("b.py", "b.py"), ("tests/t.py", "b.py"), ("tests/t.py", "a.py"), ("c.py", "b.py"), ("c.py", "tests/t.py"), ("tests/u.py", "tests/t.py"), ("b.py", "d.py"))
+    none = spark.createDataFrame([], FN)
+    got = quality.refactor_safety(spark.createDataFrame([("a.py", 1)], "file string, complexity long"), none, pairs)
+    # a is tested, so of b's three dependents only c is bare; b is tested as well, so d has none
+    assert rows(got.select("file", "dependents", "untested_dependents", "complexity")) == [("a.py", 1, 0, 1), ("b.py", 3, 1, 0), ("d.py", 1, 0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(src" not in plan and "lower(dst" not in plan
