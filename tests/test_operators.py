@@ -294,6 +294,16 @@ def test_python_sinks(spark):
         assert got.get(f"a{k}.py", []) == want, body
 
 
+def test_all_sinks_of_a_file(spark):
+    """A generated file with more sinks than anyone would read: each is found, and each is tainted."""
+    text = "def f(q):\n" + "".join(f"    os.system(q)  # {k}\n" for k in range(250)) + "".join(f"    password = 'hunter{k}'\n" for k in range(50))
+    g = graph_build.build_graph(spark.createDataFrame([("a.py", text), ("b.py", "from a import f\n@app.get('/b')\ndef b(q):\n    f(q)\n")], "path string, content string"))
+    assert rows(g["sinks"].groupBy("rule").count()) == [("py-hardcoded-secret", 50), ("py-os-command", 250)]
+    waits = g["sinks"].filter("tainted_by_param is not null").select("file", "in_fn", F.col("tainted_by_param").alias("param"), "rule", "line")
+    got = flow.taint(g["functions"], g["arguments"], waits)
+    assert rows(got.select("line", "hops", "source")) == [(k, 2, "b (q)") for k in sorted(range(2, 252), key=repr)]
+
+
 def test_taint_origins(spark):
     text = "def f(x, y):\n    a = y\n    b = a + '1'\n    os.system(b)\n    eval(input())\n    open(request.user.name)\n    g(1, k=x)\n"
     got = python_source.parse(spark.createDataFrame([("a.py", text)], "path string, content string"))
