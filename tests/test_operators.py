@@ -217,6 +217,70 @@ def test_call_resolution_order(spark):
     assert got == {"1": "b/n.py", "2": "a/m.py", "3": None, "4": "c/o.py", "5": None, "6": "a/m.py", "7": "a/m.py"}
 
 
+def _shuffled(spark, df):
+    """Rows that all stages of a query write for others."""
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    known = {s.stageId() for s in (stages().apply(i) for i in range(stages().size()))}
+    df().write.format("noop").mode("overwrite").save()
+    return sum(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in known)
+
+
+def test_calls_dont_meet_all_imports(spark):
+    """A file that calls 400 names and imports 400 files: no call is dealt to every import or folder."""
+    n = 400
+    f = spark.createDataFrame([(f"d{k}/m{k}.py", f"g{k}", None, k) for k in range(n)], "file string, name string, container string, fn_seq int")
+    i = spark.createDataFrame([("x.py", f"d{k}/m{k}.py") for k in range(n)], "from_file string, to_file string")
+    c = spark.createDataFrame([(f"{t}{k}", "x.py", f"g{k}", t, True) for k in range(n) for t in (None, f"m{k}")], "call_id string, file string, callee_name string, callee_type string, has_receiver boolean")
+    o = spark.createDataFrame([], "file string, symbol string, origin string")
+    got = []
+    assert _shuffled(spark, lambda: got.append(graph_build.resolve_calls(c, f, i, o)) or got[0]) < 30 * n
+    assert {(r.to_file, r.to_fn) for r in got[0].collect()} == {(f"d{k}/m{k}.py", f"g{k}") for k in range(n)} and got[0].count() == 2 * n
+
+
+def _plain_resolution(calls, functions, imports, origins):
+    """The rules one by one, over every function of the name."""
+    test, name, folder = lambda p: p.startswith("tests/"), lambda p: p.rsplit("/", 1)[-1][:-3], lambda p: p.rpartition("/")[0]
+    imported = {(a, b) for a, b in imports}
+    via = {(a, s, t, name(b)) for a, b in imports for at, s, t in origins if at == b}
+    out = {}
+    for cid, file, callee, kind, receiver in calls:
+        own = sorted((seq, at, box) for at, fn, box, seq in functions if fn == callee and (test(file) or not test(at)))
+        sole = lambda rows: rows if len(rows) == 1 else []
+        if kind is not None:
+            org = [x for x in own if (file, callee, x[1], kind) in via]
+            near = [x for x in own if x[2] is None and name(x[1]) == kind and any(a == file and folder(b) == folder(x[1]) for a, b in imported)]
+            tries = [[x for x in own if x[2] == kind], [] if receiver else sole([x for x in own if x[2] is None]), sole(org) or sole([x for x in org if x[2] is None]), sole(near)]
+        else:
+            tries = [[] if receiver else sole(own), [x for x in own if x[1] == file], [x for x in own if (file, x[1]) in imported], [x for x in own if any(v[:3] == (file, callee, x[1]) for v in via)]]
+        out[cid] = next((t[0][1:] for t in tries if t), (None, None))
+    return out
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_call_resolution_against_the_plain_rules(spark, monkeypatch, few):
+    monkeypatch.setattr(graph_build, "FEW", few)
+    rng = random.Random(few)
+    files = [f"{d}/m{k}.py" for d in ("a", "b", "tests") for k in range(4)]
+    functions = [(rng.choice(files), f"f{rng.randrange(9)}", rng.choice((None, None, "C", "D")), k) for k in range(60)] + [("a/m1.py", "lone", None, 60), ("tests/m1.py", "lone", "C", 61)]
+    imports = sorted({(a, b) for a, b in ((rng.choice(files), rng.choice(files)) for _ in range(40)) if a != b})
+    origins = sorted({(a, f"f{rng.randrange(9)}"): rng.choice(files) for a in files for _ in range(3)}.items())
+    origins = [(a, s, t) for (a, s), t in origins]
+    calls = [(str(k), rng.choice(files), rng.choice([f"f{rng.randrange(9)}", "lone", "none"]), rng.choice((None, None, "C", "Z", "m0", "m1", "m2")), rng.random() < 0.5) for k in range(400)]
+    c = spark.createDataFrame(calls, "call_id string, file string, callee_name string, callee_type string, has_receiver boolean")
+    f = spark.createDataFrame(functions, "file string, name string, container string, fn_seq int")
+    i, o = spark.createDataFrame(imports, "from_file string, to_file string"), spark.createDataFrame(origins, "file string, symbol string, origin string")
+    got = {r.call_id: (r.to_file, r.to_container) for r in graph_build.resolve_calls(c, f, i, o).collect()}
+    assert got == _plain_resolution(calls, functions, imports, origins)
+
+
+def test_rows_of_one_call(spark):
+    f = spark.createDataFrame([("a.py", "run", None, 1), ("b.py", "run", None, 2)], "file string, name string, container string, fn_seq int")
+    c = spark.createDataFrame([("1", "x.py", "run", None, True), ("1", "b.py", "run", None, True), ("2", "x.py", "run", None, True)], "call_id string, file string, callee_name string, callee_type string, has_receiver boolean")
+    i, o = spark.createDataFrame([], "from_file string, to_file string"), spark.createDataFrame([], "file string, symbol string, origin string")
+    got = graph_build.resolve_calls(c, f, i, o, c.filter("call_id = '1'").select("call_id"))
+    assert rows(got.select("call_id", "file", "to_file")) == [("1", "b.py", "b.py"), ("1", "x.py", "b.py"), ("2", "x.py", None)]
+
+
 def test_scans(spark):
     src = spark.createDataFrame([("src/a.py", "py", "x = eval(y)\n# eval(z)\ns = 'eval(q)'\nobj.eval(k)\nexec(w); eval(v)"), ("tests/b.py", "py", "eval(x)")], "path string, ext string, content string")
     assert rows(scans.risky_patterns(src)) == [("src/a.py", 1, "py-eval"), ("src/a.py", 5, "py-eval"), ("src/a.py", 5, "py-exec")]
