@@ -281,6 +281,36 @@ def test_rows_of_one_call(spark):
     assert rows(got.select("call_id", "file", "to_file")) == [("1", "b.py", "b.py"), ("1", "x.py", "b.py"), ("2", "x.py", None)]
 
 
+def test_ways_to_tests_are_not_dealt_as_pairs(spark):
+    """20 files with the same 50 dependents, each of which 40 tests import: 40,000 ways, of which no row is made for others."""
+    top = spark.createDataFrame([(f"a/top{k}.py", "load-bearing") for k in range(20)], "file string, tier string")
+    e = edges(spark, *((f"a/mid{m}.py", f"a/top{k}.py") for m in range(50) for k in range(20)), *((f"tests/mid{m}_t{t}_test.py", f"a/mid{m}.py") for m in range(50) for t in range(40)))
+    got = []
+    assert _shuffled(spark, lambda: got.append(quality.tests_to_run(top, e)) or got[0]) < 25_000
+    want = sorted(f"tests/mid{m}_t{t}_test.py" for m in range(50) for t in range(40))[:10]
+    assert rows(got[0]) == sorted(((f"a/top{k}.py", t, 1, False, 0, p + 1) for k in range(20) for p, t in enumerate(want)), key=repr)
+
+
+@pytest.mark.parametrize("held", [2, 4096])
+def test_tests_to_run_against_plain_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(quality, "TESTS_A_ROW", held)
+    rng = random.Random(held)
+    files, tests = [f"a/m{k}.py" for k in range(12)], [f"{d}/test_m{k}{x}.py" for d in ("t", "u") for k in range(8) for x in ("", "b")]
+    pairs = {(rng.choice(files + tests), rng.choice(files)) for _ in range(160)} | {(tests[0], tests[1])}
+    tiers = {f: rng.choice(("load-bearing", "handle-with-care", "safe")) for f in files}
+    want = set()
+    for f in (f for f, t in tiers.items() if t != "safe"):
+        near, found = {f} | {a for a, b in pairs if b == f and a != b}, {}
+        for a, b in pairs:
+            if a != b and a in tests and b in near:
+                found.setdefault(a, []).append(b == f)
+        stem = f[2:-3]
+        rank = lambda t: (-max(found[t]), -(2 if t[7:-3] == stem else 1 if t[7:-3].startswith(stem) else 0), -len(found[t]), t)
+        want |= {(f, t, len(found[t]), max(found[t]), -rank(t)[1], k + 1) for k, t in enumerate(sorted(found, key=rank)[:10])}
+    got = quality.tests_to_run(spark.createDataFrame(list(tiers.items()), "file string, tier string"), edges(spark, *sorted(pairs), *sorted(pairs)[:20]))
+    assert set(map(tuple, got.collect())) == want and len(want) == got.count()
+
+
 def test_scans(spark):
     src = spark.createDataFrame([("src/a.py", "py", "x = eval(y)\n# eval(z)\ns = 'eval(q)'\nobj.eval(k)\nexec(w); eval(v)"), ("tests/b.py", "py", "eval(x)")], "path string, ext string, content string")
     assert rows(scans.risky_patterns(src)) == [("src/a.py", 1, "py-eval"), ("src/a.py", 5, "py-eval"), ("src/a.py", 5, "py-exec")]
