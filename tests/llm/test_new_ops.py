@@ -248,6 +248,25 @@ def by_query(df):
     return out
 
 
+def test_pairs_below_the_best_so_far_are_left(monkeypatch):
+    """200 queries against 40 batches of 250 rows: exact, and few pairs are ranked once each query has its best."""
+    import pandas as pd
+
+    rng, k = np.random.default_rng(3), 5
+    x, y = rng.integers(-9, 10, (10_000, 8)).astype(np.float32), rng.integers(-9, 10, (200, 8)).astype(np.float32)
+    x[rng.integers(0, 10_000, 2_000)] = x[:2_000]  # copies, so scores tie
+    table = lambda v, first, j: pd.DataFrame({"g": 0, "s": 0, "t": 0, "j": j, "u": 0, "vec_id": np.arange(first, first + len(v)), "v": [r.tobytes() for r in v], "code": 0})
+    ranked, best = [], neighbours._best
+    monkeypatch.setattr(neighbours, "_best", lambda q, v, score, n: ranked.append(len(q)) or best(q, v, score, n))
+    batches = [table(y, 10_000, -1), *(table(x[at : at + 250], at, 0) for at in range(0, 10_000, 250))]
+    got = pd.concat(neighbours._searcher(np.float32, None, 64, k)(iter(batches)))
+    score = y.astype(np.float64) @ x.astype(np.float64).T
+    for q, near in got.groupby("query_id"):
+        order = np.lexsort((np.arange(10_000), -score[q - 10_000]))[:k]
+        assert list(zip(near["vec_id"], near["score"])) == list(zip(order, score[q - 10_000][order]))
+    assert got["query_id"].nunique() == 200 and sum(ranked[:-1]) < 20_000
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_op12_recall(spark, sf):
